@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from lamina.llm.line_dedup import op10_line_dedup
 from lamina.llm.mixing import op6_mixing
 from lamina.llm.packing import op1_packing
+from lamina.llm.quality import op2_quality
 from lamina.llm.simhash_dedup import op4_simhash
+from lamina.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_quality": op2_quality,
     "op4_simhash": op4_simhash,
     "op6_mixing": op6_mixing,
+    "op7_toxicity": op7_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }
 SQL: dict[str, str] = {}
