@@ -6,19 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+from lamina.llm.approximate_search import op9_nearest
+from lamina.llm.chat import op5_chat
+from lamina.llm.exact_search import op8_exact_search
 from lamina.llm.line_dedup import op10_line_dedup
 from lamina.llm.mixing import op6_mixing
 from lamina.llm.packing import op1_packing
 from lamina.llm.quality import op2_quality
 from lamina.llm.simhash_dedup import op4_simhash
+from lamina.llm.substring_dedup import op3_substring_dedup
 from lamina.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_simhash": op4_simhash,
+    "op5_chat": op5_chat,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
+    "op8_exact_search": op8_exact_search,
+    "op9_nearest": op9_nearest,
     "op10_line_dedup": op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {}
