@@ -19,42 +19,48 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), "[^\\p{L}\\p{N}]+", " "))
 
 
-def _lanes(hashes: Column, width: int) -> Column:
-    """Counts of each of 64 bits over an array of longs, `width`-bit counters side by side in `width` longs."""
-    ones = sum(1 << (width * i) for i in range(64 // width))
-    start = F.struct(*[F.lit(0).cast("long").alias(f"c{j}") for j in range(width)])
-    return F.aggregate(hashes, start, lambda acc, h: F.struct(*[(acc[f"c{j}"] + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(ones))).alias(f"c{j}") for j in range(width)]))
+#: Bits of a counter; so many lie side by side in a long, and as many longs count all 64 bits.
+LANE = 16
+#: Words of a line from which on its counters might overflow a lane.
+LONG = 1 << (LANE - 1)
 
 
-def _majority(lanes: str, width: int) -> Column:
-    """Fingerprint of counters made by _lanes: a bit is set if its count is over half of column n."""
+def _majority(count, n: Column) -> Column:
+    """Fingerprint whose bit b is set if count(b) is over half of n."""
     out = F.lit(0).cast("long")
-    for j in range(width):
-        for i in range(64 // width):
-            bit = j + width * i
-            count = F.shiftrightunsigned(F.col(f"{lanes}.c{j}"), width * i).bitwiseAND((1 << width) - 1)
-            out = out.bitwiseOR(F.when(count * 2 > F.col("n"), F.lit((1 << bit) - ((1 << 64) if bit == 63 else 0))).otherwise(F.lit(0).cast("long")))
+    for bit in range(64):
+        out = out.bitwiseOR(F.when(count(bit) * 2 > n, F.lit((1 << bit) - ((1 << 64) if bit == 63 else 0))).otherwise(F.lit(0).cast("long")))
     return out
 
 
-def with_simhash(lines: DataFrame) -> DataFrame:
-    """Adds fp, the 64-bit SimHash of the words of column norm. Counters have 8, 16 or 32 bits (the last counter keeps the sign bit free) as the length of the line asks."""
-    hashed = lines.withColumn("hs", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))).withColumn("n", F.size("hs"))
-    short, mid = F.col("n") < 128, F.col("n") < 32768
-    counted = hashed.withColumns({
-        "a8": F.when(short, _lanes(F.col("hs"), 8)),
-        "a16": F.when(~short & mid, _lanes(F.col("hs"), 16)),
-        "a32": F.when(~mid, _lanes(F.col("hs"), 32)),
-    })
-    fp = F.when(short, _majority("a8", 8)).when(mid, _majority("a16", 16)).otherwise(_majority("a32", 32))
-    return counted.withColumn("fp", fp).drop("hs", "n", "a8", "a16", "a32")
+def simhashes(lines: DataFrame) -> DataFrame:
+    """doc_id, line_no, raw, id and fp (SimHash of the words of norm) of each line.
+
+    The words of a line are summed where they are split, before anything is shuffled: counters of 16
+    bits, four in a long, so 16 sums count all 64 bits. Lines too long for that are counted bit by bit.
+    """
+    keys = ["doc_id", "line_no", "raw", "id"]
+    sized = lines.withColumn("n", F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1)
+    ones = F.lit(sum(1 << (LANE * i) for i in range(64 // LANE)))
+    hashed = sized.filter(F.col("n") < LONG).select(*keys, F.explode(F.split("norm", " ")).alias("w")).select(*keys, F.xxhash64("w").alias("h"))
+    lanes = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(ones)).alias(f"c{j}") for j in range(LANE)]
+    counted = hashed.groupBy(*keys).agg(F.count("*").alias("n"), *lanes)
+    lane = lambda bit: F.shiftrightunsigned(F.col(f"c{bit % LANE}"), LANE * (bit // LANE)).bitwiseAND((1 << LANE) - 1)
+    usual = counted.select(*keys, _majority(lane, F.col("n")).alias("fp"))
+    wide = sized.filter(F.col("n") >= LONG).withColumn("hs", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))
+    each = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.size(F.filter("hs", lambda h: F.getbit(h, b) == 1)))
+    slow = wide.withColumn("each", each).select(*keys, _majority(lambda bit: F.element_at("each", bit + 1), F.col("n")).alias("fp"))
+    return usual.union(slow)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, norm and id (a hash of norm) of every line with at least one letter or digit."""
-    split = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    normal = split.select("doc_id", "line_no", normalised(F.col("line")).alias("norm")).filter("norm != ''")
-    return normal.withColumn("id", F.xxhash64("norm"))
+    """doc_id, line_no, norm, id (hash of norm) and raw (hash of the line) of lines with a letter or digit."""
+    return _normal(docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("raw", F.xxhash64("line")))
+
+
+def _normal(lines: DataFrame) -> DataFrame:
+    made = lines.select("doc_id", "line_no", "raw", normalised(F.col("line")).alias("norm")).filter("norm != ''")
+    return made.withColumn("id", F.xxhash64("norm"))
 
 
 def _block_keys(fp: Column) -> Column:
@@ -80,25 +86,41 @@ def dropped_lines(docs: DataFrame, similarity: float = 0.8, max_bits: int = 3) -
     `max_bits` bits and the edit distance of the normal forms is at most (1 - similarity) of the
     longer one. Of each connected group the first occurrence (least doc_id, then line) stays.
     """
-    seen = with_simhash(lines_of(docs)).groupBy("id", "fp").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    unique = staged(seen, "lines")
-    pairs = staged(candidate_pairs(unique.select("fp").distinct(), max_bits), "line-pairs")
+    every = staged(simhashes(lines_of(docs)), "lines")
+    unique = every.groupBy("id", "fp").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    pairs = staged(candidate_pairs(every.select("fp").distinct(), max_bits), "line-pairs")
     wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    near = small_side(unique.select("id", "fp").join(wanted, "fp", "left_semi").select("id", "fp"), 500_000)
-    texts = staged(lines_of(docs).select("id", "norm").join(near, "id").groupBy("id", "fp").agg(F.min("norm").alias("norm")), "line-texts")
+    near = every.join(small_side(wanted, 1_000_000), "fp", "left_semi").groupBy("id", "fp").agg(F.min("raw").alias("raw"))
+    near = staged(near, "line-near")
+    split = docs.select(F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("line", F.xxhash64("line").alias("raw"))
+    found = split.join(small_side(near.select("raw"), 1_000_000), "raw", "left_semi").groupBy("raw").agg(F.first("line").alias("line"))
+    texts = staged(near.join(found, "raw").select("id", "fp", normalised(F.col("line")).alias("norm")), "line-texts")
     a = texts.select(F.col("fp").alias("a"), F.col("id").alias("u"), F.col("norm").alias("s"))
     b = texts.select(F.col("fp").alias("b"), F.col("id").alias("v"), F.col("norm").alias("t"))
-
-    most = f"cast(floor(greatest(length(s), length(t)) * (1 - {similarity!r}) + 1e-9) as int)"
-    close = F.expr(f"abs(length(s) - length(t)) <= {most} and levenshtein(s, t, {most}) >= 0")
     between = pairs.join(a, "a").join(b, "b").select("u", "v", "s", "t")
-    same = texts.select("fp", F.col("id").alias("u"), F.col("norm").alias("s")).join(texts.select("fp", F.col("id").alias("v"), F.col("norm").alias("t")), "fp").filter("u < v").select("u", "v", "s", "t")
-    edges = between.union(same).filter(close).select("u", "v")
+    same = a.join(b, F.col("a") == F.col("b")).filter("u < v").select("u", "v", "s", "t")
+    edges = between.union(same).filter(_similar(similarity)).select("u", "v")
     groups = components(edges, "line-groups")
     classed = unique.join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "first", F.coalesce("component", "id").alias("component"))
     first = classed.groupBy("component").agg(F.min("first").alias("first"))
     owner = classed.select("id", "component").join(first, "component").select("id", F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l"))
-    return lines_of(docs).select("id", "doc_id", "line_no").join(owner, "id").filter(~(F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("l") == F.col("line_no")))).select("doc_id", "line_no")
+    return every.select("id", "doc_id", "line_no").join(owner, "id").filter(~(F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("l") == F.col("line_no")))).select("doc_id", "line_no")
+
+
+def _similar(similarity: float) -> Column:
+    """Whether s and t are within the edit distance; cheap bounds decide most pairs, the distance itself the rest.
+
+    Words that differ at one place of lines with equally many words cost at most the longer of the two
+    each; what lies between the common first and last words costs at most its longer side.
+    """
+    s, t = F.split("s", " "), F.split("t", " ")
+    most = F.floor(F.greatest(F.length("s"), F.length("t")) * (1 - similarity) + 1e-9).cast("int")
+    placed = F.aggregate(F.zip_with(s, t, lambda x, y: F.when(x == y, 0).otherwise(F.greatest(F.length(x), F.length(y)))), F.lit(0), lambda acc, v: acc + v)
+    head = lambda x, y: F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False) - 1
+    first, last = head(s, t), head(F.reverse(s), F.reverse(t))
+    rest = lambda x: F.aggregate(F.slice(x, (first + 1).cast("int"), F.greatest(F.lit(0), F.size(x) - first - last).cast("int")), F.lit(0), lambda acc, v: acc + F.length(v) + 1)
+    exact = F.expr(f"levenshtein(s, t, cast(floor(greatest(length(s), length(t)) * (1 - {similarity!r}) + 1e-9) as int)) >= 0")
+    return F.when(F.abs(F.length("s") - F.length("t")) > most, False).when(F.size(s).eqNullSafe(F.size(t)) & (placed <= most), True).when((first >= 0) & (last >= 0) & (F.least(F.size(s), F.size(t)) > first + last) & (F.greatest(rest(s), rest(t)) <= most), True).otherwise(exact)
 
 
 def dedup_lines(docs: DataFrame, similarity: float = 0.8, max_bits: int = 3) -> DataFrame:
