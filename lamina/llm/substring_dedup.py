@@ -80,7 +80,7 @@ def recurring_anchors(docs: DataFrame, window: int) -> DataFrame:
             ids = b.column(0).to_numpy()
             for at, _, row, word, start, n, anchor in _hashed(b.column(1), window):
                 phrase = span_hash(word, start, start + n + window - 1, 1) if len(start) else anchor
-                yield record_batch(fields, [signed(anchor), signed(phrase), ids[at:][row[start]]])
+                yield record_batch(fields, [signed(anchor), signed(phrase >> np.uint64(16)), ids[at:][row[start]]])  # 48 bits more than the anchor's
 
     rows = _keyed(docs).mapInArrow(run, "anchor long, phrase long, id long")
     found = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("phrase").alias("low"), F.max("phrase").alias("high"), F.min("id").alias("owner"))
@@ -131,7 +131,7 @@ def _lists(column: pa.Array, i: int) -> np.ndarray:
 
 def confirmed_windows(split: DataFrame, window: int) -> DataFrame:
     """id, starts and owners (arrays): windows of anchors with several phrases that occur more than once."""
-    fields = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
+    fields = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("start", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,46 +151,50 @@ def confirmed_windows(split: DataFrame, window: int) -> DataFrame:
                     continue
                 x, y = (span_hash(word, first, first + window, which) for which in (1, 2))
                 place = first - np.searchsorted(row, row[first])
-                _, once, times = np.unique(x ^ mix(row[first].astype(np.uint64) + np.uint64(1)), return_index=True, return_counts=True)
-                yield record_batch(fields, [signed(x[once]), signed(y[once]), ids[at:][row[first[once]]], place[once], times])
+                yield record_batch(fields, [signed(x), signed(y >> np.uint64(32)), ids[at:][row[first]], place])  # 96 bits name a window
 
     source = split.filter(F.exists("alone", lambda v: ~v)).select("id", "text", "anchors", "alone")
-    rows = source.mapInArrow(run, "a long, b long, id long, start long, n long")
-    owners = rows.groupBy("a", "b").agg(F.sum("n").alias("total"), F.min("id").alias("owner")).filter("total > 1")
-    found = rows.select("a", "b", "id", "start").join(owners.select("a", "b", "owner"), ["a", "b"])
+    rows = source.mapInArrow(run, "a long, b long, id long, start long")
+    owners = rows.groupBy("a", "b").agg(F.count("*").alias("total"), F.min("id").alias("owner")).filter("total > 1")
+    found = rows.join(owners.select("a", "b", "owner"), ["a", "b"])
     return found.groupBy("id").agg(F.collect_list(F.struct("start", "owner")).alias("w")).select("id", F.col("w.start").alias("starts"), F.col("w.owner").alias("window_owners"))
 
 
 class _Shard:
-    """Documents that share an automaton: their words as symbols, and their confirmed phrases."""
+    """Documents that share an automaton: their words as symbols, and their confirmed passages."""
 
-    def __init__(self, window: int) -> None:
-        self.window, self.symbols, self.automaton, self.docs, self.words = window, {}, ahocorasick.Automaton(), [], 0
+    def __init__(self) -> None:
+        self.symbols, self.automaton, self.docs, self.words = {}, ahocorasick.Automaton(), [], 0
 
-    def add(self, key: int, words: list[bytes], phrases: Iterator[tuple[int, int, int]]) -> None:
+    def add(self, key: int, words: list[bytes], passages: list[tuple[int, int, bool]]) -> None:
+        """`passages`: start, end, and whether the document itself owns the passage, and so keeps its first occurrence.
+
+        Of a passage that others own every occurrence goes. What another document brings is not this
+        one's to remove: each document comes with all of its own passages.
+        """
         symbol = self.symbols
         line = "".join([symbol.get(w) or symbol.setdefault(w, chr(len(symbol) + (1 if len(symbol) < 0xD000 else 0x2000))) for w in words])
-        for start, end, owner in phrases:
-            self.automaton.add_word(line[start:end], (end - start, owner))
-        self.docs.append((key, words, line))
+        for start, end, own in passages:
+            self.automaton.add_word(line[start:end], end - start)
+        self.docs.append((key, words, line, {line[s:e] for s, e, own in passages if own}, {line[s:e] for s, e, own in passages if not own}))
         self.words += len(words)
 
     def located(self) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-        """Key, words and which of them go, of each document: all occurrences but each phrase's first."""
+        """Key, words and which of them go, of each document."""
         if len(self.automaton):
             self.automaton.make_automaton()
-        for key, words, line in self.docs:
+        for key, words, line, own, others in self.docs:
             change = np.zeros(len(words) + 1, np.int64)
-            own = set()
-            for end, (length, owner) in self.automaton.iter(line) if len(self.automaton) else ():
+            kept = set()
+            for end, length in self.automaton.iter(line) if own or others else ():
                 start = end - length + 1
-                if key == owner:
-                    phrase = line[start : end + 1]
-                    if phrase not in own:
-                        own.add(phrase)
-                        continue
-                change[start] += 1
-                change[end + 1] -= 1
+                phrase = line[start : end + 1]
+                if phrase in own and phrase not in kept:
+                    kept.add(phrase)
+                    continue
+                if phrase in own or phrase in others:
+                    change[start] += 1
+                    change[end + 1] -= 1
             yield key, words, np.cumsum(change[:-1]) > 0
 
 
@@ -198,18 +202,34 @@ def located_documents(split: DataFrame, windows: DataFrame, window: int, with_te
     """id, n_words, n_removed, kept_sha256 (and kept, the kept words) of the documents in which something recurs."""
     fields = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.string())] * with_text)
 
-    def phrases(b: pa.RecordBatch, i: int, start: np.ndarray, n: np.ndarray, anchor: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    def passages(b: pa.RecordBatch, i: int, size: int, word: np.ndarray, start: np.ndarray, n: np.ndarray, anchor: np.ndarray) -> list[tuple[int, int, bool]]:
+        """Passages of a document of `size` words: maximal ones that others own, and those of its own that it repeats."""
+        key = b.column(0)[i].as_py()
         alone = _lists(b.column(4), i).astype(bool)
         known, owner = _lists(b.column(2), i)[alone], _lists(b.column(3), i)[alone]
         order = np.argsort(known)
-        at = np.searchsorted(known, signed(anchor), sorter=order)
-        for j in np.flatnonzero(at < len(known)):
-            k = order[at[j]]
-            if known[k] == signed(anchor[j : j + 1])[0]:
-                yield int(start[j]), int(start[j] + n[j] + window - 1), int(owner[k])
+        known, owner = known[order], owner[order]
+        at = np.minimum(np.searchsorted(known, signed(anchor)), max(0, len(known) - 1))
+        hit = known[at] == signed(anchor) if len(known) else np.zeros(len(anchor), bool)
+        others = hit & (owner[at] != key) if len(known) else hit
+        change = np.zeros(size + 1, np.int64)  # over window starts
+        np.add.at(change, start[others], 1)
+        np.add.at(change, (start + n)[others], -1)
+        mine = hit & ~others
+        spans = [(start[mine], (start + n)[mine] + window - 1)]
         if b.column(5)[i].is_valid:
-            for s, o in zip(_lists(b.column(5), i).tolist(), _lists(b.column(6), i).tolist(), strict=True):
-                yield s, s + window, o
+            starts, owners = _lists(b.column(5), i), _lists(b.column(6), i)
+            np.add.at(change, starts[owners != key], 1)
+            np.add.at(change, starts[owners != key] + 1, -1)
+            spans.append((starts[owners == key], starts[owners == key] + window))
+        covered = np.concatenate([[False], np.cumsum(change[:-1]) > 0, [False]])
+        edges = np.flatnonzero(covered[1:] != covered[:-1])
+        out = [(int(s), int(e) + window - 1, False) for s, e in edges.reshape(-1, 2)]
+        s, e = (np.concatenate(x) for x in zip(*spans, strict=True))
+        if len(s):  # what the document owns matters only where it comes again
+            _, first, times = np.unique(span_hash(word, s, e), return_index=True, return_counts=True)
+            out += [(int(s[j]), int(e[j]), True) for j in first[times > 1]]
+        return out
 
     def flush(shard: _Shard) -> pa.RecordBatch:
         out = []
@@ -219,19 +239,19 @@ def located_documents(split: DataFrame, windows: DataFrame, window: int, with_te
         return record_batch(fields, list(zip(*out, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = _Shard(window)
+        shard = _Shard()
         for b in batches:
             ids = b.column(0).to_pylist()
-            for at, rows, row, _, start, n, anchor in _hashed(b.column(1), window):
-                where = row[start]
-                edges = np.searchsorted(where, np.arange(rows + 1))
-                firsts = np.searchsorted(row, np.arange(rows))
+            for at, rows, row, word, start, n, anchor in _hashed(b.column(1), window):
+                edges = np.searchsorted(row[start], np.arange(rows + 1))
+                firsts = np.searchsorted(row, np.arange(rows + 1))
                 for r in range(rows):
                     part = slice(edges[r], edges[r + 1])
-                    shard.add(ids[at + r], (b.column(1)[at + r].as_py() or b"").split(), phrases(b, at + r, start[part] - firsts[r], n[part], anchor[part]))
+                    found = passages(b, at + r, firsts[r + 1] - firsts[r], word[firsts[r] : firsts[r + 1]], start[part] - firsts[r], n[part], anchor[part])
+                    shard.add(ids[at + r], (b.column(1)[at + r].as_py() or b"").split(), found)
                     if shard.words >= SHARD_WORDS:
                         yield flush(shard)
-                        shard = _Shard(window)
+                        shard = _Shard()
         if shard.docs:
             yield flush(shard)
 
