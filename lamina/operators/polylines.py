@@ -4,46 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-ORDER = Window.partitionBy("contour_id").orderBy("seq")
+def order() -> WindowSpec:
+    return Window.partitionBy("contour_id").orderBy("seq")
 
 
 def step_length() -> Column:
     """Distance from the point before; 0 for the first."""
-    return F.coalesce(F.hypot(F.col("x") - F.lag("x").over(ORDER), F.col("y") - F.lag("y").over(ORDER)), F.lit(0.0))
+    return F.coalesce(F.hypot(F.col("x") - F.lag("x").over(order()), F.col("y") - F.lag("y").over(order())), F.lit(0.0))
 
 
 def arc_length(points: DataFrame) -> DataFrame:
     """Cumulative length along each polyline."""
-    return points.withColumn("step", step_length()).withColumn("arc", F.sum("step").over(ORDER))
+    return points.withColumn("step", step_length()).withColumn("arc", F.sum("step").over(order()))
 
 
 def every_nth(points: DataFrame, n: int) -> DataFrame:
-    return points.withColumn("rn", F.row_number().over(ORDER) - 1).filter(F.col("rn") % n == 0).drop("rn")
+    return points.withColumn("rn", F.row_number().over(order()) - 1).filter(F.col("rn") % n == 0).drop("rn")
 
 
 def neighbours(points: DataFrame, k: int) -> DataFrame:
     """y of the points k before and after, clamped to the ends."""
-    whole = ORDER.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return points.withColumns({"y_left": F.coalesce(F.lag("y", k).over(ORDER), F.first("y").over(whole)), "y_right": F.coalesce(F.lead("y", k).over(ORDER), F.last("y").over(whole))})
+    whole = order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return points.withColumns({"y_left": F.coalesce(F.lag("y", k).over(order()), F.first("y").over(whole)), "y_right": F.coalesce(F.lead("y", k).over(order()), F.last("y").over(whole))})
 
 
 def without_repeats(points: DataFrame, columns: list[str]) -> DataFrame:
     """Drops a point that equals the one before in the columns."""
     same = F.lit(True)
     for c in columns:
-        same &= F.col(c).eqNullSafe(F.lag(c).over(ORDER))
-    return points.withColumn("_same", same & (F.row_number().over(ORDER) > 1)).filter(~F.col("_same")).drop("_same")
+        same &= F.col(c).eqNullSafe(F.lag(c).over(order()))
+    return points.withColumn("_same", same & (F.row_number().over(order()) > 1)).filter(~F.col("_same")).drop("_same")
 
 
 def _runs(points: DataFrame, starts: Column) -> DataFrame:
-    return points.withColumn("_new", F.when(starts, 1).otherwise(0)).withColumn("run", F.sum("_new").over(ORDER)).drop("_new")
+    return points.withColumn("_new", F.when(starts, 1).otherwise(0)).withColumn("run", F.sum("_new").over(order())).drop("_new")
 
 
 def runs_by_class(points: DataFrame, label: str, least: int) -> DataFrame:
     """Maximal runs of one class with at least so many points: first and last seq, count."""
-    begun = _runs(points, ~F.col(label).eqNullSafe(F.lag(label).over(ORDER)) | (F.row_number().over(ORDER) == 1))
+    begun = _runs(points, ~F.col(label).eqNullSafe(F.lag(label).over(order())) | (F.row_number().over(order()) == 1))
     return begun.groupBy("contour_id", "run", label).agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n")).filter(F.col("n") >= least).drop("run")
 
 
@@ -54,12 +55,12 @@ def split_by_gap(points: DataFrame, max_gap: float, least: int = 2) -> DataFrame
 
 
 def dashes(points: DataFrame, dash: int, gap: int) -> DataFrame:
-    return points.withColumn("rn", F.row_number().over(ORDER) - 1).filter(F.col("rn") % (dash + gap) < dash).drop("rn")
+    return points.withColumn("rn", F.row_number().over(order()) - 1).filter(F.col("rn") % (dash + gap) < dash).drop("rn")
 
 
 def densified(points: DataFrame) -> DataFrame:
     """About one point for each unit of length; shared vertices once, the last vertex kept; rounded half to even."""
-    ends = points.withColumns({"x1": F.lead("x").over(ORDER), "y1": F.lead("y").over(ORDER)})
+    ends = points.withColumns({"x1": F.lead("x").over(order()), "y1": F.lead("y").over(order())})
     n = F.when(F.col("x1").isNull(), 1).otherwise(F.greatest(F.lit(2), F.ceil(F.hypot(F.col("x1") - F.col("x"), F.col("y1") - F.col("y"))).cast("int")))
     rows = ends.withColumn("n", n).select("contour_id", "seq", "x", "y", "x1", "y1", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
     at = lambda a: F.rint(F.when(F.col("x1").isNull(), F.col(a)).otherwise(F.col(a) + (F.col(f"{a}1") - F.col(a)) * F.col("k") / F.col("n"))).cast("long")
@@ -68,7 +69,7 @@ def densified(points: DataFrame) -> DataFrame:
 
 def chaikin(points: DataFrame) -> DataFrame:
     """One round of corner cutting, ends kept; part 0 is the first point, 1 and 2 the cut corners, 3 the last."""
-    ends = points.withColumns({"x1": F.lead("x").over(ORDER), "y1": F.lead("y").over(ORDER), "first": F.row_number().over(ORDER) == 1})
+    ends = points.withColumns({"x1": F.lead("x").over(order()), "y1": F.lead("y").over(order()), "first": F.row_number().over(order()) == 1})
     point = lambda part, x, y: F.struct(F.lit(part).alias("part"), x.alias("px"), y.alias("py"))
     x, y, x1, y1 = (F.col(c) for c in ("x", "y", "x1", "y1"))
     made = F.array_compact(F.array(F.when(F.col("first"), point(0, x, y)), F.when(x1.isNotNull(), point(1, x * 0.75 + x1 * 0.25, y * 0.75 + y1 * 0.25)), F.when(x1.isNotNull(), point(2, x * 0.25 + x1 * 0.75, y * 0.25 + y1 * 0.75)), F.when(x1.isNull(), point(3, x, y))))
