@@ -19,48 +19,49 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), "[^\\p{L}\\p{N}]+", " "))
 
 
-#: Bits of a counter; so many lie side by side in a long, and as many longs count all 64 bits.
+#: Bits of a counter; four of them lie side by side in a long, so 16 longs count all 64 bits.
 LANE = 16
-#: Words of a line from which on its counters might overflow a lane.
-LONG = 1 << (LANE - 1)
+#: Words of a line from which on its counters might overflow: a lane holds a count and one bit for the comparison below.
+LONG = 1 << (LANE - 2)
+_ONES = sum(1 << (LANE * i) for i in range(64 // LANE))
 
 
-def _majority(count, n: Column) -> Column:
-    """Fingerprint whose bit b is set if count(b) is over half of n."""
+def _majority(n: Column) -> Column:
+    """Fingerprint whose bit b is set if over half of the n words have it, from the counters c0 to c15.
+
+    Adding LONG less the least majority to a counter sets its bit LANE - 2 if it reaches that majority;
+    four counters are compared by one addition, and none carries into the next.
+    """
+    short = (F.lit(LONG) - F.floor(n / 2).cast("long") - 1) * _ONES
     out = F.lit(0).cast("long")
-    for bit in range(64):
-        out = out.bitwiseOR(F.when(count(bit) * 2 > n, F.lit((1 << bit) - ((1 << 64) if bit == 63 else 0))).otherwise(F.lit(0).cast("long")))
+    for j in range(LANE):
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col(f"c{j}") + short, LANE - 2).bitwiseAND(_ONES), j))
     return out
 
 
-def simhashes(lines: DataFrame) -> DataFrame:
-    """doc_id, line_no, raw, id and fp (SimHash of the words of norm) of each line.
+def simhashes(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no, raw, id and fp (SimHash of the words of norm) of each line of `lines_of`.
 
-    The words of a line are summed where they are split, before anything is shuffled: counters of 16
-    bits, four in a long, so 16 sums count all 64 bits. Lines too long for that are counted bit by bit.
+    The words of a line are summed where they are split, before anything is shuffled. Lines too long
+    for the counters are counted bit by bit; a line of so many words has as many characters, so that
+    others are left out before they are normalised again.
     """
     keys = ["doc_id", "line_no", "raw", "id"]
-    sized = lines.withColumn("n", F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1)
-    ones = F.lit(sum(1 << (LANE * i) for i in range(64 // LANE)))
-    hashed = sized.filter(F.col("n") < LONG).select(*keys, F.explode(F.split("norm", " ")).alias("w")).select(*keys, F.xxhash64("w").alias("h"))
-    lanes = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(ones)).alias(f"c{j}") for j in range(LANE)]
-    counted = hashed.groupBy(*keys).agg(F.count("*").alias("n"), *lanes)
-    lane = lambda bit: F.shiftrightunsigned(F.col(f"c{bit % LANE}"), LANE * (bit // LANE)).bitwiseAND((1 << LANE) - 1)
-    usual = counted.select(*keys, _majority(lane, F.col("n")).alias("fp"))
-    wide = sized.filter(F.col("n") >= LONG).withColumn("hs", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))
-    each = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.size(F.filter("hs", lambda h: F.getbit(h, b) == 1)))
-    slow = wide.withColumn("each", each).select(*keys, _majority(lambda bit: F.element_at("each", bit + 1), F.col("n")).alias("fp"))
+    words = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
+    hashed = lines_of(docs).filter(words < LONG).select(*keys, F.explode(F.split("norm", " ")).alias("w")).select(*keys, F.xxhash64("w").alias("h"))
+    lanes = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(_ONES)).alias(f"c{j}") for j in range(LANE)]
+    usual = hashed.groupBy(*keys).agg(F.count("*").alias("n"), *lanes).select(*keys, _majority(F.col("n")).alias("fp"))
+    wide = lines_of(docs, LONG).filter(words >= LONG).withColumn("hs", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))
+    each = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(F.size(F.filter("hs", lambda h: F.getbit(h, b) == 1)) * 2 > F.size("hs"), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+    slow = wide.select(*keys, F.aggregate(each, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x)).alias("fp"))
     return usual.union(slow)
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, norm, id (hash of norm) and raw (hash of the line) of lines with a letter or digit."""
-    return _normal(docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("raw", F.xxhash64("line")))
-
-
-def _normal(lines: DataFrame) -> DataFrame:
-    made = lines.select("doc_id", "line_no", "raw", normalised(F.col("line")).alias("norm")).filter("norm != ''")
-    return made.withColumn("id", F.xxhash64("norm"))
+def lines_of(docs: DataFrame, least: int = 1) -> DataFrame:
+    """doc_id, line_no, raw (hash of the line), norm and id (hash of norm) of lines of `least` characters with a letter or digit."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.length("line") >= least)
+    made = lines.select("doc_id", "line_no", F.xxhash64("line").alias("raw"), normalised(F.col("line")).alias("norm"))
+    return made.filter("norm != ''").withColumn("id", F.xxhash64("norm"))
 
 
 def _block_keys(fp: Column) -> Column:
@@ -72,11 +73,53 @@ def _block_keys(fp: Column) -> Column:
     return F.array(*[F.shiftleft(F.lit(k).cast("long"), 32).bitwiseOR(F.shiftleft(a, 16)).bitwiseOR(b) for k, (a, b) in enumerate(combinations(blocks, 2))])
 
 
-def candidate_pairs(prints: DataFrame, max_bits: int = 3) -> DataFrame:
-    """Pairs a < b of distinct fingerprints (column fp, no repeats) within `max_bits` <= 3 bits."""
-    keyed = prints.select("fp", F.explode(_block_keys(F.col("fp"))).alias("key"))
-    left, right = keyed.select("key", F.col("fp").alias("a")), keyed.select("key", F.col("fp").alias("b"))
-    return left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).select("a", "b").distinct()
+def _differ(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def close_lines(lines: DataFrame, max_bits: int = 3) -> DataFrame:
+    """key, id and fp of lines (id, fp) and each block key under which another line is within `max_bits` <= 3 bits.
+
+    A semi join: each row comes once, however many others are near it.
+    """
+    keyed = lines.select(F.explode(_block_keys(F.col("fp"))).alias("key"), "id", "fp")
+    other = keyed.select(F.col("key").alias("k"), F.col("id").alias("other"), F.col("fp").alias("other_fp"))
+    return keyed.join(other, (F.col("key") == F.col("k")) & (F.col("id") != F.col("other")) & (_differ("fp", "other_fp") <= max_bits), "left_semi")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id and norm of the wanted lines (id, raw): found again in the documents by their hash, one copy each."""
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).select("line", F.xxhash64("line").alias("raw"))
+    found = lines.join(small_side(wanted.select("raw"), 1_000_000), "raw", "left_semi").groupBy("raw").agg(F.first("line").alias("line"))
+    return wanted.join(found, "raw").select("id", normalised(F.col("line")).alias("norm"))
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose texts are similar."""
+    s, t = texts.select(F.col("id").alias("u"), F.col("norm").alias("s")), texts.select(F.col("id").alias("v"), F.col("norm").alias("t"))
+    return pairs.join(s, "u").join(t, "v").filter(_similar(similarity)).select("u", "v")
+
+
+def line_groups(docs: DataFrame, lines: DataFrame, similarity: float = 0.8, max_bits: int = 3) -> DataFrame:
+    """node (id) and component of the lines (id, fp, raw; one row each) that link to others.
+
+    Under each block key all lines are first compared with one of them only, the hub. What that links
+    is one group already; of the other pairs under a key, those whose two lines are in different
+    groups are compared too. So a large group of copies costs a star instead of all its pairs,
+    and each pair of lines is either compared or known to be connected.
+    """
+    close = staged(close_lines(lines.select("id", "fp"), max_bits), "line-close")
+    texts = staged(_texts(docs, lines.join(close.select("id").distinct(), "id", "left_semi").select("id", "raw")), "line-texts")
+    hubs = close.groupBy("key").agg(F.min("id").alias("u")).join(close.select("key", F.col("id").alias("u"), F.col("fp").alias("hub_fp")), ["key", "u"])
+    tried = staged(close.join(hubs, "key").filter((F.col("u") != F.col("id")) & (_differ("fp", "hub_fp") <= max_bits)).select("u", F.col("id").alias("v")).distinct(), "line-pairs")
+    stars = staged(_confirmed(tried, texts, similarity), "line-edges")
+    parts = components(stars, "line-groups").select(F.col("node").alias("id"), "component")
+    placed = staged(close.join(parts, "id", "left").select("key", "id", "fp", F.coalesce("component", "id").alias("part")), "line-close")
+    a, b = (placed.select("key", *[F.col(c).alias(c + side) for c in ("id", "fp", "part")]) for side in ("_a", "_b"))
+    across = a.join(b, "key").filter((F.col("id_a") < F.col("id_b")) & (F.col("part_a") != F.col("part_b")) & (_differ("fp_a", "fp_b") <= max_bits))
+    across = across.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
+    bridges = staged(_confirmed(across, texts, similarity), "line-edges")
+    return components(stars.union(bridges), "line-groups")
 
 
 def dropped_lines(docs: DataFrame, similarity: float = 0.8, max_bits: int = 3) -> DataFrame:
@@ -86,21 +129,9 @@ def dropped_lines(docs: DataFrame, similarity: float = 0.8, max_bits: int = 3) -
     `max_bits` bits and the edit distance of the normal forms is at most (1 - similarity) of the
     longer one. Of each connected group the first occurrence (least doc_id, then line) stays.
     """
-    every = staged(simhashes(lines_of(docs)), "lines")
-    unique = every.groupBy("id", "fp").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    pairs = staged(candidate_pairs(every.select("fp").distinct(), max_bits), "line-pairs")
-    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    near = every.join(small_side(wanted, 1_000_000), "fp", "left_semi").groupBy("id", "fp").agg(F.min("raw").alias("raw"))
-    near = staged(near, "line-near")
-    split = docs.select(F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("line", F.xxhash64("line").alias("raw"))
-    found = split.join(small_side(near.select("raw"), 1_000_000), "raw", "left_semi").groupBy("raw").agg(F.first("line").alias("line"))
-    texts = staged(near.join(found, "raw").select("id", "fp", normalised(F.col("line")).alias("norm")), "line-texts")
-    a = texts.select(F.col("fp").alias("a"), F.col("id").alias("u"), F.col("norm").alias("s"))
-    b = texts.select(F.col("fp").alias("b"), F.col("id").alias("v"), F.col("norm").alias("t"))
-    between = pairs.join(a, "a").join(b, "b").select("u", "v", "s", "t")
-    same = a.join(b, F.col("a") == F.col("b")).filter("u < v").select("u", "v", "s", "t")
-    edges = between.union(same).filter(_similar(similarity)).select("u", "v")
-    groups = components(edges, "line-groups")
+    every = staged(simhashes(docs), "lines")
+    unique = staged(every.groupBy("id", "fp").agg(F.min("raw").alias("raw"), F.min(F.struct("doc_id", "line_no")).alias("first")), "line-unique")
+    groups = line_groups(docs, unique.select("id", "fp", "raw"), similarity, max_bits)
     classed = unique.join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "first", F.coalesce("component", "id").alias("component"))
     first = classed.groupBy("component").agg(F.min("first").alias("first"))
     owner = classed.select("id", "component").join(first, "component").select("id", F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l"))
@@ -111,7 +142,8 @@ def _similar(similarity: float) -> Column:
     """Whether s and t are within the edit distance; cheap bounds decide most pairs, the distance itself the rest.
 
     Words that differ at one place of lines with equally many words cost at most the longer of the two
-    each; what lies between the common first and last words costs at most its longer side.
+    each; what lies between the common first and last words costs at most its longer side. The
+    distance takes time in proportion to its bound, so an eighth of it is tried first.
     """
     s, t = F.split("s", " "), F.split("t", " ")
     most = F.floor(F.greatest(F.length("s"), F.length("t")) * (1 - similarity) + 1e-9).cast("int")
@@ -119,7 +151,8 @@ def _similar(similarity: float) -> Column:
     head = lambda x, y: F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False) - 1
     first, last = head(s, t), head(F.reverse(s), F.reverse(t))
     rest = lambda x: F.aggregate(F.slice(x, (first + 1).cast("int"), F.greatest(F.lit(0), F.size(x) - first - last).cast("int")), F.lit(0), lambda acc, v: acc + F.length(v) + 1)
-    exact = F.expr(f"levenshtein(s, t, cast(floor(greatest(length(s), length(t)) * (1 - {similarity!r}) + 1e-9) as int)) >= 0")
+    within = lambda part: F.expr(f"levenshtein(s, t, cast(floor((greatest(length(s), length(t)) * (1 - {similarity!r}) + 1e-9) / {part}) as int)) >= 0")
+    exact = within(8) | within(1)
     return F.when(F.abs(F.length("s") - F.length("t")) > most, False).when(F.size(s).eqNullSafe(F.size(t)) & (placed <= most), True).when((first >= 0) & (last >= 0) & (F.least(F.size(s), F.size(t)) > first + last) & (F.greatest(rest(s), rest(t)) <= most), True).otherwise(exact)
 
 

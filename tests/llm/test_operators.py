@@ -1,6 +1,8 @@
 """Each operator on a small fixture with nulls, empty and long texts, ties, repeats and clashing columns, against brute force."""
 
 import hashlib
+import random
+import re
 import zlib
 
 import numpy as np
@@ -152,14 +154,49 @@ def test_line_dedup_keeps_one_of_a_group(spark, none):
 
 
 def test_line_simhash_matches_brute_force(spark):
-    lines = [(i, 0, 0, t, i) for i, t in enumerate([_text(5), _text(80), "w " * 40000 + "v", _text(1)])]
-    df = spark.createDataFrame([(d, n, r, t.strip(), k) for d, n, r, t, k in lines], "doc_id long, line_no int, raw long, norm string, id long")
-    got = {r.id: r.fp % 2**64 for r in line_dedup.simhashes(df).collect()}
-    for _, _, _, text, key in lines:
-        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in text.split()]
+    texts = [_text(5), _text(80), "w " * 40000 + "v", "v " + "w " * 16381, " ".join(f"k{i}" for i in range(16383)), "only", "One--TWO\tthree"]
+    got = {r.doc_id: r.fp % 2**64 for r in line_dedup.simhashes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for key, text in enumerate(texts):
+        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.findall(r"[^\W_]+", text.lower())]
         assert got[key] == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def _distance(s: str, t: str) -> int:
+    row = list(range(len(t) + 1))
+    for i, x in enumerate(s):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(t):
+            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_line_groups_match_brute_force(spark):
+    rng = random.Random(7)
+    lines = []
+    for length in (12, 25, 40, 60):
+        base = _text(length).split()
+        for _ in range(14):  # chains of copies of copies, with some words swapped, dropped or changed
+            words = list(rng.choice([base, lines[-1].split() if lines else base]))
+            for _ in range(rng.randint(0, 3)):
+                i, j = rng.randrange(len(words)), rng.randrange(len(words))
+                if rng.random() < 0.5:
+                    words[i], words[j] = words[j], words[i]
+                else:
+                    words[i] = words[j]
+            lines.append(" ".join(words))
+        lines += [" ".join(reversed(base)), " ".join(base[1:] + base[:1])]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    fp = {r.doc_id: r.fp % 2**64 for r in line_dedup.simhashes(docs).collect()}
+    group = list(range(len(lines)))
+    for i, s in enumerate(lines):
+        for j, t in enumerate(lines[:i]):
+            if s == t or (fp[i] ^ fp[j]).bit_count() <= 3 and _distance(s, t) <= int(max(len(s), len(t)) * (1 - 0.8) + 1e-9):
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    gone = {r.doc_id for r in line_dedup.dropped_lines(docs).collect()}
+    assert gone == {i for i in range(len(lines)) if group[i] != i} and 0 < len(gone) < len(lines)
+
+
 def test_edit_bounds_agree_with_the_distance(spark):
     base = _text(30)
     words = base.split()
