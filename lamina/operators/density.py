@@ -53,6 +53,75 @@ def crossings(points: DataFrame, value: str) -> DataFrame:
     return points.withColumn("after", after).filter(now * F.col("after") < 0).select("sample", "bin", ((F.col("bin") + 0.5) * 0.02 + t * 0.02).alias("depth"))
 
 
+def peaks(points: DataFrame, value: str) -> DataFrame:
+    """Local maxima of a curve per sample: bin (the middle one of a plateau, rounded down), height, prominence.
+
+    A plateau at either end is no peak. The prominence is the height over the higher of the two lowest
+    values met on the way to a higher bin, or to the end, on either side.
+    """
+    w = Window.partitionBy("sample").orderBy("bin")
+    runs = points.withColumn("new", F.when(F.col(value) == F.lag(value).over(w), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
+    flat = runs.groupBy("sample", "run").agg(F.min("bin").alias("from"), F.max("bin").alias("to"), F.first(value).alias("height"))
+    by_run = Window.partitionBy("sample").orderBy("run")
+    tops = flat.withColumns({"before": F.lag("height").over(by_run), "after": F.lead("height").over(by_run)}).filter("height > before and height > after")
+    tops = tops.select("sample", F.floor((F.col("from") + F.col("to")) / 2).cast("int").alias("bin"), "height")
+    other = points.select("sample", F.col("bin").alias("b"), F.col(value).alias("v"))
+    met = tops.join(other, "sample")  # a curve has BINS bins, so at most BINS rows a peak
+    wall = met.groupBy("sample", "bin", "height").agg(F.coalesce(F.max(F.when((F.col("b") < F.col("bin")) & (F.col("v") > F.col("height")), F.col("b"))), F.lit(-1)).alias("l"), F.coalesce(F.min(F.when((F.col("b") > F.col("bin")) & (F.col("v") > F.col("height")), F.col("b"))), F.lit(BINS)).alias("r"))
+    low = wall.join(other, "sample").groupBy("sample", "bin", "height").agg(F.min(F.when((F.col("b") > F.col("l")) & (F.col("b") <= F.col("bin")), F.col("v"))).alias("left"), F.min(F.when((F.col("b") < F.col("r")) & (F.col("b") >= F.col("bin")), F.col("v"))).alias("right"))
+    return low.select("sample", "bin", "height", (F.col("height") - F.greatest("left", "right")).alias("prominence"))
+
+
+def _apart(found: Column, distance: Column) -> Column:
+    """Of peaks (height, bin), highest first and of equal ones the later, those not nearer than `distance` to one kept before."""
+    ranked = F.reverse(F.array_sort(found))
+    none = F.filter(ranked, lambda p: F.lit(False))
+    return F.aggregate(ranked, none, lambda kept, p: F.when(F.forall(kept, lambda q: F.abs(q["bin"] - p["bin"]) >= distance), F.concat(kept, F.array(p))).otherwise(kept))
+
+
+def top_two_peaks(points: DataFrame, value: str, lowest: float = 0.05, highest: float = 0.8) -> DataFrame:
+    """The two highest peaks per sample, upper and lower bin; samples with fewer have no row.
+
+    Peaks are sought between two depths, at least max(3, a tenth of the bins) apart, and prominent by
+    a tenth of the range of values there; where that leaves fewer than two, any prominence will do.
+    """
+    center = (F.col("bin") + 0.5) * 0.02
+    inside = points.filter((center >= lowest) & (center <= highest))
+    size = inside.groupBy("sample").agg(F.greatest(F.lit(3), F.floor(F.count("*") / 10)).alias("distance"), (F.max(value) - F.min(value)).alias("range"))
+    found = peaks(inside, value).groupBy("sample").agg(F.collect_list(F.struct("height", "bin", "prominence")).alias("found")).join(size, "sample")
+    kept = found.withColumn("kept", _apart(F.col("found"), F.col("distance")))
+    strong = F.filter("kept", lambda p: p["prominence"] >= F.col("range") * 0.1)
+    chosen = kept.withColumn("kept", F.when(F.size(strong) >= 2, strong).otherwise(F.col("kept"))).filter(F.size("kept") >= 2)
+    a, b = F.element_at("kept", 1)["bin"], F.element_at("kept", 2)["bin"]
+    return chosen.select("sample", F.least(a, b).alias("upper"), F.greatest(a, b).alias("lower"))
+
+
+def peak_bounds(points: DataFrame, value: str, turns: DataFrame) -> DataFrame:
+    """Depths b0 to b5 that part five layers, from two peaks and the depths (sample, depth) where the curvature turns.
+
+    The turn nearest above the upper peak, two between the peaks, and the nearest below the lower one;
+    fixed fractions stand in for missing ones. Bounds that do not grow are set 0.02 after the one
+    before. Samples without two peaks have no row.
+    """
+    at = lambda c: (F.col(c) + 0.5) * 0.02
+    two = top_two_peaks(points, value).select("sample", at("upper").alias("p"), at("lower").alias("q"))
+    z = two.join(turns.groupBy("sample").agg(F.collect_list("depth").alias("z")), "sample", "left").withColumn("z", F.coalesce("z", F.array().cast("array<double>")))
+    p, q, mid = F.col("p"), F.col("q"), (F.col("p") + F.col("q")) / 2
+    nearest = lambda values, goal: F.array_min(F.transform(values, lambda x: F.struct(F.abs(x - goal).alias("off"), x.alias("x"))))["x"]
+    z = z.withColumn("mids", F.filter("z", lambda x: (x > p) & (x < q)))
+    z = z.withColumn("c2", F.coalesce(nearest(F.col("mids"), mid * 0.7), p + (q - p) * 0.33))
+    rest = nearest(F.filter("mids", lambda x: x > F.col("c2")), mid * 1.3)
+    z = z.withColumns({
+        "c1": F.coalesce(F.array_max(F.filter("z", lambda x: x < p)), p * 0.5),
+        "c3": F.when(F.size("mids") > 0, F.coalesce(rest, (F.col("c2") + q) / 2)).otherwise(p + (q - p) * 0.67),
+        "c4": F.coalesce(F.array_min(F.filter("z", lambda x: x > q)), q + (1 - q) * 0.4),
+        "c5": F.lit(1.0), "r0": F.lit(0.0),
+    })
+    for i in range(1, 6):
+        z = z.withColumn(f"r{i}", F.when(F.col(f"c{i}") <= F.col(f"r{i - 1}"), F.col(f"r{i - 1}") + 0.02).otherwise(F.col(f"c{i}")))
+    return z.select("sample", *[F.least(F.lit(1.0), F.col(f"r{i}")).alias(f"b{i}") for i in range(6)])
+
+
 def layers_of(curve_points: DataFrame, layers=DEFAULT_LAYERS) -> DataFrame:
     """Mean density of each layer over the bins whose centres lie in it, both ends closed; 0 if none."""
     bounds = curve_points.sparkSession.createDataFrame(list(layers), "layer string, start double, end double")

@@ -74,3 +74,60 @@ def chaikin(points: DataFrame) -> DataFrame:
     x, y, x1, y1 = (F.col(c) for c in ("x", "y", "x1", "y1"))
     made = F.array_compact(F.array(F.when(F.col("first"), point(0, x, y)), F.when(x1.isNotNull(), point(1, x * 0.75 + x1 * 0.25, y * 0.75 + y1 * 0.25)), F.when(x1.isNotNull(), point(2, x * 0.25 + x1 * 0.75, y * 0.25 + y1 * 0.75)), F.when(x1.isNull(), point(3, x, y))))
     return ends.select("contour_id", "seq", F.explode(made).alias("p")).select("contour_id", "seq", "p.part", "p.px", "p.py")
+
+
+def _spread(points: DataFrame, reach: int, reflect: bool) -> DataFrame:
+    """Each point as seen from the points up to `reach` places away (at, d), beyond the ends by reflection or by the end itself."""
+    sized = points.withColumns({"i": F.row_number().over(order()) - 1, "n": F.count("*").over(Window.partitionBy("contour_id"))})
+    seen = sized.select("contour_id", "i", "n", "x", "y", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("d"))
+    here = seen.select("contour_id", (F.col("i") - F.col("d")).alias("at"), "n", "x", "y", "d").filter("at >= 0 and at < n")
+    first, last = F.col("i") == 0, F.col("i") == F.col("n") - 1
+    if reflect:  # the end is repeated: -1 shows 0, n shows n - 1
+        mirror = F.array(-1 - F.col("i"), 2 * F.col("n") - 1 - F.col("i"))
+        beyond = sized.select("contour_id", "n", "x", "y", F.explode(mirror).alias("to"))
+    else:
+        steps = F.sequence(F.lit(1), F.lit(reach))
+        beyond = sized.filter(first | last).select("contour_id", "n", "x", "y", F.explode(F.concat(F.when(first, F.transform(steps, lambda k: -k)).otherwise(F.array().cast("array<int>")), F.when(last, F.transform(steps, lambda k: F.col("n") - 1 + k)).otherwise(F.array().cast("array<bigint>")))).alias("to"))
+    beyond = beyond.filter((F.col("to") >= -reach) & (F.col("to") < F.col("n") + reach))
+    beyond = beyond.select("contour_id", "n", "x", "y", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("d"), "to")
+    beyond = beyond.select("contour_id", (F.col("to") - F.col("d")).alias("at"), "n", "x", "y", "d").filter("at >= 0 and at < n")
+    return here.unionByName(beyond)
+
+
+def median_filtered(points: DataFrame, size: int = 11) -> DataFrame:
+    """Median of y over an odd window, reflected at the ends; polylines of at most `size` points stay as they are."""
+    middle = _spread(points, size // 2, True).groupBy("contour_id", "at", "n").agg(F.sort_array(F.collect_list("y")).alias("ys"))
+    numbered = points.withColumn("at", (F.row_number().over(order()) - 1).cast("bigint"))
+    return numbered.join(middle.withColumn("at", F.col("at").cast("bigint")), ["contour_id", "at"], "left").withColumn("y", F.when(F.col("n") > size, F.element_at("ys", size // 2 + 1)).otherwise(F.col("y"))).drop("at", "n", "ys")
+
+
+def gauss_smoothed(points: DataFrame, sigma: float = 2.0, max_kernel: int = 15) -> DataFrame:
+    """Gaussian mean of x and y over 3 sigma, ends repeated; the two ends and polylines under 3 points stay."""
+    widest = max(3, max_kernel) if max(3, max_kernel) % 2 else max(3, max_kernel) - 1
+    reach = min(max(1, round(sigma * 3)), widest // 2)
+    weight = F.exp(-(F.col("d") * F.col("d")) / (2 * sigma * sigma))
+    mean = lambda c: (F.sum(F.col(c) * weight) / F.sum(weight)).alias(f"s{c}")
+    means = _spread(points, reach, False).groupBy("contour_id", "at", "n").agg(mean("x"), mean("y")).withColumn("at", F.col("at").cast("bigint"))
+    joined = points.withColumn("at", (F.row_number().over(order()) - 1).cast("bigint")).join(means, ["contour_id", "at"], "left")
+    inner = (F.col("n") >= 3) & (F.col("at") > 0) & (F.col("at") < F.col("n") - 1)
+    return joined.withColumns({c: F.when(inner, F.col(f"s{c}")).otherwise(F.col(c)) for c in "xy"}).drop("at", "n", "sx", "sy")
+
+
+def resampled(points: DataFrame, step: float = 1.0, least: float = 1e-6) -> DataFrame:
+    """Points at equal arc lengths, about one per step (0.25 at least) and no fewer than before; both ends kept.
+
+    Points that repeat the one before go first. Each segment makes the samples that fall on it, so
+    nothing is joined; a polyline of one place stays one point.
+    """
+    kept = points.withColumns({"step": step_length(), "rn": F.row_number().over(order())}).filter((F.col("rn") == 1) | (F.col("step") > least))
+    whole = Window.partitionBy("contour_id")
+    line = arc_length(kept.select("contour_id", "seq", "x", "y")).withColumns({"n": F.count("*").over(whole), "total": F.max("arc").over(whole)})
+    parts = F.greatest(F.ceil(F.col("total") / max(step, 0.25)), F.col("n") - 1)
+    line = line.withColumn("parts", parts).withColumns({"x1": F.lead("x").over(order()), "y1": F.lead("y").over(order()), "arc1": F.lead("arc").over(order()), "last": F.col("seq") == F.max("seq").over(whole)})
+    first = lambda arc: F.ceil(F.col(arc) * F.col("parts") / F.col("total"))
+    lo = F.when(F.col("last"), F.col("parts")).otherwise(first("arc"))
+    hi = F.when(F.col("last"), F.col("parts")).when(F.col("arc1") == F.col("total"), F.col("parts") - 1).otherwise(first("arc1") - 1)
+    made = line.withColumns({"lo": lo, "hi": hi}).filter("lo <= hi").select("*", F.explode(F.sequence("lo", "hi")).alias("k"))
+    t = (F.col("k") * F.col("total") / F.col("parts") - F.col("arc")) / (F.col("arc1") - F.col("arc"))
+    at = lambda c: F.when(F.col("last"), F.col(c)).otherwise(F.col(c) + (F.col(f"{c}1") - F.col(c)) * t)
+    return made.select("contour_id", "k", at("x").alias("px"), at("y").alias("py"))

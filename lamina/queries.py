@@ -119,6 +119,29 @@ _add("densify", "v_vertices", P.densified, f"""WITH e AS (SELECT contour_id, seq
 _add("chaikin", "v_vertices", P.chaikin, f"""WITH e AS (SELECT contour_id, seq, x, y, lead(x) {_W} AS x1, lead(y) {_W} AS y1 FROM v_vertices) SELECT contour_id, seq, 0 AS part, round(x, 6) AS px, round(y, 6) AS py FROM e WHERE seq = 0
  UNION ALL SELECT contour_id, seq, 1, round(x * cast(0.75 as double) + x1 * cast(0.25 as double), 6), round(y * cast(0.75 as double) + y1 * cast(0.25 as double), 6) FROM e WHERE x1 IS NOT NULL UNION ALL SELECT contour_id, seq, 2, round(x * cast(0.25 as double) + x1 * cast(0.75 as double), 6), round(y * cast(0.25 as double) + y1 * cast(0.75 as double), 6) FROM e WHERE x1 IS NOT NULL
  UNION ALL SELECT contour_id, seq, 3, round(x, 6), round(y, 6) FROM e WHERE x1 IS NULL""", "px py")
+_NUMBERED = "WITH v AS (SELECT contour_id, seq, x, y, count(*) OVER (PARTITION BY contour_id) AS n FROM v_vertices)"
+_add("median_filter", "v_vertices", lambda v: P.median_filtered(v).select("contour_id", "seq", "y"), _NUMBERED + """ SELECT a.contour_id, a.seq, CASE WHEN any_value(a.n) > 11 THEN median(b.y) ELSE any_value(a.y) END AS y
+ FROM (SELECT *, CASE WHEN seq + o < 0 THEN -1 - seq - o WHEN seq + o >= n THEN greatest(0, 2 * n - 1 - seq - o) ELSE seq + o END AS src FROM v, generate_series(-5, 5) AS g(o)) a LEFT JOIN v b ON b.contour_id = a.contour_id AND b.seq = a.src GROUP BY 1, 2""")
+_add("gauss_smooth", "v_vertices", lambda v: P.gauss_smoothed(v).select("contour_id", "seq", "x", "y"), _NUMBERED + """, s AS (SELECT a.contour_id, a.seq, any_value(a.n) AS n, any_value(a.x) AS x, any_value(a.y) AS y, sum(w * b.x) / sum(w) AS sx, sum(w * b.y) / sum(w) AS sy
+ FROM (SELECT *, exp(-cast(o * o AS double) / 8) AS w, greatest(0, least(n - 1, seq + o)) AS src FROM v, generate_series(-6, 6) AS g(o)) a JOIN v b ON b.contour_id = a.contour_id AND b.seq = a.src GROUP BY 1, 2)
+ SELECT contour_id, seq, round(CASE WHEN n < 3 OR seq = 0 OR seq = n - 1 THEN x ELSE sx END, 6) AS x, round(CASE WHEN n < 3 OR seq = 0 OR seq = n - 1 THEN y ELSE sy END, 6) AS y FROM s""", "x y")
+_add("resample", "v_vertices", lambda v: P.resampled(v, 2.0).select("contour_id", F.col("k").cast("long").alias("k"), F.round("px", 4).alias("px"), F.round("py", 4).alias("py")), f"""WITH a AS (SELECT contour_id, seq, x, y, sum(step) {_W} AS arc FROM (SELECT contour_id, seq, x, y, {_STEP} AS step FROM v_vertices) q),
+ t AS (SELECT contour_id, max(arc) AS total, greatest(cast(ceil(max(arc) / 2) AS bigint), count(*) - 1) AS parts FROM a GROUP BY 1), e AS (SELECT *, lead(x) {_W} AS x1, lead(y) {_W} AS y1, lead(arc) {_W} AS arc1 FROM a),
+ s AS (SELECT contour_id, total, k.k AS k, total * k.k / nullif(parts, 0) AS d FROM t, generate_series(0, parts) AS k(k)), b AS (SELECT s.contour_id, k, d, e.*, row_number() OVER (PARTITION BY s.contour_id, k ORDER BY e.seq DESC) AS rn FROM s JOIN e ON e.contour_id = s.contour_id AND (e.arc <= d + 1e-9 OR d IS NULL))
+ SELECT contour_id, k, round(CASE WHEN x1 IS NULL THEN x ELSE x + (x1 - x) * (d - arc) / (arc1 - arc) END, 4) AS px, round(CASE WHEN y1 IS NULL THEN y ELSE y + (y1 - y) * (d - arc) / (arc1 - arc) END, 4) AS py FROM b WHERE rn = 1""")
+_add("curve_peaks", "v_cells", lambda c: D.peaks(D.smoothed(D.curve(c)), "smooth"), _SMOOTH + """, t AS (SELECT sample, bin, smooth, lag(smooth) OVER w AS a, lead(smooth) OVER w AS b FROM smooth WINDOW w AS (PARTITION BY sample ORDER BY bin))
+ SELECT sample, bin, round(smooth, 6) AS height, round(smooth - greatest((SELECT min(s.smooth) FROM smooth s WHERE s.sample = t.sample AND s.bin < t.bin AND NOT EXISTS (SELECT 1 FROM smooth h WHERE h.sample = t.sample AND h.smooth > t.smooth AND h.bin >= s.bin AND h.bin < t.bin)),
+ (SELECT min(s.smooth) FROM smooth s WHERE s.sample = t.sample AND s.bin > t.bin AND NOT EXISTS (SELECT 1 FROM smooth h WHERE h.sample = t.sample AND h.smooth > t.smooth AND h.bin <= s.bin AND h.bin > t.bin))), 6) AS prominence FROM t WHERE smooth > a AND smooth > b""", "height prominence")
+
+
+def _peak_bounds(cells: DataFrame) -> DataFrame:
+    """Layer bounds of each sample from its own smoothed curve."""
+    curve = D.smoothed(D.curve(cells))
+    bend = D.gradient(D.gradient(curve, "smooth", "slope"), "slope", "bend")
+    return D.peak_bounds(curve, "smooth", D.crossings(bend, "bend"))
+
+
+_add("peak_bounds", "v_cells", _peak_bounds, None, "b0 b1 b2 b3 b4 b5")
 _add("otsu", "v_gray", R.otsu, """WITH h AS (SELECT sample, v, count(*) AS n FROM v_gray GROUP BY 1, 2), c AS (SELECT sample, v, sum(n) OVER (PARTITION BY sample ORDER BY v) AS w0, sum(n * v) OVER (PARTITION BY sample ORDER BY v) AS s0, sum(n) OVER (PARTITION BY sample) AS w, sum(n * v) OVER (PARTITION BY sample) AS s FROM h),
  t AS (SELECT sample, v, cast(w0 AS double) * (w - w0) * power(cast(s0 AS double) / w0 - cast(s - s0 AS double) / (w - w0), 2) AS score FROM c WHERE w0 < w) SELECT sample, v AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY score DESC, v) AS rn FROM t) q WHERE rn = 1""")
 _MASK = lambda p: p.filter("gt_layer = 'L4'").select("sample", "x", "y")

@@ -55,3 +55,47 @@ def test_straight_line_densifies_without_repeats(spark):
     line = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 3.0, 0.0), (1, 2, 5.0, 0.0)], "contour_id int, seq int, x double, y double")
     got = polylines.densified(line).orderBy("seq", "k").collect()
     assert [r.px for r in got] == [0, 1, 2, 3, 4, 5]
+
+
+def _curve(spark, heights):
+    return spark.createDataFrame([("s", i, float(h)) for i, h in enumerate(heights)], "sample string, bin int, v double")
+
+
+def _bell(at, i):
+    return math.exp(-(((i + 0.5) * 0.02 - at) ** 2) / 0.005)
+
+
+def test_peaks_on_plateau_and_prominence(spark):
+    got = {r.bin: (r.height, r.prominence) for r in density.peaks(_curve(spark, [3, 1, 2, 2, 2, 0, 5, 4, 4.5, 1, 9]), "v").collect()}
+    assert got == {3: (2.0, 1.0), 6: (5.0, 5.0 - 1.0), 8: (4.5, 0.5)}
+
+
+def test_two_peaks_and_their_bounds(spark):
+    two = _curve(spark, [0.5 + 0.3 * _bell(0.25, i) + 0.4 * _bell(0.55, i) for i in range(50)])
+    row = density.top_two_peaks(two, "v").first()
+    assert abs((row.upper + 0.5) * 0.02 - 0.25) <= 0.02 and abs((row.lower + 0.5) * 0.02 - 0.55) <= 0.02
+    none = spark.createDataFrame([], "sample string, depth double")
+    p, q = (row.upper + 0.5) * 0.02, (row.lower + 0.5) * 0.02
+    want = [0, p * 0.5, p + (q - p) * 0.33, p + (q - p) * 0.67, q + (1 - q) * 0.4, 1]
+    assert all(abs(a - b) < 1e-9 for a, b in zip(density.peak_bounds(two, "v", none).first()[1:], want, strict=True))
+    turns = spark.createDataFrame([("s", z) for z in (0.1, 0.2, 0.3, 0.42, 0.5, 0.62, 0.9)], "sample string, depth double")
+    assert density.peak_bounds(two, "v", turns).first()[1:] == (0.0, 0.2, 0.3, 0.5, 0.62, 1.0)
+    one = _curve(spark, [_bell(0.4, i) for i in range(50)])
+    assert density.top_two_peaks(one, "v").count() == 0 and density.peak_bounds(one, "v", turns).count() == 0
+
+
+def test_near_peaks_leave_the_higher(spark):
+    heights = [0.0] * 50
+    heights[10], heights[12], heights[30] = 5.0, 6.0, 4.0
+    row = density.top_two_peaks(_curve(spark, heights), "v").first()
+    assert (row.upper, row.lower) == (12, 30)
+
+
+def test_short_lines_stay_as_they_are(spark):
+    line = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 0.0, 0.0), (1, 2, 4.0, 3.0), (2, 0, 1.0, 1.0), (2, 1, 9.0, 9.0), (3, 5, 2.0, 2.0)], "contour_id int, seq int, x double, y double")
+    assert sorted(polylines.median_filtered(line).collect()) == sorted(line.collect())
+    short = line.filter("contour_id > 1")
+    assert sorted(map(tuple, polylines.gauss_smoothed(short).select(line.columns).collect())) == sorted(map(tuple, short.collect()))
+    got = [(r.px, r.py) for r in polylines.resampled(line.filter("contour_id = 1"), 1.0).orderBy("k").collect()]
+    assert len(got) == 6 and got[0] == (0, 0) and got[-1] == (4, 3) and all(abs(math.hypot(x, y) - i) < 1e-9 for i, (x, y) in enumerate(got))
+    assert [(r.px, r.py) for r in polylines.resampled(line.filter("contour_id = 3"), 1.0).collect()] == [(2, 2)]
