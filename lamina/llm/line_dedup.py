@@ -60,10 +60,15 @@ def simhashes(docs: DataFrame) -> DataFrame:
 def lines_of(docs: DataFrame, least: int = 1) -> DataFrame:
     """doc_id, line_no, raw (hash of the line), norm and id (hash of norm) of lines of `least` characters with a letter or digit."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.length("line") >= least)
-    made = lines.select("doc_id", "line_no", F.xxhash64("line").alias("raw"), normalised(F.col("line")).alias("norm"))
+    made = lines.select("doc_id", "line_no", F.xxhash64("line").alias("raw"), _once(normalised(F.col("line"))).alias("norm"))
     return made.filter("norm != ''").withColumn("id", F.xxhash64("norm"))
 
 
+def _once(value: Column) -> Column:
+    """The value, worked out once: filters on it are not moved below an explode, where each would work it out anew."""
+    return F.explode(F.array(value))
+
+
 def _block_keys(fp: Column) -> Column:
     """Ten keys, one for each pair of blocks: fingerprints within 3 bits agree on two of five blocks."""
     blocks, at = [], 0
@@ -138,22 +143,25 @@ def dropped_lines(docs: DataFrame, similarity: float = 0.8, max_bits: int = 3) -
     return every.select("id", "doc_id", "line_no").join(owner, "id").filter(~(F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("l") == F.col("line_no")))).select("doc_id", "line_no")
 
 
+#: Characters of the pieces that two lines are cut into for an upper bound of their edit distance.
+PIECE = 128
+
+
 def _similar(similarity: float) -> Column:
-    """Whether s and t are within the edit distance; cheap bounds decide most pairs, the distance itself the rest.
+    """Whether s and t are within the edit distance; cheap upper bounds decide most pairs, the distance itself the rest.
 
-    Words that differ at one place of lines with equally many words cost at most the longer of the two
-    each; what lies between the common first and last words costs at most its longer side. The
-    distance takes time in proportion to its bound, so an eighth of it is tried first.
+    Words that differ at one place cost at most the longer of the two each, words beyond the end of the
+    other line their length and a space. Lines cut into equally many pieces are no farther apart than
+    their pieces together; that takes time in proportion to the length of a line, not to its square.
     """
-    s, t = F.split("s", " "), F.split("t", " ")
-    most = F.floor(F.greatest(F.length("s"), F.length("t")) * (1 - similarity) + 1e-9).cast("int")
-    placed = F.aggregate(F.zip_with(s, t, lambda x, y: F.when(x == y, 0).otherwise(F.greatest(F.length(x), F.length(y)))), F.lit(0), lambda acc, v: acc + v)
-    head = lambda x, y: F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False) - 1
-    first, last = head(s, t), head(F.reverse(s), F.reverse(t))
-    rest = lambda x: F.aggregate(F.slice(x, (first + 1).cast("int"), F.greatest(F.lit(0), F.size(x) - first - last).cast("int")), F.lit(0), lambda acc, v: acc + F.length(v) + 1)
-    within = lambda part: F.expr(f"levenshtein(s, t, cast(floor((greatest(length(s), length(t)) * (1 - {similarity!r}) + 1e-9) / {part}) as int)) >= 0")
-    exact = within(8) | within(1)
-    return F.when(F.abs(F.length("s") - F.length("t")) > most, False).when(F.size(s).eqNullSafe(F.size(t)) & (placed <= most), True).when((first >= 0) & (last >= 0) & (F.least(F.size(s), F.size(t)) > first + last) & (F.greatest(rest(s), rest(t)) <= most), True).otherwise(exact)
+    longest = F.greatest(F.length("s"), F.length("t"))
+    most = F.floor(longest * (1 - similarity) + 1e-9).cast("int")
+    placed = F.aggregate(F.zip_with(F.split("s", " "), F.split("t", " "), lambda x, y: F.when(x.eqNullSafe(y), 0).otherwise(F.greatest(F.length(x), F.length(y)) + 1)), F.lit(0), lambda acc, v: acc + v)
+    pieces = F.ceil(longest / PIECE)
+    cut = lambda c, i: F.substring(c, (F.floor(F.length(c) * i / pieces) + 1).cast("int"), (F.floor(F.length(c) * (i + 1) / pieces) - F.floor(F.length(c) * i / pieces)).cast("int"))
+    parted = F.aggregate(F.sequence(F.lit(0).cast("long"), pieces - 1), F.lit(0), lambda acc, i: acc + F.levenshtein(cut("s", i), cut("t", i)))
+    exact = F.expr(f"levenshtein(s, t, cast(floor(greatest(length(s), length(t)) * (1 - {similarity!r}) + 1e-9) as int)) >= 0")
+    return F.when(F.abs(F.length("s") - F.length("t")) > most, False).when(placed <= most, True).when((longest > 2 * PIECE) & (parted <= most), True).otherwise(exact)
 
 
 def dedup_lines(docs: DataFrame, similarity: float = 0.8, max_bits: int = 3) -> DataFrame:
