@@ -11,7 +11,7 @@ from lamina.llm.line_dedup import dedup_lines
 from lamina.llm.mixing import mix
 from lamina.llm.packing import pack_documents
 from lamina.llm.quality import keep_good, quality_model
-from lamina.llm.simhash_dedup import keep_one
+from lamina.llm.shingle_dedup import keep_one
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -31,8 +31,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return keep_one(docs, shingle=5, radius=2).select(*COLUMNS)
+    """One document of each group stays whose members are linked by a Jaccard similarity of 0.8 of their 5-word shingles."""
+    return keep_one(docs, shingle=5, similarity=0.8).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
