@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lamina.llm.common import record_batch, table
+from lamina.llm.common import record_batch, staged, table
 from lamina.llm.exact_search import usable
 
 #: Rows and queries of a leaf that one task compares at most, about; larger leaves are cut by hash.
@@ -96,10 +96,11 @@ def _leaf_search(k: int):
         ids, q_ids = data["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], np.stack(data["v"].to_numpy())[order].astype(float)
+        ids, first = np.unique(ids, return_index=True)
         out = []
         for at in range(0, len(q_ids), 256):
             q = np.stack(queries["v"].to_numpy()[at : at + 256]).astype(float)
-            score = _products(q, x)
+            score = np.maximum.reduceat(_products(q, x), first, axis=1)  # an id's best row takes its one place
             score[ids[None, :] == q_ids[at : at + 256, None]] = -np.inf
             best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ids ascend, so ties keep the smaller
             value = np.take_along_axis(score, best, 1)
@@ -118,8 +119,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 8,
     tree. A query's `probes` leaves come from one priority queue over all trees; its candidates there
     are compared exactly. If there are k other rows or fewer, all are found: probes then covers a tree.
     Leaves are cut by hash into chunks, so a leaf that holds a large part of the rows is no one
-    task's. Ties go to the smaller vec_id; repeated rows of a vec_id count once.
+    task's. Ties go to the smaller vec_id; repeated rows of a vec_id count once, by the best of those
+    searched: equal ones are merged first, of others a chunk keeps the best before it keeps its k best.
     """
+    vectors, queries = staged(vectors.select("vec_id", "v").distinct(), "vectors"), queries.select("vec_id", "v").distinct()
     sample = vectors.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(sample_rows).select("v").toPandas()
     if not len(sample):
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -156,7 +159,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 8,
     sizes = vectors.select("vec_id", "v").mapInArrow(place, kind).groupBy("tree", "leaf").count()  # trees x leaves rows at most
     cuts = F.broadcast(sizes.select("tree", "leaf", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")))
     left = probed.join(cuts, ["tree", "leaf"]).select("vec_id", "v", "tree", "leaf", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    right = placed.join(cuts, ["tree", "leaf"]).select("vec_id", "v", "tree", "leaf", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"))
+    right = placed.join(cuts, ["tree", "leaf"]).select("vec_id", "v", "tree", "leaf", F.pmod(F.xxhash64("vec_id", "v"), F.col("chunks")).cast("int").alias("chunk"))
     keys = ["tree", "leaf", "chunk"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda key, a, b: _leaf_search(k)(a, b), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

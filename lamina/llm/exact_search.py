@@ -51,6 +51,7 @@ class _Search:
         self.score = np.full((len(q), k), NONE)
         self.best = np.full((len(q), k), np.iinfo(np.int64).max)
         self.k = k
+        self.repeats = len(np.unique(ids)) < len(ids)
         most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, x.shape[1])
         self.exact = most < 2**53  # then every sum is an exact double
         self.slack = 1e-9 * most + 1e-6
@@ -64,6 +65,10 @@ class _Search:
         ids = np.broadcast_to(self.ids[rows], score.shape)
         score = np.where(ids == self.q_ids[qs][:, None], NONE, score)
         score, ids = np.hstack([self.score[qs], score]), np.hstack([self.best[qs], ids])
+        if self.repeats:  # of an id's rows the best one only takes a place
+            order = np.lexsort((-np.maximum(score, NONE + 1), ids), axis=1)
+            score, ids = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+            score[:, 1:][ids[:, 1:] == ids[:, :-1]] = NONE
         order = np.lexsort((ids, -np.maximum(score, NONE + 1)), axis=1)[:, : self.k]
         self.score[qs], self.best[qs] = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
 
@@ -115,14 +120,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     to the smaller vec_id; vectors of another length are no candidates. Queries and data are cut into
     blocks by hash and each pair of blocks is searched in a task of its own, so neither side is
     broadcast or collected; a block's k best per query meet in a window of blocks x k rows. Repeated
-    rows of a vec_id count once for a query, by their best score.
+    rows of a vec_id count once for a query, by their best score: equal ones are merged before the
+    blocks, of others a block keeps the best before it keeps its k best.
     """
     data_blocks = max(1, -(-vectors.count() // DATA_BLOCK))
     query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    part = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("vec_id", "v", F.size("v").alias("dim"), part(query_blocks).alias("qb"), every(data_blocks).alias("db"))
-    right = vectors.select("vec_id", "v", F.size("v").alias("dim"), part(data_blocks).alias("db"), every(query_blocks).alias("qb"))
+    left = queries.select("vec_id", "v").distinct().select("vec_id", "v", F.size("v").alias("dim"), part(query_blocks, "vec_id", "v").alias("qb"), every(data_blocks).alias("db"))
+    right = vectors.select("vec_id", "v").distinct().select("vec_id", "v", F.size("v").alias("dim"), part(data_blocks, "vec_id", "v").alias("db"), every(query_blocks).alias("qb"))
     keys = ["dim", "qb", "db"]
     tasks = data_blocks * query_blocks
     found = left.repartition(tasks, *keys).groupBy(*keys).cogroup(right.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(lambda key, a, b: _block_search(k)(a, b), "query_id long, vec_id long, score long")

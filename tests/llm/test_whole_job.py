@@ -2,7 +2,11 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
+from lamina.llm.approximate_search import nearest
+from lamina.llm.exact_search import top_k
 
 WORDS = [f"w{i}" for i in range(3000)]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -45,3 +49,38 @@ def test_near_duplicate_stage_tells_rows_of_one_id_apart(spark):
     rows = [(None, same, "a"), (None, same, "a"), (7, same, "a"), (7, "another text altogether", "a"), (None, "a third one", "a"), (None, "a third one", "a"), (3, None, "a")]
     out = corpus_pipeline.near_duplicates(spark, _docs(spark, rows), "").collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in out) == sorted([(7, same), (7, "another text altogether"), (0, "a third one"), (3, "")])
+
+
+def _repeated_vectors():
+    """Ids 0 to 199 of one row, 300 with 40 equal rows and 301 with 40 different ones, both ahead of all others."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [int(v) for v in rng.integers(1, 40, 6)]) for i in range(200)]
+    rows += [(300, [90] * 6)] * 40 + [(301, [60 + i, 60, 60, 60, 60, 60]) for i in range(40)]
+    queries = [r for r in rows if r[0] % 20 == 0]
+    want = {}
+    for q, v in queries:
+        best = {}
+        for i, x in rows:
+            if i != q:
+                score = sum(a * b for a, b in zip(v, x, strict=True))
+                best[i] = max(best.get(i, score), score)
+        want[q] = sorted(best.items(), key=lambda b: (-b[1], b[0]))
+    return rows, queries, want
+
+
+def test_exact_search_counts_repeated_rows_once(spark):
+    rows, queries, want = _repeated_vectors()
+    data, asked = (spark.createDataFrame(r, "vec_id long, v array<long>") for r in (rows, [q for q in queries if q[0] < 300]))
+    got = {}
+    for r in sorted(top_k(data, asked, 5).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == {q: w[:5] for q, w in want.items() if q < 300}
+
+
+def test_nearest_counts_repeated_rows_once(spark):
+    rows, queries, want = _repeated_vectors()
+    data, asked = (spark.createDataFrame([(i, [float(x) for x in v]) for i, v in r], "vec_id long, v array<double>") for r in (rows, [q for q in queries if q[0] < 300]))
+    got = {}
+    for r in sorted(nearest(data, asked, 20).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == {q: w[:20] for q, w in want.items() if q < 300}
