@@ -71,6 +71,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("id"), docs["text"].cast("binary").alias("text"))
 
 
+def _told_apart(docs: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """id, text and h; id and h name a text: h is its hash where several rows have the id, or all may, else zero.
+
+    Zeros compress to nothing when they are shuffled. Beyond `most` such ids every text gets its hash.
+    """
+    keyed, h = _keyed(docs), F.xxhash64("text")
+    several = staged(keyed.groupBy("id").count().filter("count > 1").select("id"), "repeated-ids")
+    if several.limit(most + 1).count() > most:
+        return keyed.withColumn("h", h)
+    several = F.broadcast(several.withColumn("_several", F.lit(True)))
+    return keyed.join(several, "id", "left").select("id", "text", F.when(F.col("_several"), h).otherwise(F.lit(0).cast("long")).alias("h"))
+
+
 def recurring_anchors(docs: DataFrame, window: int) -> DataFrame:
     """anchor, owner (least id) and alone (whether all its runs are one phrase) of each anchor that has two runs."""
     fields = pa.schema([("anchor", pa.int64()), ("phrase", pa.int64()), ("id", pa.int64())])
@@ -88,28 +101,32 @@ def recurring_anchors(docs: DataFrame, window: int) -> DataFrame:
 
 
 def marked_documents(docs: DataFrame, recurring: DataFrame, window: int) -> DataFrame:
-    """id, text, anchors, owners and alone (three arrays, null where nothing recurs) of every document."""
-    fields = pa.schema([("id", pa.int64()), ("anchor", pa.int64())])
+    """id, text, anchors, owners and alone (three arrays, null where nothing recurs) and h of every document.
+
+    Marks are gathered by id and h, so rows of one id with different texts each get their own.
+    """
+    fields = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("anchor", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy()
+            ids, hs = b.column(0).to_numpy(), b.column(2).to_numpy()
             for at, _, row, _, start, _, anchor in _hashed(b.column(1), window):
                 where = row[start]
                 order = np.lexsort((anchor, where))
                 new = np.ones(len(order), bool)
                 new[1:] = (where[order][1:] != where[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])
-                yield record_batch(fields, [ids[at:][where[order][new]], signed(anchor[order][new])])
+                held = where[order][new]
+                yield record_batch(fields, [ids[at:][held], hs[at:][held], signed(anchor[order][new])])
 
-    keyed = _keyed(docs)
-    held = keyed.mapInArrow(run, "id long, anchor long").join(recurring, "anchor")
-    marks = held.groupBy("id").agg(F.collect_list(F.struct("anchor", "owner", "alone")).alias("marks"))
-    return keyed.join(marks, "id", "left").select("id", "text", F.col("marks.anchor").alias("anchors"), F.col("marks.owner").alias("owners"), F.col("marks.alone").alias("alone"))
+    keyed = _told_apart(docs)
+    held = keyed.mapInArrow(run, "id long, h long, anchor long").join(recurring, "anchor")
+    marks = held.groupBy("id", "h").agg(F.collect_set(F.struct("anchor", "owner", "alone")).alias("marks"))  # equal rows bring the same marks
+    return keyed.join(marks, ["id", "h"], "left").select("id", "text", F.col("marks.anchor").alias("anchors"), F.col("marks.owner").alias("owners"), F.col("marks.alone").alias("alone"), "h")
 
 
 def split_documents(marked: DataFrame) -> DataFrame:
     """Documents in which nothing recurs with their result (text null), others with text and marks."""
-    fields = pa.schema([("id", pa.int64()), ("text", pa.binary()), ("anchors", pa.list_(pa.int64())), ("owners", pa.list_(pa.int64())), ("alone", pa.list_(pa.bool_())), ("n_words", pa.int64()), ("kept", pa.string())])
+    fields = pa.schema([("id", pa.int64()), ("text", pa.binary()), ("anchors", pa.list_(pa.int64())), ("owners", pa.list_(pa.int64())), ("alone", pa.list_(pa.bool_())), ("n_words", pa.int64()), ("kept", pa.string()), ("h", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,9 +137,9 @@ def split_documents(marked: DataFrame) -> DataFrame:
                 if clear[i]:
                     words = (x or b"").split()
                     n[i], kept[i], text[i] = len(words), hashlib.sha256(b" ".join(words)).hexdigest(), None
-            yield record_batch(fields, [b.column(0), pa.array(text, pa.binary()), anchors.cast(pa.list_(pa.int64())), b.column(3).cast(pa.list_(pa.int64())), b.column(4).cast(pa.list_(pa.bool_())), n, kept])
+            yield record_batch(fields, [b.column(0), pa.array(text, pa.binary()), anchors.cast(pa.list_(pa.int64())), b.column(3).cast(pa.list_(pa.int64())), b.column(4).cast(pa.list_(pa.bool_())), n, kept, b.column(5)])
 
-    return marked.mapInArrow(run, "id long, text binary, anchors array<long>, owners array<long>, alone array<boolean>, n_words long, kept string")
+    return marked.mapInArrow(run, "id long, text binary, anchors array<long>, owners array<long>, alone array<boolean>, n_words long, kept string, h long")
 
 
 def _lists(column: pa.Array, i: int) -> np.ndarray:
@@ -130,12 +147,12 @@ def _lists(column: pa.Array, i: int) -> np.ndarray:
 
 
 def confirmed_windows(split: DataFrame, window: int) -> DataFrame:
-    """id, starts and owners (arrays): windows of anchors with several phrases that occur more than once."""
-    fields = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("start", pa.int64())])
+    """id, h, starts and owners (arrays): windows of anchors with several phrases that occur more than once."""
+    fields = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("start", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy()
+            ids, hs = b.column(0).to_numpy(), b.column(4).to_numpy()
             for at, rows, row, word, start, n, anchor in _hashed(b.column(1), window):
                 several = np.zeros(len(start), bool)
                 where = row[start]
@@ -151,13 +168,13 @@ def confirmed_windows(split: DataFrame, window: int) -> DataFrame:
                     continue
                 x, y = (span_hash(word, first, first + window, which) for which in (1, 2))
                 place = first - np.searchsorted(row, row[first])
-                yield record_batch(fields, [signed(x), signed(y >> np.uint64(32)), ids[at:][row[first]], place])  # 96 bits name a window
+                yield record_batch(fields, [signed(x), signed(y >> np.uint64(32)), ids[at:][row[first]], hs[at:][row[first]], place])  # 96 bits name a window
 
-    source = split.filter(F.exists("alone", lambda v: ~v)).select("id", "text", "anchors", "alone")
-    rows = source.mapInArrow(run, "a long, b long, id long, start long")
+    source = split.filter(F.exists("alone", lambda v: ~v)).select("id", "text", "anchors", "alone", "h")
+    rows = source.mapInArrow(run, "a long, b long, id long, h long, start long")
     owners = rows.groupBy("a", "b").agg(F.count("*").alias("total"), F.min("id").alias("owner")).filter("total > 1")
     found = rows.join(owners.select("a", "b", "owner"), ["a", "b"])
-    return found.groupBy("id").agg(F.collect_list(F.struct("start", "owner")).alias("w")).select("id", F.col("w.start").alias("starts"), F.col("w.owner").alias("window_owners"))
+    return found.groupBy("id", "h").agg(F.collect_set(F.struct("start", "owner")).alias("w")).select("id", "h", F.col("w.start").alias("starts"), F.col("w.owner").alias("window_owners"))
 
 
 class _Shard:
@@ -255,7 +272,7 @@ def located_documents(split: DataFrame, windows: DataFrame, window: int, with_te
         if shard.docs:
             yield flush(shard)
 
-    source = split.filter("anchors is not null").join(windows, "id", "left").select("id", "text", "anchors", "owners", "alone", "starts", "window_owners")
+    source = split.filter("anchors is not null").join(windows, ["id", "h"], "left").select("id", "text", "anchors", "owners", "alone", "starts", "window_owners")
     return source.mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
 
 
@@ -264,8 +281,8 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A word is removed if a window of `window` words that covers it also starts earlier: in a document
     with a smaller doc_id, or earlier in its own. A null doc_id counts as the smallest. Null and empty
-    texts have no words. Rows that repeat a doc_id are each treated as that document: each keeps its
-    first occurrence of a passage that it owns. Only anchors, phrase hashes and owners are shuffled,
+    texts have no words. Rows that repeat a doc_id are each treated as that document, with what recurs
+    in their own text: each keeps its first occurrence of a passage that it owns. Only anchors, phrase hashes and owners are shuffled,
     and the texts once; documents in which nothing recurs are done after that, the rest go on.
     """
     split = staged(split_documents(marked_documents(docs, recurring_anchors(docs, window), window)), "passages")

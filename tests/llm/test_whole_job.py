@@ -1,10 +1,12 @@
 """What the operators promise beyond their first tests: near copies at the stated similarity, null and repeated ids."""
 
+import hashlib
 import random
 
 import numpy as np
 
 import corpus_pipeline
+from lamina.llm import substring_dedup
 from lamina.llm.approximate_search import nearest
 from lamina.llm.exact_search import top_k
 
@@ -84,3 +86,33 @@ def test_nearest_counts_repeated_rows_once(spark):
     for r in sorted(nearest(data, asked, 20).collect(), key=lambda r: r["rank"]):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert got == {q: w[:20] for q, w in want.items() if q < 300}
+
+
+def test_substring_dedup_of_null_and_repeated_ids(spark):
+    rng = random.Random(11)
+    text = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    passages = [text(30) for _ in range(4)]
+    rows = []
+    for i in (None, None, None, None, 4, 4, 4, 9, 9, 12):  # the passages at other places in texts of other lengths
+        some = [text(rng.randint(0, 300)) + rng.choice(passages)[rng.randint(0, 4) :] for _ in range(rng.randint(1, 3))]
+        rows.append((i, " ".join(w for part in some for w in part + text(rng.randint(0, 9)))))
+    rows += [(None, " ".join(passages[0])), (None, " ".join(passages[0])), (4, None), (12, rows[-1][1])]
+    first = {}  # least id of each window; null comes first
+    split = [((-1 if i is None else i), (t or "").encode().split()) for i, t in rows]
+    for i, words in split:
+        for at in range(len(words) - 19):
+            window = tuple(words[at : at + 20])
+            first[window] = min(first.get(window, i), i)
+    want = []
+    for i, words in split:
+        gone, seen = [False] * len(words), set()
+        for at in range(len(words) - 19):
+            window = tuple(words[at : at + 20])
+            if first[window] < i or window in seen:
+                gone[at : at + 20] = [True] * 20
+            seen.add(window)
+        kept = b" ".join(w for w, g in zip(words, gone, strict=True) if not g)
+        want.append((i, len(words), sum(gone), hashlib.sha256(kept).hexdigest()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup_passages(docs).collect()]
+    assert sorted(got) == sorted(want) and sum(w[2] for w in want) > 200
