@@ -40,17 +40,19 @@ def _majority(n: Column) -> Column:
 
 
 def simhashes(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, raw, id and fp (SimHash of the words of norm) of each line of `lines_of`.
+    """doc_id, row, line_no, raw, id and fp (SimHash of the words of norm) of each line of `lines_of`.
 
-    The words of a line are summed where they are split, before anything is shuffled. Lines too long
+    The words of a line are summed where they are split, before anything is shuffled, each occurrence
+    of a line for itself, so that no number of occurrences fills a counter. Lines too long
     for the counters are counted bit by bit; a line of so many words has as many characters, so that
     others are left out before they are normalised again.
     """
-    keys = ["doc_id", "line_no", "raw", "id"]
+    keys = ["doc_id", "row", "line_no", "raw", "id"]
     words = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
-    hashed = lines_of(docs).filter(words < LONG).select(*keys, F.explode(F.split("norm", " ")).alias("w")).select(*keys, F.xxhash64("w").alias("h"))
+    usual = lines_of(docs).filter(words < LONG).withColumn("nth", F.monotonically_increasing_id())
+    hashed = usual.select(*keys, "nth", F.explode(F.split("norm", " ")).alias("w")).select(*keys, "nth", F.xxhash64("w").alias("h"))
     lanes = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(_ONES)).alias(f"c{j}") for j in range(LANE)]
-    usual = hashed.groupBy(*keys).agg(F.count("*").alias("n"), *lanes).select(*keys, _majority(F.col("n")).alias("fp"))
+    usual = hashed.groupBy(*keys, "nth").agg(F.count("*").alias("n"), *lanes).select(*keys, _majority(F.col("n")).alias("fp"))
     wide = lines_of(docs, LONG).filter(words >= LONG).withColumn("hs", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))
     each = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(F.size(F.filter("hs", lambda h: F.getbit(h, b) == 1)) * 2 > F.size("hs"), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
     slow = wide.select(*keys, F.aggregate(each, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x)).alias("fp"))
@@ -58,12 +60,22 @@ def simhashes(docs: DataFrame) -> DataFrame:
 
 
 def lines_of(docs: DataFrame, least: int = 1) -> DataFrame:
-    """doc_id, line_no, raw (hash of the line), norm and id (hash of norm) of lines of `least` characters with a letter or digit."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.length("line") >= least)
-    made = lines.select("doc_id", "line_no", F.xxhash64("line").alias("raw"), _once(normalised(F.col("line"))).alias("norm"))
+    """doc_id, row, line_no, raw (hash of the line), norm and id (hash of norm) of lines of `least` characters with a letter or digit.
+
+    `row` is the row's own key, a column of docs or else made from its doc_id and text.
+    """
+    if "row" not in docs.columns:
+        docs = docs.withColumn("row", _row_key("doc_id", "text"))
+    lines = docs.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.length("line") >= least)
+    made = lines.select("doc_id", "row", "line_no", F.xxhash64("line").alias("raw"), _once(normalised(F.col("line"))).alias("norm"))
     return made.filter("norm != ''").withColumn("id", F.xxhash64("norm"))
 
 
+def _row_key(*columns: str) -> Column:
+    """Hash of a row's columns; a null is not taken for the value of a neighbour."""
+    return F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
+
+
 def _once(value: Column) -> Column:
     """The value, worked out once: filters on it are not moved below an explode, where each would work it out anew."""
     return F.explode(F.array(value))
@@ -128,19 +140,20 @@ def line_groups(docs: DataFrame, lines: DataFrame, similarity: float = 0.8, max_
 
 
 def dropped_lines(docs: DataFrame, similarity: float = 0.8, max_bits: int = 3) -> DataFrame:
-    """doc_id and line_no of each line that has an earlier occurrence in its connected group.
+    """doc_id, row and line_no of each line that has an earlier occurrence in its connected group.
 
     Lines link if their normal forms are equal, or if the SimHashes of their words differ in at most
     `max_bits` bits and the edit distance of the normal forms is at most (1 - similarity) of the
-    longer one. Of each connected group the first occurrence (least doc_id, then line) stays.
+    longer one. Of each connected group the first occurrence (least doc_id, then row, then line) stays.
+    Rows with one key have one result here; `dedup_lines` sees to all but the first of them.
     """
     every = staged(simhashes(docs), "lines")
-    unique = staged(every.groupBy("id", "fp").agg(F.min("raw").alias("raw"), F.min(F.struct("doc_id", "line_no")).alias("first")), "line-unique")
+    unique = staged(every.groupBy("id", "fp").agg(F.min("raw").alias("raw"), F.min(F.struct("doc_id", "row", "line_no")).alias("first")), "line-unique")
     groups = line_groups(docs, unique.select("id", "fp", "raw"), similarity, max_bits)
     classed = unique.join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "first", F.coalesce("component", "id").alias("component"))
     first = classed.groupBy("component").agg(F.min("first").alias("first"))
-    owner = classed.select("id", "component").join(first, "component").select("id", F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l"))
-    return every.select("id", "doc_id", "line_no").join(owner, "id").filter(~(F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("l") == F.col("line_no")))).select("doc_id", "line_no")
+    owner = classed.select("id", "component").join(first, "component").select("id", F.col("first.row").alias("r"), F.col("first.line_no").alias("l"))
+    return every.select("id", "doc_id", "row", "line_no").join(owner, "id").filter("r != row or l != line_no").select("doc_id", "row", "line_no")
 
 
 #: Characters of the pieces that two lines are cut into for an upper bound of their edit distance.
@@ -168,13 +181,22 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8, max_bits: int = 3) ->
     """The documents without repeated lines, with n_lines and n_removed; other columns as they were.
 
     Lines are parted by \\n. Lines without a letter or digit stay. Null text stays null with no lines;
-    a document may lose all its lines, its text is then empty. Rows that repeat a doc_id are taken
-    for one document: what is removed from one is removed from all.
+    a document may lose all its lines, its text is then empty. A row is told from others by all its
+    columns, so null and repeated doc_ids need no care; of rows that agree in all, the first is
+    treated as the only one, and the others lose every line with a letter or digit.
     """
-    gone = dropped_lines(docs, similarity, max_bits).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.withColumn("_key", F.col("doc_id")).join(gone.withColumnRenamed("doc_id", "_id"), F.col("_key").eqNullSafe(F.col("_id")), "left").drop("_key", "_id")
+    keyed = docs.withColumn("_row", _row_key(*docs.columns))
     lines = F.split("text", "\n")
+    gone = dropped_lines(keyed.select("doc_id", "text", F.col("_row").alias("row")), similarity, max_bits).groupBy(F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
+    equal = staged(keyed.groupBy("_row").agg(F.count("*").alias("_times")).filter("_times > 1"), "equal-rows")
+    joined = keyed.join(gone, "_row", "left")
+    if not equal.isEmpty():
+        again = joined.join(equal, "_row").dropDuplicates(["_row"])
+        every = F.transform(lines, lambda x, i: F.when(normalised(x) != "", i))
+        again = again.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "_times")).alias("_nth")).withColumn("_gone", F.when(F.col("_nth") == 1, F.col("_gone")).otherwise(F.array_compact(every)))
+        joined = joined.join(equal, "_row", "left_anti").unionByName(again.drop("_times", "_nth"))
     gap = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
+    joined = joined.drop("_row")
     return joined.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "text": gap}).drop("_gone")
 
 

@@ -6,7 +6,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from lamina.llm import substring_dedup
+from lamina.llm import line_dedup, substring_dedup
 from lamina.llm.approximate_search import nearest
 from lamina.llm.exact_search import top_k
 
@@ -116,3 +116,21 @@ def test_substring_dedup_of_null_and_repeated_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = [(-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup_passages(docs).collect()]
     assert sorted(got) == sorted(want) and sum(w[2] for w in want) > 200
+
+
+def test_line_dedup_tells_rows_of_one_id_apart(spark):
+    said = "a line that several documents hold word for word"
+    own = [f"only here {WORDS[9 * i]} {WORDS[9 * i + 1]} {WORDS[9 * i + 2]}" for i in range(8)]
+    rows = [(None, f"{own[0]}\n{own[1]}"), (None, f"{own[2]}\n{said}"), (None, f"{own[3]}\n{own[4]}"), (5, f"{own[5]}\n{said}"), (5, f"{own[6]}\n{own[7]}")]
+    rows += [(6, f"{said}\n---\nso {WORDS[100]} is {WORDS[101]}")] * 3 + [(7, None), (7, None), (7, "")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(None, rows[0][1], 0), (None, rows[1][1], 0), (None, rows[2][1], 0), (5, own[5], 1), (5, rows[4][1], 0)]
+    want += [(6, f"---\nso {WORDS[100]} is {WORDS[101]}", 1), (6, "---", 2), (6, "---", 2), (7, None, 0), (7, None, 0), (7, "", 0)]
+    assert sorted((str(r.doc_id), str(r.text), r.n_removed) for r in out) == sorted((str(i), str(t), n) for i, t, n in want)
+
+
+def test_line_simhash_does_not_depend_on_how_often_a_line_recurs(spark):
+    line = " ".join(WORDS[:40])
+    once = line_dedup.simhashes(spark.createDataFrame([(1, line)], "doc_id long, text string")).first().fp
+    often = line_dedup.simhashes(spark.createDataFrame([(None, line)] * 900, "doc_id long, text string")).collect()
+    assert len(often) == 900 and {r.fp for r in often} == {once}
