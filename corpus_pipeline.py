@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import SPACE, staged
+from lamina.llm.common import staged
 from lamina.llm.line_dedup import dedup_lines
 from lamina.llm.mixing import mix
 from lamina.llm.packing import pack_documents
@@ -36,12 +36,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each draw of a document is a row; where a source's target ends inside one, only its first words are taken."""
-    draws = mix(docs).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    rows = docs.join(draws, F.col("doc_id").eqNullSafe(F.col("_id")))
-    words = F.filter(F.split("text", SPACE), lambda w: w != "")
-    text = F.when(F.col("_taken") < F.col("_size"), F.array_join(F.slice(words, F.lit(1), F.col("_taken").cast("int")), " ")).otherwise(F.col("text"))
-    return _as_documents(rows.withColumn("text", text))
+    """Each draw of a document is a row, with its whole text.
+
+    Where a source's target ends inside a document, that one is drawn if at least half of it is due: a
+    source ends within half a document of its target. Rows are drawn by a hash of all their columns,
+    so null and repeated doc_ids need no care; rows that agree in all come once for each draw of one.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]))
+    draws = mix(keyed.select(F.col("_row").alias("doc_id"), "source", "text")).filter(F.col("taken") * 2 >= F.col("size"))
+    rows = keyed.dropDuplicates(["_row"]).join(draws.select(F.col("doc_id").alias("_row")), "_row")
+    return _as_documents(rows)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

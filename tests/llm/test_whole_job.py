@@ -1,12 +1,13 @@
 """What the operators promise beyond their first tests: near copies at the stated similarity, null and repeated ids."""
 
+import collections
 import hashlib
 import random
 
 import numpy as np
 
 import corpus_pipeline
-from lamina.llm import line_dedup, substring_dedup
+from lamina.llm import line_dedup, mixing, substring_dedup
 from lamina.llm.approximate_search import nearest
 from lamina.llm.exact_search import top_k
 
@@ -134,3 +135,21 @@ def test_line_simhash_does_not_depend_on_how_often_a_line_recurs(spark):
     once = line_dedup.simhashes(spark.createDataFrame([(1, line)], "doc_id long, text string")).first().fp
     often = line_dedup.simhashes(spark.createDataFrame([(None, line)] * 900, "doc_id long, text string")).collect()
     assert len(often) == 900 and {r.fp for r in often} == {once}
+
+
+def test_mixture_stage_takes_whole_rows_of_null_and_repeated_ids(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(240):
+        text = "\n".join(" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 12)))
+        rows.append((rng.choice([None, 5, i]), text, rng.choice(["a", "b", "c"])))
+    rows += [rows[0]] * 3  # equal rows
+    words = lambda t: len(t.split())
+    plan = mixing.targets([(s, sum(words(t) for _, t, x in rows if x == s)) for s in "abc"])
+    out = corpus_pipeline.mixture(spark, _docs(spark, rows), "").collect()
+    assert {(r.doc_id, r.text, r.source) for r in out} <= set(rows)
+    longest = max(words(t) for _, t, _ in rows)
+    for source, _, target in plan:
+        assert abs(sum(words(r.text) for r in out if r.source == source) - target) <= longest / 2 + 1
+    times = collections.Counter((r.doc_id, r.text, r.source) for r in out)
+    assert all(n <= 2 * rows.count(r) for r, n in times.items())
