@@ -1,12 +1,12 @@
-"""Substring dedup: confirmed recurring passages, sharded Aho-Corasick automata, every occurrence located.
+"""Substring dedup: recurring passages located by hashes, confirmed by sharded Aho-Corasick automata.
 
 A passage recurs if a window of WINDOW words does. Windows are not compared one by one: each window
 has an anchor, the k-gram of its words with the least hash, so equal windows have equal anchors at
 equal places. Neighbouring windows with one anchor form a run, and a run's words are a phrase.
 Counts of anchors confirm what recurs; where all runs of an anchor are the same phrase, the phrase
 is confirmed as a whole, else its windows are counted. Documents then come with the owners (least
-doc_id) of their confirmed phrases, and automata compiled for shards of documents locate every
-occurrence of every phrase of the shard, word by word.
+doc_id) of their confirmed phrases; hashes give the places, and automata compiled for shards of
+documents from those very passages confirm them word by word.
 """
 
 from __future__ import annotations
