@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +15,11 @@ from pyspark.sql import functions as F
 #: Java and Python classes of the white space that parts words: space and tab to carriage return.
 SPACE = "[\\x20\\x09-\\x0D]+"
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
+#: Values that are hashed at a time, about; only powers up to that number are kept in a worker.
+CHUNK = 1 << 20
 _powers: dict[tuple[int, bool], np.ndarray] = {}
+#: Rows of texts in an Arrow batch at most, so that a worker holds a few MB of them.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one is set only where none is."""
+    """The shared folder of spark.checkpoint.dir. Where none is set, a local master gets a local one; a cluster is told to set it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         found = spark.sparkContext.getCheckpointDir()
@@ -51,7 +58,15 @@ def words_of(text: Column) -> Column:
 # ---------------------------------------------------------------- Arrow text columns
 
 
-def text_slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def map_texts(source: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow for rows with whole texts: sets the session's Arrow batches to BATCH_ROWS rows at most."""
+    conf = source.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return source.mapInArrow(run, schema)
+
+
+def text_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) for runs of whole texts of about `most` bytes; null counts as empty."""
     column = column.cast(pa.large_binary())
     if column.null_count:
@@ -112,13 +127,27 @@ def _power(which: int, inverse: bool, n: int) -> np.ndarray:
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
         have = np.cumprod(steps)
-        if size <= 1 << 23:
+        if size <= CHUNK:
             _powers[which, inverse] = have
     return have[:n]
 
 
 def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hash of values[start:end] for many spans, by prefix sums of a polynomial."""
+    """64-bit hash of values[start:end] for many spans, by prefix sums of a polynomial; long inputs go in parts."""
+    n = len(values)
+    if n > 2 * CHUNK and len(start) > 1 and (np.diff(start) >= 0).all():
+        out = np.empty(len(start), np.uint64)
+        i = 0
+        while i < len(start):
+            j = int(np.searchsorted(start, start[i] + CHUNK))
+            low, high = start[i], end[i:j].max()
+            out[i:j] = _span_hash(values[low:high], start[i:j] - low, end[i:j] - low, which)
+            i = j
+        return out
+    return _span_hash(values, start, end, which)
+
+
+def _span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
     n = len(values)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((values.astype(np.uint64) + np.uint64(1)) * _power(which, False, max(n, 1))[:n], out=sums[1:])

@@ -1,4 +1,11 @@
-"""Fuzzy line dedup with DataFrame functions only: SimHash, pigeonhole blocks, edit similarity, components."""
+"""Fuzzy line dedup with DataFrame functions only: SimHash, pigeonhole blocks, edit similarity, components.
+
+The distinct words of a normalised line are dealt to B classes by hash, and each class has a SimHash
+of its own: a block. One replaced word reaches two blocks at most, so lines that differ in c words
+agree in at least B - 2c blocks (pigeonhole), and in a class of many words the majority often
+absorbs a change. Lines that agree in a block are candidates; the SimHash over all words and then
+the edit distance decide.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +17,22 @@ from pyspark.sql import functions as F
 from lamina.llm.common import small_side, staged, table
 from lamina.llm.components import components
 
-#: Bits of the five blocks of a 64-bit fingerprint.
-BLOCKS = (13, 13, 13, 13, 12)
+#: Distinct words from which on a line has so many classes. Below PAIRED words a block covers two of PAIR_CLASSES classes.
+PAIRED, PAIR_CLASSES = 24, 5
+BANDS = ((PAIRED, 8), (60, 12), (150, 20), (400, 32))
+#: A line is in the neighbouring band too if its words come within these shares of the edge: lines of 0.8 times the words meet.
+BELOW, ABOVE = 0.9, 1.125
+#: Words that a block covers at least; short lines may have one less.
+LEAST = 3
+#: Bits of 64 in which the SimHashes of a candidate pair may differ: a fifth of the words replaced makes 13.1 on average.
+MAX_BITS = 18
+#: Bits of a counter; four of them lie side by side in a long, so 16 longs count all 64 bits.
+LANE = 16
+#: Words from which on counters might overflow: a lane holds a count and one bit for the comparison below.
+LONG = 1 << (LANE - 2)
+_ONES = sum(1 << (LANE * i) for i in range(64 // LANE))
+#: Stands for the whole line among its classes.
+WHOLE = -1
 
 
 def normalised(line: Column) -> Column:
@@ -19,13 +40,6 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), "[^\\p{L}\\p{N}]+", " "))
 
 
-#: Bits of a counter; four of them lie side by side in a long, so 16 longs count all 64 bits.
-LANE = 16
-#: Words of a line from which on its counters might overflow: a lane holds a count and one bit for the comparison below.
-LONG = 1 << (LANE - 2)
-_ONES = sum(1 << (LANE * i) for i in range(64 // LANE))
-
-
 def _majority(n: Column) -> Column:
     """Fingerprint whose bit b is set if over half of the n words have it, from the counters c0 to c15.
 
@@ -39,121 +53,135 @@ def _majority(n: Column) -> Column:
     return out
 
 
-def simhashes(docs: DataFrame) -> DataFrame:
-    """doc_id, row, line_no, raw, id and fp (SimHash of the words of norm) of each line of `lines_of`.
+def _row_key(*columns: str) -> Column:
+    """Hash of a row's columns; a null is not taken for the value of a neighbour."""
+    return F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
 
-    The words of a line are summed where they are split, before anything is shuffled, each occurrence
-    of a line for itself, so that no number of occurrences fills a counter. Lines too long
-    for the counters are counted bit by bit; a line of so many words has as many characters, so that
-    others are left out before they are normalised again.
-    """
-    keys = ["doc_id", "row", "line_no", "raw", "id"]
-    words = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
-    usual = lines_of(docs).filter(words < LONG).withColumn("nth", F.monotonically_increasing_id())
-    hashed = usual.select(*keys, "nth", F.explode(F.split("norm", " ")).alias("w")).select(*keys, "nth", F.xxhash64("w").alias("h"))
-    lanes = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(_ONES)).alias(f"c{j}") for j in range(LANE)]
-    usual = hashed.groupBy(*keys, "nth").agg(F.count("*").alias("n"), *lanes).select(*keys, _majority(F.col("n")).alias("fp"))
-    wide = lines_of(docs, LONG).filter(words >= LONG).withColumn("hs", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))
-    each = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(F.size(F.filter("hs", lambda h: F.getbit(h, b) == 1)) * 2 > F.size("hs"), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-    slow = wide.select(*keys, F.aggregate(each, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x)).alias("fp"))
-    return usual.union(slow)
 
+def _once(value: Column) -> Column:
+    """The value, worked out once: filters on it are not moved below an explode, where each would work it out anew."""
+    return F.explode(F.array(value))
 
-def lines_of(docs: DataFrame, least: int = 1) -> DataFrame:
-    """doc_id, row, line_no, raw (hash of the line), norm and id (hash of norm) of lines of `least` characters with a letter or digit.
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, row, line_no, raw (hash of the line), norm, id and check (hashes of norm) of lines with a letter or digit.
 
     `row` is the row's own key, a column of docs or else made from its doc_id and text.
     """
     if "row" not in docs.columns:
         docs = docs.withColumn("row", _row_key("doc_id", "text"))
-    lines = docs.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.length("line") >= least)
+    lines = docs.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     made = lines.select("doc_id", "row", "line_no", F.xxhash64("line").alias("raw"), _once(normalised(F.col("line"))).alias("norm"))
-    return made.filter("norm != ''").withColumn("id", F.xxhash64("norm"))
-
-
-def _row_key(*columns: str) -> Column:
-    """Hash of a row's columns; a null is not taken for the value of a neighbour."""
-    return F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
+    return made.filter("norm != ''").withColumns({"id": F.xxhash64("norm"), "check": F.xxhash64(F.lit(1), "norm")})
 
 
-def _once(value: Column) -> Column:
-    """The value, worked out once: filters on it are not moved below an explode, where each would work it out anew."""
-    return F.explode(F.array(value))
+def _bands(words: Column) -> Column:
+    """Array of the numbers of classes that a line of so many distinct words uses: one, or two near the edge of a band."""
+    edges = [0, *[e for e, _ in BANDS], 1 << 60]
+    sizes = [PAIR_CLASSES, *[b for _, b in BANDS]]
+    inside = [F.when((words >= int(low * BELOW)) & (words < high * ABOVE), F.lit(b)) for low, high, b in zip(edges[:-1], edges[1:], sizes, strict=True)]
+    very_long = F.greatest(F.lit(sizes[-1]), F.ceil(words / (LONG // 64)).cast("int"))  # so that no counter of a class fills
+    inside[-1] = F.when(words >= int(edges[-2] * BELOW), very_long)
+    return F.array_compact(F.array(*inside))
 
 
-def _block_keys(fp: Column) -> Column:
-    """Ten keys, one for each pair of blocks: fingerprints within 3 bits agree on two of five blocks."""
-    blocks, at = [], 0
-    for bits in BLOCKS:
-        blocks.append(F.shiftrightunsigned(fp, at).bitwiseAND((1 << bits) - 1))
-        at += bits
-    return F.array(*[F.shiftleft(F.lit(k).cast("long"), 32).bitwiseOR(F.shiftleft(a, 16)).bitwiseOR(b) for k, (a, b) in enumerate(combinations(blocks, 2))])
+def _classes(word: Column, number: Column) -> Column:
+    """Classes of a word among `number` classes: itself and WHOLE, or the pairs that hold its class and WHOLE."""
+    own = F.pmod(F.hash(word), number)
+    pairs = list(combinations(range(PAIR_CLASSES), 2))
+    table_of = F.array(*[F.array(F.lit(WHOLE), *[F.lit(i) for i, p in enumerate(pairs) if c in p]) for c in range(PAIR_CLASSES)])
+    return F.when(number == PAIR_CLASSES, F.element_at(table_of, own + 1)).otherwise(F.array(F.lit(WHOLE), own))
 
 
-def _differ(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+def blocks(docs: DataFrame) -> DataFrame:
+    """Rows of the distinct lines: id, class and code, the hash of a block's SimHash (candidates share one).
 
+    The rows of class WHOLE, one a line, have the SimHash of the line as code, and doc_id, row, line_no
+    (first occurrence), raw, times (occurrences) and words; the SimHash of a line that is too long for
+    the counters is null. Equal lines meet once, with their text, after a partial aggregate; what follows is
+    done where they are, without another shuffle. Lines whose two hashes disagree are left out.
+    """
+    first = F.struct("doc_id", "row", "line_no")
+    met = lines_of(docs).groupBy("id").agg(F.first("norm").alias("norm"), F.min(first).alias("first"), F.min("raw").alias("raw"), F.count("*").alias("times"), F.min("check").alias("low"), F.max("check").alias("high"))
+    line = ["id", "doc_id", "row", "line_no", "raw", "times", "words"]
+    split = met.filter("low = high").select("id", "first.*", "raw", "times", _once(F.array_distinct(F.split("norm", " "))).alias("ws")).withColumn("words", F.size("ws"))
+    dealt = split.select(*line, F.explode(_bands(F.col("words"))).alias("number"), "ws").select(*line, "number", F.explode("ws").alias("w"))
+    hashed = dealt.select(*line, "number", F.explode(_classes(F.col("w"), F.col("number"))).alias("class"), F.xxhash64("w").alias("h"))
+    lanes = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(_ONES)).alias(f"c{j}") for j in range(LANE)]
+    summed = hashed.groupBy(*line, "number", "class").agg(F.count("*").alias("n"), *lanes)
+    made = summed.select(*line, "number", "class", "n", F.when(F.col("n") < LONG, _majority(F.col("n"))).alias("bits"))
+    least = F.when(F.col("words") < 2 * LEAST, LEAST - 1).otherwise(LEAST)
+    first_band = F.col("number") == F.element_at(_bands(F.col("words")), 1)
+    kept = made.filter(((F.col("class") == WHOLE) & first_band) | ((F.col("class") != WHOLE) & (F.col("n") >= least)))
+    whole = F.col("class") == WHOLE
+    return kept.select("id", "class", F.when(whole, F.col("bits")).otherwise(F.xxhash64("number", "class", "bits")).alias("code"), *[F.when(whole, F.col(c)).alias(c) for c in line[1:]])
 
-def close_lines(lines: DataFrame, max_bits: int = 3) -> DataFrame:
-    """key, id and fp of lines (id, fp) and each block key under which another line is within `max_bits` <= 3 bits.
 
-    A semi join: each row comes once, however many others are near it.
-    """
-    keyed = lines.select(F.explode(_block_keys(F.col("fp"))).alias("key"), "id", "fp")
-    other = keyed.select(F.col("key").alias("k"), F.col("id").alias("other"), F.col("fp").alias("other_fp"))
-    return keyed.join(other, (F.col("key") == F.col("k")) & (F.col("id") != F.col("other")) & (_differ("fp", "other_fp") <= max_bits), "left_semi")
+def _near(a: str, b: str, max_bits: int) -> Column:
+    return F.coalesce(F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits, F.lit(True))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id and norm of the wanted lines (id, raw): found again in the documents by their hash, one copy each."""
+    """id, bits and norm of the wanted lines (id, bits, raw): found again in the documents by their hash, one copy each."""
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).select("line", F.xxhash64("line").alias("raw"))
     found = lines.join(small_side(wanted.select("raw"), 1_000_000), "raw", "left_semi").groupBy("raw").agg(F.first("line").alias("line"))
-    return wanted.join(found, "raw").select("id", normalised(F.col("line")).alias("norm"))
+    return wanted.join(found, "raw").select("id", "bits", normalised(F.col("line")).alias("norm"))
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose texts are similar."""
-    s, t = texts.select(F.col("id").alias("u"), F.col("norm").alias("s")), texts.select(F.col("id").alias("v"), F.col("norm").alias("t"))
-    return pairs.join(s, "u").join(t, "v").filter(_similar(similarity)).select("u", "v")
+def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, max_bits: int) -> DataFrame:
+    """The pairs (u, v) whose SimHashes are near and whose texts are similar."""
+    s, t = (texts.select(F.col("id").alias(i), F.col("norm").alias(n), F.col("bits").alias(b)) for i, n, b in (("u", "s", "x"), ("v", "t", "y")))
+    return pairs.join(s, "u").join(t, "v").filter(_near("x", "y", max_bits)).filter(_similar(similarity)).select("u", "v")
 
 
-def line_groups(docs: DataFrame, lines: DataFrame, similarity: float = 0.8, max_bits: int = 3) -> DataFrame:
-    """node (id) and component of the lines (id, fp, raw; one row each) that link to others.
+def line_groups(docs: DataFrame, made: DataFrame, similarity: float = 0.8, max_bits: int = MAX_BITS) -> DataFrame:
+    """node (id) and component of the lines that link to others, from the staged rows of `blocks`.
 
-    Under each block key all lines are first compared with one of them only, the hub. What that links
-    is one group already; of the other pairs under a key, those whose two lines are in different
-    groups are compared too. So a large group of copies costs a star instead of all its pairs,
-    and each pair of lines is either compared or known to be connected.
+    Codes are counted first, by sums in each task; a code of two lines is a pair. Under a code of more,
+    all lines are compared with one of them, the hub. What that links is one group already; of
+    the other pairs those whose two lines are in different groups are compared too, group by group. So a
+    large group of copies costs a star instead of all its pairs, and each pair of lines under a
+    code is either compared or known to be connected.
     """
-    close = staged(close_lines(lines.select("id", "fp"), max_bits), "line-close")
-    texts = staged(_texts(docs, lines.join(close.select("id").distinct(), "id", "left_semi").select("id", "raw")), "line-texts")
-    hubs = close.groupBy("key").agg(F.min("id").alias("u")).join(close.select("key", F.col("id").alias("u"), F.col("fp").alias("hub_fp")), ["key", "u"])
-    tried = staged(close.join(hubs, "key").filter((F.col("u") != F.col("id")) & (_differ("fp", "hub_fp") <= max_bits)).select("u", F.col("id").alias("v")).distinct(), "line-pairs")
-    stars = staged(_confirmed(tried, texts, similarity), "line-edges")
+    keyed = made.filter(F.col("class") != WHOLE).select("code", "id")
+    shared = staged(keyed.groupBy("code").agg(F.min("id").alias("u"), F.max("id").alias("v"), F.count("*").alias("n")).filter("u < v"), "line-codes")
+    large = shared.filter("n > 2").select("code", F.col("u").alias("hub"))
+    members = staged(keyed.join(small_side(large, 1_000_000), "code"), "line-members")
+    tried = staged(shared.select("u", "v").union(members.filter("id > hub").select(F.col("hub").alias("u"), F.col("id").alias("v"))).distinct(), "line-pairs")
+    close = tried.select(F.col("u").alias("id")).union(tried.select("v")).distinct()
+    lines = made.filter(F.col("class") == WHOLE).select("id", F.col("code").alias("bits"), "raw").join(close, "id", "left_semi")
+    texts = staged(_texts(docs, lines), "line-texts")
+    stars = staged(_confirmed(tried, texts, similarity, max_bits), "line-edges")
     parts = components(stars, "line-groups").select(F.col("node").alias("id"), "component")
-    placed = staged(close.join(parts, "id", "left").select("key", "id", "fp", F.coalesce("component", "id").alias("part")), "line-close")
-    a, b = (placed.select("key", *[F.col(c).alias(c + side) for c in ("id", "fp", "part")]) for side in ("_a", "_b"))
-    across = a.join(b, "key").filter((F.col("id_a") < F.col("id_b")) & (F.col("part_a") != F.col("part_b")) & (_differ("fp_a", "fp_b") <= max_bits))
-    across = across.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-    bridges = staged(_confirmed(across, texts, similarity), "line-edges")
+    placed = members.join(parts, "id", "left").select("code", "id", F.coalesce("component", "id").alias("part"))
+    mixed = placed.groupBy("code").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a < b").select("code")
+    placed = staged(placed.join(mixed, "code").join(texts.select("id", "bits"), "id"), "line-places")
+    each = placed.select("code", "part").distinct()
+    meet = each.select("code", F.col("part").alias("p")).join(each.select("code", F.col("part").alias("q")), "code").filter("p < q")
+    a, b = (placed.select("code", F.col("part").alias(p), F.col("id").alias(i), F.col("bits").alias(x)) for p, i, x in (("p", "i", "x"), ("q", "j", "y")))
+    across = meet.join(a, ["code", "p"]).join(b, ["code", "q"]).filter(_near("x", "y", max_bits))
+    across = across.select(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
+    bridges = staged(_confirmed(across, texts, similarity, max_bits), "line-edges")
     return components(stars.union(bridges), "line-groups")
 
 
-def dropped_lines(docs: DataFrame, similarity: float = 0.8, max_bits: int = 3) -> DataFrame:
-    """doc_id, row and line_no of each line that has an earlier occurrence in its connected group.
+def dropped_lines(docs: DataFrame, similarity: float = 0.8, max_bits: int = MAX_BITS) -> DataFrame:
+    """row and line_no of each line that has an earlier occurrence in its connected group.
 
-    Lines link if their normal forms are equal, or if the SimHashes of their words differ in at most
-    `max_bits` bits and the edit distance of the normal forms is at most (1 - similarity) of the
-    longer one. Of each connected group the first occurrence (least doc_id, then row, then line) stays.
-    Rows with one key have one result here; `dedup_lines` sees to all but the first of them.
+    Lines link if their normal forms are equal, or if they share a block, the SimHashes of their distinct
+    words differ in at most `max_bits` bits and the edit distance of the normal forms is at most
+    (1 - similarity) of the longer one. Of each connected group the first occurrence (least doc_id,
+    nulls first, then row, then line) stays. Rows with one key have one result here;
+    `dedup_lines` sees to all but the first of them.
     """
-    every = staged(simhashes(docs), "lines")
-    unique = staged(every.groupBy("id", "fp").agg(F.min("raw").alias("raw"), F.min(F.struct("doc_id", "row", "line_no")).alias("first")), "line-unique")
-    groups = line_groups(docs, unique.select("id", "fp", "raw"), similarity, max_bits)
-    classed = unique.join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "first", F.coalesce("component", "id").alias("component"))
+    made = staged(blocks(docs), "line-blocks")
+    groups = line_groups(docs, made, similarity, max_bits)
+    unique = made.filter(F.col("class") == WHOLE).select("id", F.struct("doc_id", "row", "line_no").alias("first"), "times")
+    classed = unique.join(groups.select(F.col("node").alias("id"), "component"), "id", "left").filter("times > 1 or component is not null")
+    classed = staged(classed.select("id", "first", F.coalesce("component", "id").alias("component")), "line-classes")
     first = classed.groupBy("component").agg(F.min("first").alias("first"))
     owner = classed.select("id", "component").join(first, "component").select("id", F.col("first.row").alias("r"), F.col("first.line_no").alias("l"))
-    return every.select("id", "doc_id", "row", "line_no").join(owner, "id").filter("r != row or l != line_no").select("doc_id", "row", "line_no")
+    return lines_of(docs).select("id", "row", "line_no").join(owner, "id").filter("r != row or l != line_no").select("row", "line_no")
 
 
 #: Characters of the pieces that two lines are cut into for an upper bound of their edit distance.
@@ -166,40 +194,59 @@ def _similar(similarity: float) -> Column:
     Words that differ at one place cost at most the longer of the two each, words beyond the end of the
     other line their length and a space. Lines cut into equally many pieces are no farther apart than
     their pieces together; that takes time in proportion to the length of a line, not to its square.
+    The distance takes time in proportion to the limit, so a quarter of the limit is tried first.
     """
     longest = F.greatest(F.length("s"), F.length("t"))
     most = F.floor(longest * (1 - similarity) + 1e-9).cast("int")
-    placed = F.aggregate(F.zip_with(F.split("s", " "), F.split("t", " "), lambda x, y: F.when(x.eqNullSafe(y), 0).otherwise(F.greatest(F.length(x), F.length(y)) + 1)), F.lit(0), lambda acc, v: acc + v)
+    cost = lambda x, y: F.when(x.eqNullSafe(y), 0).otherwise(F.greatest(F.length(x), F.length(y)) + 1)
+    placed = F.aggregate(F.zip_with(F.split("s", " "), F.split("t", " "), cost), F.lit(0), lambda acc, v: acc + v)
     pieces = F.ceil(longest / PIECE)
-    cut = lambda c, i: F.substring(c, (F.floor(F.length(c) * i / pieces) + 1).cast("int"), (F.floor(F.length(c) * (i + 1) / pieces) - F.floor(F.length(c) * i / pieces)).cast("int"))
-    parted = F.aggregate(F.sequence(F.lit(0).cast("long"), pieces - 1), F.lit(0), lambda acc, i: acc + F.levenshtein(cut("s", i), cut("t", i)))
-    exact = F.expr(f"levenshtein(s, t, cast(floor(greatest(length(s), length(t)) * (1 - {similarity!r}) + 1e-9) as int)) >= 0")
-    return F.when(F.abs(F.length("s") - F.length("t")) > most, False).when(placed <= most, True).when((longest > 2 * PIECE) & (parted <= most), True).otherwise(exact)
 
+    def cut(c: str, i: Column) -> Column:
+        at = lambda k: F.floor(F.length(c) * k / pieces)
+        return F.substring(c, (at(i) + 1).cast("int"), (at(i + 1) - at(i)).cast("int"))
 
-def dedup_lines(docs: DataFrame, similarity: float = 0.8, max_bits: int = 3) -> DataFrame:
+    parted = F.aggregate(F.sequence(F.lit(0).cast("long"), pieces - 1), F.lit(0), lambda acc, i: acc + F.levenshtein(cut("s", i), cut("t", i)))
+    limit = f"floor(greatest(length(s), length(t)) * (1 - {similarity!r}) + 1e-9)"
+    within = lambda share: F.expr(f"levenshtein(s, t, cast({limit} / {share} as int)) >= 0")
+    return (
+        F.when(F.abs(F.length("s") - F.length("t")) > most, False)
+        .when(placed <= most, True)
+        .when((longest > 2 * PIECE) & (parted <= most), True)
+        .when((longest > PIECE) & within(4), True)
+        .otherwise(within(1))
+    )
+
+
+def dedup_lines(docs: DataFrame, similarity: float = 0.8, max_bits: int = MAX_BITS) -> DataFrame:
     """The documents without repeated lines, with n_lines and n_removed; other columns as they were.
 
     Lines are parted by \\n. Lines without a letter or digit stay. Null text stays null with no lines;
-    a document may lose all its lines, its text is then empty. A row is told from others by all its
+    a document may lose all its lines, its text is then empty; an empty table gives an empty one.
+    Columns n_lines and n_removed of the input are replaced. A row is told from others by all its
     columns, so null and repeated doc_ids need no care; of rows that agree in all, the first is
     treated as the only one, and the others lose every line with a letter or digit.
     """
-    keyed = docs.withColumn("_row", _row_key(*docs.columns))
-    lines = F.split("text", "\n")
-    gone = dropped_lines(keyed.select("doc_id", "text", F.col("_row").alias("row")), similarity, max_bits).groupBy(F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
-    equal = staged(keyed.groupBy("_row").agg(F.count("*").alias("_times")).filter("_times > 1"), "equal-rows")
-    joined = keyed.join(gone, "_row", "left")
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("doc"), _row_key(*[f"`{c}`" for c in own]).alias("row"))
+    plain = whole.select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"), "row")
+    gone = dropped_lines(plain, similarity, max_bits).groupBy("row").agg(F.collect_set("line_no").alias("gone"))
+    equal = staged(whole.groupBy("row").agg(F.count("*").alias("times")).filter("times > 1"), "equal-rows")
+    joined = whole.join(gone, "row", "left")
     if not equal.isEmpty():
-        again = joined.join(equal, "_row").dropDuplicates(["_row"])
-        every = F.transform(lines, lambda x, i: F.when(normalised(x) != "", i))
-        again = again.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "_times")).alias("_nth")).withColumn("_gone", F.when(F.col("_nth") == 1, F.col("_gone")).otherwise(F.array_compact(every)))
-        joined = joined.join(equal, "_row", "left_anti").unionByName(again.drop("_times", "_nth"))
-    gap = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
-    joined = joined.drop("_row")
-    return joined.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "text": gap}).drop("_gone")
+        again = joined.join(equal, "row").dropDuplicates(["row"]).select("doc", "row", "gone", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("nth"))
+        every = F.array_compact(F.transform(F.split("doc.text", "\n"), lambda x, i: F.when(normalised(x) != "", i)))
+        again = again.select("row", "doc", F.when(F.col("nth") == 1, F.col("gone")).otherwise(every).alias("gone"))
+        joined = joined.join(equal, "row", "left_anti").select("row", "doc", "gone").unionByName(again)
+    cut = joined.select("doc", "gone", _once(F.split("doc.text", "\n")).alias("lines"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("gone", F.array().cast("array<int>")))
+    text = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(F.array_join(F.transform(left, lambda i: F.element_at("lines", i + 1)), "\n"))
+    kept = [text.alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in own]
+    n_lines = F.when(F.col("doc.text").isNull(), 0).otherwise(F.size("lines")).cast("long")
+    return cut.select(*kept, n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all documents: doc_id, n_lines, n_removed and the hash of what `dedup_lines` leaves; a null text hashes as empty."""
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

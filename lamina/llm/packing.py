@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lamina.llm.common import record_batch, staged, table
+from lamina.llm.common import map_texts, record_batch, staged, table
 
 CAPACITY = 2048
 #: Hash parts of one length; ranks are counted within a part, so that no task holds all pieces of a length.
 SALTS = 256
+#: Words whose ids a worker keeps, some 200 bytes each.
+CACHED = 100_000
 _coders: dict[str, tuple] = {}
 
 
@@ -30,24 +33,29 @@ def _coder(path: str):
     if path not in _coders:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
-
-        whole = Tokenizer.from_file(path)
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _coders[path] = whole, fast, {}
+        _coders[path] = fast, {}
     return _coders[path]
 
 
-def _ids(text: str, whole, fast, cache: dict) -> bytes:
+@lru_cache(1)
+def _whole(path: str):
+    """The tokenizer of the file itself, loaded by a worker that meets a text with the special token's string."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def _ids(text: str, path: str, fast, cache: dict) -> bytes:
     """Ids of a text, little-endian unsigned 32-bit.
 
     The pattern never joins what is left and right of a single space between two other characters
     other than white space, except the space to what follows: such words are encoded once and kept.
     """
     if "<|endoftext|>" in text:
-        return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(_whole(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     first, *rest = text.split(" ")
     if any(not w or w[0].isspace() or w[-1].isspace() for w in rest) or (rest and (not first or first[-1].isspace())):
         return np.array(fast.encode_ordinary(text), "<u4").tobytes()
@@ -57,7 +65,7 @@ def _ids(text: str, whole, fast, cache: dict) -> bytes:
         if found is None:
             found = np.array(fast.encode_ordinary(" " + w), "<u4").tobytes()
             if len(w) < 40:
-                if len(cache) >= 300_000:
+                if len(cache) >= CACHED:
                     cache.clear()
                 cache[w] = found
         out.append(found)
@@ -74,11 +82,11 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     last = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, fast, cache = _coder(tokenizer)
+        fast, cache = _coder(tokenizer)
         for b in batches:
             out: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = _ids(text.as_py() or "", whole, fast, cache) + last
+                ids = _ids(text.as_py() or "", tokenizer, fast, cache) + last
                 n = len(ids) // 4
                 at, to = 0, (n - 1) % capacity + 1
                 for k in range(-(-n // capacity)):
@@ -87,7 +95,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
             yield record_batch(fields, list(zip(*out, strict=True)) if out else [[]] * 5)
 
     source = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"))
-    return source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_texts(source, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 # ---------------------------------------------------------------- the plan, from the histogram alone

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import byte_class, find_words, mix, record_batch, span_hash, table, text_slices
+from lamina.llm.common import byte_class, find_words, map_texts, mix, record_batch, span_hash, table, text_slices
 
 #: Byte classes whose shares of a text are features.
 CLASSES = {
@@ -174,7 +174,7 @@ def featured(docs: DataFrame, keep: list[str]) -> DataFrame:
                 yield record_batch(fields, [*(b.column(i).slice(at, len(x)) for i in range(len(keep))), lists])
 
     source = docs.select(*[docs[c].cast("long").alias(c) for c in keep], docs["text"].cast("binary").alias("text"))
-    return source.mapInArrow(run, ", ".join(f"{c} long" for c in keep) + ", x array<double>")
+    return map_texts(source, run, ", ".join(f"{c} long" for c in keep) + ", x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, seed: int = 11) -> AdditiveModel:
@@ -202,7 +202,7 @@ def scored(docs: DataFrame, model: AdditiveModel) -> DataFrame:
                 score = shared.value.score(features(data, offsets))
                 yield record_batch(fields, [b.column(0).slice(at, len(score)), score])
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("binary")).mapInArrow(run, "doc_id long, score double")
+    return map_texts(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("binary")), run, "doc_id long, score double")
 
 
 def held_out(parts: int, part: int):
@@ -226,7 +226,7 @@ def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float = 0.7) ->
                 good = shared.value.score(features(data, offsets)) >= threshold
                 yield b.slice(at, len(good)).filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

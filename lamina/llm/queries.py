@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
+from lamina.llm import pipeline
 from lamina.llm.approximate_search import op9_nearest
 from lamina.llm.chat import op5_chat
 from lamina.llm.exact_search import op8_exact_search
@@ -29,6 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_search": op8_exact_search,
     "op9_nearest": op9_nearest,
     "op10_line_dedup": op10_line_dedup,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 SQL: dict[str, str] = {}

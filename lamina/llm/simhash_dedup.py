@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import record_batch, table
+from lamina.llm.common import map_texts, record_batch, table
 from lamina.llm.components import components
 
 SEGMENTS = 8
@@ -42,7 +42,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             yield record_batch(schema, [b.column(0), found.view(np.int64)])
 
     source = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("binary"))
-    return source.mapInArrow(run, "doc_id long, fp long")
+    return map_texts(source, run, "doc_id long, fp long")
 
 
 def _offsets(radius: int) -> list[int]:

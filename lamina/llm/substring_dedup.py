@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import find_words, mix, record_batch, signed, span_hash, staged, table, text_slices
+from lamina.llm.common import find_words, map_texts, mix, record_batch, signed, span_hash, staged, table, text_slices
 
 WINDOW = 20
 ANCHOR = 4
@@ -95,7 +95,7 @@ def recurring_anchors(docs: DataFrame, window: int) -> DataFrame:
                 phrase = span_hash(word, start, start + n + window - 1, 1) if len(start) else anchor
                 yield record_batch(fields, [signed(anchor), signed(phrase >> np.uint64(16)), ids[at:][row[start]]])  # 48 bits more than the anchor's
 
-    rows = _keyed(docs).mapInArrow(run, "anchor long, phrase long, id long")
+    rows = map_texts(_keyed(docs), run, "anchor long, phrase long, id long")
     found = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("phrase").alias("low"), F.max("phrase").alias("high"), F.min("id").alias("owner"))
     return found.filter("n > 1").select("anchor", "owner", (F.col("low") == F.col("high")).alias("alone"))
 
@@ -119,7 +119,7 @@ def marked_documents(docs: DataFrame, recurring: DataFrame, window: int) -> Data
                 yield record_batch(fields, [ids[at:][held], hs[at:][held], signed(anchor[order][new])])
 
     keyed = _told_apart(docs)
-    held = keyed.mapInArrow(run, "id long, h long, anchor long").join(recurring, "anchor")
+    held = map_texts(keyed, run, "id long, h long, anchor long").join(recurring, "anchor")
     marks = held.groupBy("id", "h").agg(F.collect_set(F.struct("anchor", "owner", "alone")).alias("marks"))  # equal rows bring the same marks
     return keyed.join(marks, ["id", "h"], "left").select("id", "text", F.col("marks.anchor").alias("anchors"), F.col("marks.owner").alias("owners"), F.col("marks.alone").alias("alone"), "h")
 
@@ -139,7 +139,7 @@ def split_documents(marked: DataFrame) -> DataFrame:
                     n[i], kept[i], text[i] = len(words), hashlib.sha256(b" ".join(words)).hexdigest(), None
             yield record_batch(fields, [b.column(0), pa.array(text, pa.binary()), anchors.cast(pa.list_(pa.int64())), b.column(3).cast(pa.list_(pa.int64())), b.column(4).cast(pa.list_(pa.bool_())), n, kept, b.column(5)])
 
-    return marked.mapInArrow(run, "id long, text binary, anchors array<long>, owners array<long>, alone array<boolean>, n_words long, kept string, h long")
+    return map_texts(marked, run, "id long, text binary, anchors array<long>, owners array<long>, alone array<boolean>, n_words long, kept string, h long")
 
 
 def _lists(column: pa.Array, i: int) -> np.ndarray:
@@ -171,7 +171,7 @@ def confirmed_windows(split: DataFrame, window: int) -> DataFrame:
                 yield record_batch(fields, [signed(x), signed(y >> np.uint64(32)), ids[at:][row[first]], hs[at:][row[first]], place])  # 96 bits name a window
 
     source = split.filter(F.exists("alone", lambda v: ~v)).select("id", "text", "anchors", "alone", "h")
-    rows = source.mapInArrow(run, "a long, b long, id long, h long, start long")
+    rows = map_texts(source, run, "a long, b long, id long, h long, start long")
     owners = rows.groupBy("a", "b").agg(F.count("*").alias("total"), F.min("id").alias("owner")).filter("total > 1")
     found = rows.join(owners.select("a", "b", "owner"), ["a", "b"])
     return found.groupBy("id", "h").agg(F.collect_set(F.struct("start", "owner")).alias("w")).select("id", "h", F.col("w.start").alias("starts"), F.col("w.owner").alias("window_owners"))
@@ -273,7 +273,7 @@ def located_documents(split: DataFrame, windows: DataFrame, window: int, with_te
             yield flush(shard)
 
     source = split.filter("anchors is not null").join(windows, ["id", "h"], "left").select("id", "text", "anchors", "owners", "alone", "starts", "window_owners")
-    return source.mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    return map_texts(source, run, "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
 
 
 def dedup_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
