@@ -1,65 +1,5 @@
-"""From raw documents to packed sequences: quality, lines, near duplicates, mixing, packing."""
+"""The corpus pipeline: its stages are in lamina.llm.pipeline."""
 
-from __future__ import annotations
+from lamina.llm.pipeline import ORACLE_SQL, STAGES, run
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from lamina.llm.common import staged
-from lamina.llm.line_dedup import dedup_lines
-from lamina.llm.mixing import mix
-from lamina.llm.packing import pack_documents
-from lamina.llm.quality import keep_good, quality_model
-from lamina.llm.shingle_dedup import keep_one
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def _as_documents(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    return keep_good(docs, quality_model(spark, sf_dir, docs)).select(*COLUMNS)
-
-
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of lines that say about the same, the first stays; a document may be left empty."""
-    return _as_documents(dedup_lines(docs))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays whose members are linked by a Jaccard similarity of 0.8 of their 5-word shingles."""
-    return keep_one(docs, shingle=5, similarity=0.8).select(*COLUMNS)
-
-
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each draw of a document is a row, with its whole text.
-
-    Where a source's target ends inside a document, that one is drawn if at least half of it is due: a
-    source ends within half a document of its target. Rows are drawn by a hash of all their columns,
-    so null and repeated doc_ids need no care; rows that agree in all come once for each draw of one.
-    """
-    keyed = docs.withColumn("_row", F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]))
-    draws = mix(keyed.select(F.col("_row").alias("doc_id"), "source", "text")).filter(F.col("taken") * 2 >= F.col("size"))
-    rows = keyed.dropDuplicates(["_row"]).join(draws.select(F.col("doc_id").alias("_row")), "_row")
-    return _as_documents(rows)
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
-
-
-STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mixture", mixture), ("packing", packing)]
-
-#: SQL cannot train a model, hash words to fingerprints or run a tokenizer; tests compare with brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
