@@ -152,37 +152,100 @@ def within_radius(points: DataFrame, radius: float) -> DataFrame:
     return left.join(right, ["gx", "gy"]).filter(near).groupBy("id").agg(F.count("*").alias("n"))
 
 
-def nearest_distance(points: DataFrame, targets: DataFrame, cell: float, name: str = "distance", growth: int = 4, max_rounds: int = 20) -> DataFrame:
+def nearest_distance(points: DataFrame, targets: DataFrame, cell: float | None = None, name: str = "distance", growth: int = 4) -> DataFrame:
     """Exact distance of each point (id, x, y) to the nearest target (x, y); no rows if there are no targets.
 
     Points meet the targets of their own and the touching grid cells; a distance of at most one cell
     is final. What is left goes on with larger cells, so no pair is formed beyond what a ring holds.
+    Without a given cell, one holds a few targets if they lie evenly. What a round leaves is written
+    to the checkpoint folder, where the session has one. Null and non-finite places take no part.
     """
+    finite = lambda c: F.col(c).isNotNull() & (F.abs(c) < float("inf"))
+    goals = targets.filter(finite("x") & finite("y")).select(F.col("x").alias("x2"), F.col("y").alias("y2"))
+    left = points.filter(finite("x") & finite("y")).select("id", "x", "y")
+    n, w, h = goals.agg(F.count("*"), F.max("x2") - F.min("x2"), F.max("y2") - F.min("y2")).first()
+    done = left.limit(0).select("id", F.lit(0.0).alias(name))
+    if not n:
+        return done
+    cell = cell or 2 * max(w, h) / n**0.5 or 1.0
     reach = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    left, done = points.select("id", "x", "y"), None
-    if targets.isEmpty():
-        max_rounds = 0
-    for _ in range(max_rounds):
-        keyed = left.select("id", "x", "y", *_grid("", cell)).select("id", "x", "y", reach.alias("o"), "gx", "gy").select("id", "x", "y", (F.col("gx") + F.col("o.i")).alias("gx"), (F.col("gy") + F.col("o.j")).alias("gy"))
-        goal = targets.select(F.col("x").alias("x2"), F.col("y").alias("y2"), *_grid("", cell))
-        away = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))
-        close = keyed.join(goal, ["gx", "gy"]).groupBy("id").agg(F.min(away).alias(name)).filter(F.col(name) <= cell)
-        done = close if done is None else done.union(close)
-        left = left.join(close.select("id"), "id", "left_anti")
+    away = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))
+    while True:
+        keyed = left.select("id", "x", "y", *_grid("", cell)).select("id", "x", "y", reach.alias("o"), "gx", "gy")
+        keyed = keyed.select("id", "x", "y", (F.col("gx") + F.col("o.i")).alias("gx"), (F.col("gy") + F.col("o.j")).alias("gy"))
+        goal = goals.select("x2", "y2", F.floor(F.col("x2") / cell).cast("long").alias("gx"), F.floor(F.col("y2") / cell).cast("long").alias("gy"))
+        met = keyed.join(goal, ["gx", "gy"], "left").groupBy("id", "x", "y").agg(F.min(away).alias(name))
+        if points.sparkSession.sparkContext.getCheckpointDir():
+            met = met.checkpoint()
+        final = F.coalesce(F.col(name) <= cell, F.lit(False))
+        done = done.union(met.filter(final).select("id", name))
+        left = met.filter(~final).select("id", "x", "y")
         if left.isEmpty():
-            break
+            return done
         cell *= growth
-    return done if done is not None else left.limit(0).select("id", F.lit(0.0).alias(name))
 
 
-def kernel_density(points: DataFrame) -> DataFrame:
-    """Gaussian density of each point over all of its sample, Scott's bandwidth, times the root of the count; 1 if alone."""
+def kernel_density(points: DataFrame, bandwidth: str | float = "scott", reach: float = 8.5) -> DataFrame:
+    """Gaussian density of each point over all of its sample, times the root of the count; 1 if alone.
+
+    The bandwidth is scott or silverman (the same in two dimensions) or a factor of the standard deviation.
+    Points are scaled so that the kernel is round, and only those of touching grid cells of `reach`
+    standard deviations meet: what is left out is below exp(-reach^2 / 2), beyond double precision by
+    default. A sample's cells are keys of their own, so that no task holds all its pairs.
+    """
+    if isinstance(bandwidth, str) and bandwidth not in ("scott", "silverman"):
+        raise ValueError("bandwidth must be scott, silverman or a number")
     n = F.count("*")
     shape = points.groupBy("sample").agg(n.alias("n"), F.var_samp("x").alias("sxx"), F.var_samp("y").alias("syy"), F.covar_samp("x", "y").alias("sxy"))
-    h = F.pow(F.col("n").cast("double"), F.lit(-1.0 / 3))
-    scaled = shape.select("sample", "n", (F.col("sxx") * h).alias("a"), (F.col("syy") * h).alias("b"), (F.col("sxy") * h).alias("c")).withColumn("det", F.col("a") * F.col("b") - F.col("c") * F.col("c"))
-    other = points.select("sample", F.col("x").alias("x2"), F.col("y").alias("y2"))
-    dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
-    power = (F.col("b") * dx * dx - 2 * F.col("c") * dx * dy + F.col("a") * dy * dy) / F.col("det")
-    summed = points.join(F.broadcast(scaled), "sample").join(other, "sample").groupBy("id", "n", "det").agg(F.sum(F.exp(-0.5 * power)).alias("s"))
-    return summed.select("id", F.when(F.col("n") < 2, 1.0).otherwise(F.col("s") / (F.col("n") * 2 * F.pi() * F.sqrt("det")) * F.sqrt("n")).alias("density"))
+    h = F.pow(F.col("n").cast("double"), F.lit(-1.0 / 3)) if isinstance(bandwidth, str) else F.lit(float(bandwidth) ** 2)
+    scaled = shape.select("sample", "n", (F.col("sxx") * h).alias("a"), (F.col("syy") * h).alias("b"), (F.col("sxy") * h).alias("c"))
+    scaled = scaled.withColumn("det", F.col("a") * F.col("b") - F.col("c") * F.col("c"))
+    round_ = points.join(scaled, "sample").withColumns({
+        "u": F.col("x") / F.sqrt("a"),
+        "v": (F.col("y") - F.col("c") / F.col("a") * F.col("x")) / F.sqrt(F.col("det") / F.col("a")),
+    })
+    many = round_.filter("n > 1").select("sample", "id", "n", "det", "u", "v", *[F.floor(F.col(z) / reach).cast("long").alias(f"g{z}") for z in "uv"])
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    near = many.select("sample", F.col("u").alias("u2"), F.col("v").alias("v2"), around.alias("o"), "gu", "gv")
+    near = near.select("sample", "u2", "v2", (F.col("gu") + F.col("o.i")).alias("gu"), (F.col("gv") + F.col("o.j")).alias("gv"))
+    du, dv = F.col("u") - F.col("u2"), F.col("v") - F.col("v2")
+    summed = many.join(near, ["sample", "gu", "gv"]).groupBy("id", "n", "det").agg(F.sum(F.exp(-0.5 * (du * du + dv * dv))).alias("s"))
+    density = summed.select("id", (F.col("s") / (F.col("n") * 2 * F.pi() * F.sqrt("det")) * F.sqrt("n")).alias("density"))
+    return density.union(round_.filter("n < 2").select("id", F.lit(1.0)))
+
+
+def log_density(density: Column) -> Column:
+    """Logarithm with a floor; -20 where nothing is there."""
+    return F.when(density > 0, F.log(F.greatest(density, F.lit(1e-12)))).otherwise(-20.0)
+
+
+def equal_bins(cells: DataFrame, bins: int) -> DataFrame:
+    """Cells and mean density of each of so many equal bins of depth 0..1, the last one closed."""
+    inside = cells.filter("depth >= 0 and depth <= 1")
+    bin_ = F.least(F.lit(bins - 1), F.floor(F.col("depth") * bins)).cast("int")
+    return inside.groupBy("sample", bin_.alias("bin")).agg(F.count("*").alias("n"), F.avg("density").alias("density"))
+
+
+def search_range(points: DataFrame, low: float = 0.05, high: float = 0.8, least: int = 5) -> DataFrame:
+    """Points of a curve between two depths; all of a sample where fewer than `least` are."""
+    ok = F.col("center").between(low, high)
+    have = F.count(F.when(ok, 1)).over(Window.partitionBy("sample"))
+    return points.withColumn("_have", have).filter(ok | (F.col("_have") < least)).drop("_have")
+
+
+#: Layer bounds where layers 2 and 3 are kept apart.
+FIVE_LAYERS = (("L1", 0.0, 0.1), ("L2", 0.1, 0.3), ("L3", 0.3, 0.5), ("L4", 0.5, 0.7), ("L5/6", 0.7, 1.0))
+
+
+def bounds_to_layers(bounds: DataFrame, merged: bool = True) -> DataFrame:
+    """sample, layer, start and end from the bounds b0 to b5; merged layers 2 and 3 drop the bound between."""
+    parts = [("L1", 0, 1), ("L2/3", 1, 3), ("L4", 3, 4), ("L5/6", 4, 5)] if merged else [("L1", 0, 1), ("L2", 1, 2), ("L3", 2, 3), ("L4", 3, 4), ("L5/6", 4, 5)]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("layer"), F.col(f"b{i}").alias("start"), F.col(f"b{j}").alias("end")) for n, i, j in parts]))
+    return bounds.select("sample", each.alias("l")).select("sample", "l.*")
+
+
+def mean_density(layers: DataFrame, curve_points: DataFrame) -> DataFrame:
+    """Adds mean_density: over the raw bins whose centres lie in the closed range; 0 if none. A curve has BINS rows a sample."""
+    inside = curve_points.select(F.col("sample").alias("s"), "center", "density")
+    on = (F.col("sample") == F.col("s")) & F.col("center").between(F.col("start"), F.col("end"))
+    return layers.join(inside, on, "left").groupBy("sample", "layer", "start", "end").agg(F.coalesce(F.avg("density"), F.lit(0.0)).alias("mean_density"))

@@ -92,3 +92,9 @@ def precision_recall(pairs: DataFrame) -> DataFrame:
     """Counts, precision and recall of a boolean prediction against the truth."""
     n = pairs.agg(F.count_if(F.col("pred") & F.col("gt")).alias("tp"), F.count_if(F.col("pred") & ~F.col("gt")).alias("fp"), F.count_if(~F.col("pred") & F.col("gt")).alias("fn"))
     return n.select("tp", "fp", "fn", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"))
+
+
+def in_micrometres(metrics: DataFrame, scale: float = 0.1625) -> DataFrame:
+    """Adds a column `*_um` for every `*_px`, rounded half to even at 3 places."""
+    made = {c[:-3] + "_um": F.round(F.rint(F.col(c) * scale * 1000) / 1000, 3) for c in metrics.columns if c.endswith("_px")}
+    return metrics.withColumns(made)

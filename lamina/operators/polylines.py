@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+
 def order() -> WindowSpec:
     return Window.partitionBy("contour_id").orderBy("seq")
 
@@ -76,41 +79,84 @@ def chaikin(points: DataFrame) -> DataFrame:
     return ends.select("contour_id", "seq", F.explode(made).alias("p")).select("contour_id", "seq", "p.part", "p.px", "p.py")
 
 
-def _spread(points: DataFrame, reach: int, reflect: bool) -> DataFrame:
-    """Each point as seen from the points up to `reach` places away (at, d), beyond the ends by reflection or by the end itself."""
-    sized = points.withColumns({"i": F.row_number().over(order()) - 1, "n": F.count("*").over(Window.partitionBy("contour_id"))})
-    seen = sized.select("contour_id", "i", "n", "x", "y", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("d"))
-    here = seen.select("contour_id", (F.col("i") - F.col("d")).alias("at"), "n", "x", "y", "d").filter("at >= 0 and at < n")
-    first, last = F.col("i") == 0, F.col("i") == F.col("n") - 1
-    if reflect:  # the end is repeated: -1 shows 0, n shows n - 1
-        mirror = F.array(-1 - F.col("i"), 2 * F.col("n") - 1 - F.col("i"))
-        beyond = sized.select("contour_id", "n", "x", "y", F.explode(mirror).alias("to"))
-    else:
-        steps = F.sequence(F.lit(1), F.lit(reach))
-        beyond = sized.filter(first | last).select("contour_id", "n", "x", "y", F.explode(F.concat(F.when(first, F.transform(steps, lambda k: -k)).otherwise(F.array().cast("array<int>")), F.when(last, F.transform(steps, lambda k: F.col("n") - 1 + k)).otherwise(F.array().cast("array<bigint>")))).alias("to"))
-    beyond = beyond.filter((F.col("to") >= -reach) & (F.col("to") < F.col("n") + reach))
-    beyond = beyond.select("contour_id", "n", "x", "y", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("d"), "to")
-    beyond = beyond.select("contour_id", (F.col("to") - F.col("d")).alias("at"), "n", "x", "y", "d").filter("at >= 0 and at < n")
-    return here.unionByName(beyond)
+def _around(column: str, reach: int) -> Column:
+    """Values of the points up to `reach` places before and after, in order; fewer near the ends."""
+    return F.collect_list(column).over(order().rowsBetween(-reach, reach))
 
 
 def median_filtered(points: DataFrame, size: int = 11) -> DataFrame:
     """Median of y over an odd window, reflected at the ends; polylines of at most `size` points stay as they are."""
-    middle = _spread(points, size // 2, True).groupBy("contour_id", "at", "n").agg(F.sort_array(F.collect_list("y")).alias("ys"))
-    numbered = points.withColumn("at", (F.row_number().over(order()) - 1).cast("bigint"))
-    return numbered.join(middle.withColumn("at", F.col("at").cast("bigint")), ["contour_id", "at"], "left").withColumn("y", F.when(F.col("n") > size, F.element_at("ys", size // 2 + 1)).otherwise(F.col("y"))).drop("at", "n", "ys")
+    reach = size // 2
+    placed = points.withColumns({"i": F.row_number().over(order()) - 1, "n": F.count("*").over(Window.partitionBy("contour_id")), "ys": _around("y", reach)})
+    left = F.greatest(F.lit(0), reach - F.col("i"))
+    right = F.greatest(F.lit(0), F.col("i") + reach + 1 - F.col("n")).cast("int")
+    # Beyond an end its neighbours are seen again, the end itself first: they are all in the window.
+    seen = F.concat(F.slice("ys", F.lit(1), left), "ys", F.slice("ys", F.size("ys") - right + 1, right))
+    middle = F.element_at(F.sort_array(seen), reach + 1)
+    return placed.withColumn("y", F.when(F.col("n") > size, middle).otherwise(F.col("y"))).drop("i", "n", "ys")
 
 
 def gauss_smoothed(points: DataFrame, sigma: float = 2.0, max_kernel: int = 15) -> DataFrame:
     """Gaussian mean of x and y over 3 sigma, ends repeated; the two ends and polylines under 3 points stay."""
     widest = max(3, max_kernel) if max(3, max_kernel) % 2 else max(3, max_kernel) - 1
     reach = min(max(1, round(sigma * 3)), widest // 2)
-    weight = F.exp(-(F.col("d") * F.col("d")) / (2 * sigma * sigma))
-    mean = lambda c: (F.sum(F.col(c) * weight) / F.sum(weight)).alias(f"s{c}")
-    means = _spread(points, reach, False).groupBy("contour_id", "at", "n").agg(mean("x"), mean("y")).withColumn("at", F.col("at").cast("bigint"))
-    joined = points.withColumn("at", (F.row_number().over(order()) - 1).cast("bigint")).join(means, ["contour_id", "at"], "left")
-    inner = (F.col("n") >= 3) & (F.col("at") > 0) & (F.col("at") < F.col("n") - 1)
-    return joined.withColumns({c: F.when(inner, F.col(f"s{c}")).otherwise(F.col(c)) for c in "xy"}).drop("at", "n", "sx", "sy")
+    weights = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-reach, reach + 1)]
+    seen = {f"{c}s": _around(c, reach) for c in "xy"}
+    placed = points.withColumns({"i": F.row_number().over(order()) - 1, "n": F.count("*").over(Window.partitionBy("contour_id")), **seen})
+
+    def mean(c: str) -> Column:
+        values = F.col(f"{c}s")
+        before = F.array_repeat(F.element_at(values, 1), F.greatest(F.lit(0), reach - F.col("i")))
+        after = F.array_repeat(F.element_at(values, -1), F.greatest(F.lit(0), F.col("i") + reach + 1 - F.col("n")).cast("int"))
+        weighed = F.zip_with(F.concat(before, values, after), F.array(*map(F.lit, weights)), lambda v, w: v * w)
+        return F.aggregate(weighed, F.lit(0.0), lambda total, v: total + v) / sum(weights)
+
+    inner = (F.col("n") >= 3) & (F.col("i") > 0) & (F.col("i") < F.col("n") - 1)
+    return placed.withColumns({c: F.when(inner, mean(c)).otherwise(F.col(c)) for c in "xy"}).drop("i", "n", "xs", "ys")
+
+
+def chaikin_rounds(points: DataFrame, rounds: int) -> DataFrame:
+    """Corner cutting repeated: contour_id, seq, x and y, numbered anew from 0; polylines under 3 points stay."""
+    few = points.withColumn("n", F.count("*").over(Window.partitionBy("contour_id")))
+    now = few.filter("n >= 3").select("contour_id", "seq", "x", "y")
+    for _ in range(rounds):
+        w = Window.partitionBy("contour_id").orderBy("seq", "part")
+        now = chaikin(now).select("contour_id", (F.row_number().over(w) - 1).alias("seq"), F.col("px").alias("x"), F.col("py").alias("y"))
+    return now.unionByName(few.filter("n < 3").select("contour_id", "seq", "x", "y"))
+
+
+def runs_within(points: DataFrame, ok: Column, least: int) -> DataFrame:
+    """Points of the runs in which `ok` holds throughout, of at least `least` points: adds run (its first seq), place from 0 and size."""
+    kept = points.withColumn("_island", F.row_number().over(order())).filter(ok)
+    island = Window.partitionBy("contour_id", "_gap")
+    kept = kept.withColumn("_gap", F.col("_island") - F.row_number().over(order()))
+    made = kept.withColumns({"run": F.min("seq").over(island), "size": F.count("*").over(island), "place": F.row_number().over(island.orderBy("seq")) - 1})
+    return made.filter(F.col("size") >= least).drop("_island", "_gap")
+
+
+def length_and_area(points: DataFrame) -> DataFrame:
+    """contour_id, points, length (open) and area (closed) of each polyline."""
+    w = order()
+    first = lambda c: F.first(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    after = lambda c: F.coalesce(F.lead(c).over(w), first(c))
+    cross = F.col("x") * F.col("y1") - F.col("x1") * F.col("y")
+    rows = points.withColumns({"step": step_length(), "x1": after("x"), "y1": after("y")})
+    found = rows.groupBy("contour_id").agg(F.count("*").alias("points"), F.sum("step").alias("length"), F.sum(cross).alias("twice"))
+    return found.select("contour_id", "points", "length", (F.abs("twice") / 2).alias("area"))
+
+
+def distance_to_lines(points: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds to each point (keys, x, y) its distance to the nearest segment of the polyline with the same keys.
+
+    `lines` has the keys, contour_id, seq, x and y. Points of keys without a segment have no row.
+    """
+    ends = lines.withColumns({"x1": F.lead("x").over(order()), "y1": F.lead("y").over(order())}).filter("x1 is not null")
+    segments = ends.select(*keys, *[F.col(c).alias(f"s_{c}") for c in ("x", "y", "x1", "y1")])
+    dx, dy = F.col("s_x1") - F.col("s_x"), F.col("s_y1") - F.col("s_y")
+    along = ((F.col("x") - F.col("s_x")) * dx + (F.col("y") - F.col("s_y")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(along, F.lit(0.0))))
+    away = F.hypot(F.col("x") - F.col("s_x") - t * dx, F.col("y") - F.col("s_y") - t * dy)
+    return points.join(segments, keys).groupBy(*points.columns).agg(F.min(away).alias("distance"))
 
 
 def resampled(points: DataFrame, step: float = 1.0, least: float = 1e-6) -> DataFrame:

@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.operators import density as D
 from lamina.operators import evaluation as E
 from lamina.operators import polylines as P
 from lamina.operators import raster as R
-from lamina.views import view, with_views
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def _add(name: str, views: str, run: Callable[..., DataFrame], sql: str | None, rounded: str = "") -> None:
-    """Registers a query; the columns named in `rounded` are rounded to 6 places (SQL rounds its own)."""
-
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = run(*[view(spark, sf_dir, v) for v in views.split()])
-        return out.withColumns({c: F.round(c, 6) for c in rounded.split()})
-
-    QUERIES[name] = query
-    if sql:
-        SQL[name] = with_views(sql)
+from lamina.registry import QUERIES, SQL
+from lamina.registry import add as _add
 
 
 _OVERLAP = """WITH l AS (SELECT sample, algo_layer AS layer, algo_layer, gt_layer FROM v_pixels WHERE algo_layer IS NOT NULL
@@ -95,8 +79,8 @@ _add("radius_count", "v_points2d", lambda p: D.within_radius(p, 0.05), "SELECT a
 
 def _legacy_depth(points: DataFrame) -> DataFrame:
     cells = points.filter("label >= 2")
-    pia = D.nearest_distance(cells, points.filter("label = 0"), 0.1, name="d_gm")
-    white = D.nearest_distance(cells, points.filter("label = 1"), 0.1, name="d_wm")
+    pia = D.nearest_distance(cells, points.filter("label = 0"), name="d_gm")
+    white = D.nearest_distance(cells, points.filter("label = 1"), name="d_wm")
     return pia.join(white, "id").select("id", (F.col("d_gm") / (F.col("d_gm") + F.col("d_wm") + 1e-8)).alias("depth"))
 
 
@@ -134,14 +118,6 @@ _add("curve_peaks", "v_cells", lambda c: D.peaks(D.smoothed(D.curve(c)), "smooth
  (SELECT min(s.smooth) FROM smooth s WHERE s.sample = t.sample AND s.bin > t.bin AND NOT EXISTS (SELECT 1 FROM smooth h WHERE h.sample = t.sample AND h.smooth > t.smooth AND h.bin <= s.bin AND h.bin > t.bin))), 6) AS prominence FROM t WHERE smooth > a AND smooth > b""", "height prominence")
 
 
-def _peak_bounds(cells: DataFrame) -> DataFrame:
-    """Layer bounds of each sample from its own smoothed curve."""
-    curve = D.smoothed(D.curve(cells))
-    bend = D.gradient(D.gradient(curve, "smooth", "slope"), "slope", "bend")
-    return D.peak_bounds(curve, "smooth", D.crossings(bend, "bend"))
-
-
-_add("peak_bounds", "v_cells", _peak_bounds, None, "b0 b1 b2 b3 b4 b5")
 _add("otsu", "v_gray", R.otsu, """WITH h AS (SELECT sample, v, count(*) AS n FROM v_gray GROUP BY 1, 2), c AS (SELECT sample, v, sum(n) OVER (PARTITION BY sample ORDER BY v) AS w0, sum(n * v) OVER (PARTITION BY sample ORDER BY v) AS s0, sum(n) OVER (PARTITION BY sample) AS w, sum(n * v) OVER (PARTITION BY sample) AS s FROM h),
  t AS (SELECT sample, v, cast(w0 AS double) * (w - w0) * power(cast(s0 AS double) / w0 - cast(s - s0 AS double) / (w - w0), 2) AS score FROM c WHERE w0 < w) SELECT sample, v AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY score DESC, v) AS rn FROM t) q WHERE rn = 1""")
 _MASK = lambda p: p.filter("gt_layer = 'L4'").select("sample", "x", "y")
@@ -150,3 +126,8 @@ _add("dilate", "v_pixels", lambda p: R.dilated(_MASK(p)), f"SELECT sample, cast(
 _add("erode", "v_pixels", lambda p: R.eroded(_MASK(p)), f"SELECT sample, cast(x AS int) AS x, cast(y AS int) AS y FROM ({_SQUARE}) q WHERE n = 9")
 _add("tile_ownership", "v_cells", lambda c: R.tile_counts(c, 256, 32), "SELECT sample, cast(floor(cy / 192) AS bigint) AS tile_r, cast(floor(cx / 192) AS bigint) AS tile_c, count(*) AS n, cast(sum(area_px) AS bigint) AS area_px FROM v_cells GROUP BY 1, 2, 3")
 _add("paste_overlay", "v_pixels", lambda p: R.pasted(p.select("sample", "x", "y", F.col("algo_layer").alias("layer")), p.filter("gt_layer is not null").select("sample", "x", "y", F.col("gt_layer").alias("layer")), 10, 5, "layer"), "SELECT a.sample, a.x, a.y, coalesce(b.gt_layer, a.algo_layer) AS layer FROM v_pixels a LEFT JOIN v_pixels b ON b.sample = a.sample AND b.x + 10 = a.x AND b.y + 5 = a.y AND b.gt_layer IS NOT NULL")
+
+
+from lamina import queries_boundaries, queries_shapes, queries_tables  # noqa: E402, F401  they register theirs
+
+__all__ = ["QUERIES", "SQL"]

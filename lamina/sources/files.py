@@ -26,7 +26,7 @@ def _named(df: DataFrame, names: tuple[str, ...]) -> Column:
     raise ValueError(f"no column {' or '.join(names)} in {df.columns}")
 
 
-def xy(df: DataFrame, *keep: str) -> DataFrame:
+def xy(df: DataFrame, *keep: str | Column) -> DataFrame:
     """The coordinates as doubles x and y, whatever they are called, after the columns to keep; text that is no number becomes null."""
     return df.select(*keep, _named(df, X_NAMES).try_cast("double").alias("x"), _named(df, Y_NAMES).try_cast("double").alias("y"))
 
@@ -43,9 +43,9 @@ def read_boundaries(spark: SparkSession, path: str) -> DataFrame:
     return xy(found.withColumn("file", F.col("_metadata.file_path")), "file", "boundary")
 
 
-def read_scans(spark: SparkSession, path: str) -> DataFrame:
-    """file, scan_info and positions of scan descriptions, one row a file."""
-    return spark.read.schema(_SCAN).option("multiLine", True).json(path).select(F.col("_metadata.file_path").alias("file"), "*")
+def read_scans(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """file, scan_info and positions of scan descriptions, one row a file, or one row a line."""
+    return spark.read.schema(_SCAN).option("multiLine", not lines).json(path).select(F.col("_metadata.file_path").alias("file"), "*")
 
 
 def scan_start(scans: DataFrame) -> DataFrame:
@@ -75,6 +75,51 @@ def read_offset(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.col("_metadata.file_path").alias("file"), part("x"), part("y"))
 
 
+def read_cells(spark: SparkSession, path: str, *keep: str) -> DataFrame:
+    """cell_id, x, y, area_px and the columns to keep; cells without a number get one, without an area 0.
+
+    Numbers given here are unique, not without gaps: counting them all would take one task.
+    """
+    found = spark.read.option("header", True).csv(path)
+    have = {c.lower(): f"`{c}`" for c in found.columns}
+    number = F.col(have["cell_id"]).cast("long") if "cell_id" in have else F.monotonically_increasing_id() + 1
+    area = F.col(have["area_px"]).cast("int") if "area_px" in have else F.lit(0)
+    return xy(found.withColumns({"_number": number, "_area": area}), F.col("_number").alias("cell_id"), F.col("_area").alias("area_px"), *keep)
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV table with a header in the given types."""
+    return spark.read.option("header", True).schema(schema).csv(path)
+
+
+def read_layers(spark: SparkSession, path: str) -> DataFrame:
+    """sample, layer, start and end of tables of layers."""
+    return read_table(spark, path, "sample string, layer string, start double, end double")
+
+
+def first_two(df: DataFrame) -> DataFrame:
+    """x and y by place: the first two columns, for files without names that tell."""
+    return df.select(F.col(f"`{df.columns[0]}`").try_cast("double").alias("x"), F.col(f"`{df.columns[1]}`").try_cast("double").alias("y"))
+
+
+def best_paths(listed: DataFrame, extensions: tuple[str, ...]) -> DataFrame:
+    """stem and path: for each stem the file whose extension comes first in order, in any case; others are left out."""
+    kind = F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1))
+    rank = F.array_position(F.array(*map(F.lit, extensions)), kind)
+    return listed.withColumn("rank", rank).filter("rank > 0").groupBy("stem").agg(F.min_by("path", F.struct("rank", "path")).alias("path"))
+
+
+def write_table(rows: DataFrame, path: str) -> None:
+    """Rows as CSV with a header."""
+    rows.write.option("header", True).mode("errorifexists").csv(path)
+
+
+def write_points(points: DataFrame, path: str) -> None:
+    """x and y as CSV with a header; no points make a file of the header alone."""
+    points = points.select("x", "y")
+    (points.coalesce(1) if points.isEmpty() else points).write.option("header", True).mode("errorifexists").csv(path)
+
+
 def write_boundaries(boundaries: DataFrame, path: str, places: int | None = None) -> None:
     """sample, boundary, x and y as CSV with a header, a folder a sample; rounded if `places` is given. An empty table writes no folder."""
     at = lambda c: F.col(c) if places is None else F.round(c, places).alias(c)

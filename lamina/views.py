@@ -41,6 +41,15 @@ FROM {lineitem} GROUP BY 1, 2, 3""",
     "v_points2d": "SELECT vec_id AS id, label, cast(embedding[{zero}] AS double) AS x, cast(embedding[{one}] AS double) AS y FROM {embeddings}",
     "v_pred": "SELECT doc_id, quality = 1 AS pred, toxic = 1 AS gt FROM {labels}",
 }
+SQL["v_colours"] = f"""
+SELECT sample, x, y, greatest(0, least(255, base_b + noise)) AS b, greatest(0, least(255, base_g - noise)) AS g, greatest(0, least(255, base_r + noise)) AS r
+FROM (SELECT sample, x, y, CASE WHEN x * y % 17 = 0 THEN 5 WHEN algo_layer IN ('L1', 'L5/6') THEN 255 ELSE 100 END AS base_b,
+    CASE WHEN x * y % 17 = 0 THEN 5 WHEN algo_layer IN ('L2/3', 'L5/6') THEN 255 ELSE 100 END AS base_g,
+    CASE WHEN x * y % 17 = 0 THEN 5 WHEN algo_layer = 'L4' THEN 255 ELSE 100 END AS base_r,
+    CASE WHEN x * y % 17 = 0 THEN 0 ELSE (x * 7 + y * 13) % 41 - 20 END AS noise
+  FROM ({SQL["v_pixels"]}) p) q"""
+SQL["v_labels"] = f"""
+SELECT sample, x, y, cast(floor(y / 10) * 10 + floor(x / 10) AS int) AS label FROM ({SQL["v_pixels"]}) p WHERE gt_layer = 'L4' OR gt_layer = 'L1'"""
 _TABLES = ("lineitem", "part", "events", "embeddings", "labels")
 
 
@@ -55,6 +64,8 @@ def with_views(query: str) -> str:
     """A query in the other engine's SQL, with the views it names before it; arrays count from 1."""
     places = {t: t for t in _TABLES} | {"zero": "1", "one": "2"}
     named = [f"{n} AS ({text.format(**places)})" for n, text in SQL.items() if n in query]
-    head = "WITH " if not query.lstrip().upper().startswith("WITH ") else "WITH "
-    body = query.lstrip()[5:] if query.lstrip().upper().startswith("WITH ") else query
-    return head + ", ".join(named) + (", " if body is not query else " ") + body
+    text = query.lstrip()
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if text.upper().startswith(head):
+            return head + ", ".join(named) + ", " + text[len(head) :]
+    return "WITH " + ", ".join(named) + " " + query
