@@ -19,20 +19,23 @@ from lamina.llm.components import components
 
 #: Distinct words from which on a line has so many classes. Below PAIRED words a block covers two of PAIR_CLASSES classes.
 PAIRED, PAIR_CLASSES = 24, 5
-BANDS = ((PAIRED, 8), (60, 12), (150, 20), (400, 32))
+BANDS = ((PAIRED, 6), (60, 12), (150, 20), (400, 32))
 #: A line is in the neighbouring band too if its words come within these shares of the edge: lines of 0.8 times the words meet.
 BELOW, ABOVE = 0.9, 1.125
-#: Words that a block covers at least; short lines may have one less.
-LEAST = 3
+#: Words that a block covers at least, so that few unlike lines share one: of one class, of a pair, of a pair of a line under TINY words.
+LEAST, LEAST_PAIR, LEAST_TINY, TINY = 5, 3, 2, 6
 #: Bits of 64 in which the SimHashes of a candidate pair may differ: a fifth of the words replaced makes 13.1 on average.
 MAX_BITS = 18
-#: Bits of a counter; four of them lie side by side in a long, so 16 longs count all 64 bits.
+#: Bits of a counter; four of them lie side by side in a long, so 16 longs count 64 bits and 8 the 32 bits of a block.
 LANE = 16
 #: Words from which on counters might overflow: a lane holds a count and one bit for the comparison below.
 LONG = 1 << (LANE - 2)
 _ONES = sum(1 << (LANE * i) for i in range(64 // LANE))
+BLOCK_LANES = 8
 #: Stands for the whole line among its classes.
 WHOLE = -1
+#: Seeds that choose the hub of a code: a group of copies shares many codes, and so has several hubs.
+HUBS = (0, 0x5DEECE66D5A5A5A5, 0x2545F4914F6CDD1D)
 
 
 def normalised(line: Column) -> Column:
@@ -40,15 +43,19 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), "[^\\p{L}\\p{N}]+", " "))
 
 
-def _majority(n: Column) -> Column:
-    """Fingerprint whose bit b is set if over half of the n words have it, from the counters c0 to c15.
+def _lanes(h: Column, lanes: int) -> list[Column]:
+    return [F.sum(F.shiftrightunsigned(h, j).bitwiseAND(_ONES)).alias(f"c{j}") for j in range(lanes)]
+
+
+def _majority(n: Column, lanes: int = LANE) -> Column:
+    """Fingerprint whose bit b is set if over half of the n words have it, from the counters c0 on.
 
     Adding LONG less the least majority to a counter sets its bit LANE - 2 if it reaches that majority;
     four counters are compared by one addition, and none carries into the next.
     """
     short = (F.lit(LONG) - F.floor(n / 2).cast("long") - 1) * _ONES
     out = F.lit(0).cast("long")
-    for j in range(LANE):
+    for j in range(lanes):
         out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col(f"c{j}") + short, LANE - 2).bitwiseAND(_ONES), j))
     return out
 
@@ -64,15 +71,14 @@ def _once(value: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, row, line_no, raw (hash of the line), norm, id and check (hashes of norm) of lines with a letter or digit.
+    """doc_id, row, line_no, line and id (its hash) of all lines that are not empty.
 
     `row` is the row's own key, a column of docs or else made from its doc_id and text.
     """
     if "row" not in docs.columns:
         docs = docs.withColumn("row", _row_key("doc_id", "text"))
     lines = docs.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    made = lines.select("doc_id", "row", "line_no", F.xxhash64("line").alias("raw"), _once(normalised(F.col("line"))).alias("norm"))
-    return made.filter("norm != ''").withColumns({"id": F.xxhash64("norm"), "check": F.xxhash64(F.lit(1), "norm")})
+    return lines.filter("line != ''").withColumn("id", F.xxhash64("line"))
 
 
 def _bands(words: Column) -> Column:
@@ -85,36 +91,38 @@ def _bands(words: Column) -> Column:
     return F.array_compact(F.array(*inside))
 
 
-def _classes(word: Column, number: Column) -> Column:
-    """Classes of a word among `number` classes: itself and WHOLE, or the pairs that hold its class and WHOLE."""
-    own = F.pmod(F.hash(word), number)
+def _classes(h: Column, number: Column) -> Column:
+    """Classes of a word's hash among `number` classes: one, or the pairs that hold it. The bits used are in no block."""
+    own = F.pmod(F.shiftrightunsigned(h, 56) * 256 + F.shiftrightunsigned(h, 40).bitwiseAND(255), number).cast("int")
     pairs = list(combinations(range(PAIR_CLASSES), 2))
-    table_of = F.array(*[F.array(F.lit(WHOLE), *[F.lit(i) for i, p in enumerate(pairs) if c in p]) for c in range(PAIR_CLASSES)])
-    return F.when(number == PAIR_CLASSES, F.element_at(table_of, own + 1)).otherwise(F.array(F.lit(WHOLE), own))
+    table_of = F.array(*[F.array(*[F.lit(i) for i, p in enumerate(pairs) if c in p]) for c in range(PAIR_CLASSES)])
+    return F.when(number == PAIR_CLASSES, F.element_at(table_of, own + 1)).otherwise(F.array(own))
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """Rows of the distinct lines: id, class and code, the hash of a block's SimHash (candidates share one).
+    """Rows of the distinct lines with a letter or digit: id, class, code and words; candidates share a class's code.
 
-    The rows of class WHOLE, one a line, have the SimHash of the line as code, and doc_id, row, line_no
-    (first occurrence), raw, times (occurrences) and words; the SimHash of a line that is too long for
-    the counters is null. Equal lines meet once, with their text, after a partial aggregate; what follows is
-    done where they are, without another shuffle. Lines whose two hashes disagree are left out.
+    The row of class WHOLE, one a line, has the hash of the normal form as code, and times (occurrences).
+    Equal lines meet once, with their text, after a partial aggregate; what follows is done
+    where they are, without another shuffle. Lines whose two hashes disagree are left out.
     """
-    first = F.struct("doc_id", "row", "line_no")
-    met = lines_of(docs).groupBy("id").agg(F.first("norm").alias("norm"), F.min(first).alias("first"), F.min("raw").alias("raw"), F.count("*").alias("times"), F.min("check").alias("low"), F.max("check").alias("high"))
-    line = ["id", "doc_id", "row", "line_no", "raw", "times", "words"]
-    split = met.filter("low = high").select("id", "first.*", "raw", "times", _once(F.array_distinct(F.split("norm", " "))).alias("ws")).withColumn("words", F.size("ws"))
-    dealt = split.select(*line, F.explode(_bands(F.col("words"))).alias("number"), "ws").select(*line, "number", F.explode("ws").alias("w"))
-    hashed = dealt.select(*line, "number", F.explode(_classes(F.col("w"), F.col("number"))).alias("class"), F.xxhash64("w").alias("h"))
-    lanes = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(_ONES)).alias(f"c{j}") for j in range(LANE)]
-    summed = hashed.groupBy(*line, "number", "class").agg(F.count("*").alias("n"), *lanes)
-    made = summed.select(*line, "number", "class", "n", F.when(F.col("n") < LONG, _majority(F.col("n"))).alias("bits"))
-    least = F.when(F.col("words") < 2 * LEAST, LEAST - 1).otherwise(LEAST)
+    twice = lines_of(docs).withColumn("check", F.xxhash64(F.lit(1), "line"))
+    met = twice.groupBy("id").agg(F.first("line").alias("line"), F.count("*").alias("times"), F.min("check").alias("low"), F.max("check").alias("high"))
+    norm = met.filter("low = high").select("id", "times", _once(normalised(F.col("line"))).alias("norm")).filter("norm != ''")
+    split = norm.select("id", "times", F.xxhash64("norm").alias("code"), _once(F.array_distinct(F.split("norm", " "))).alias("ws")).withColumn("words", F.size("ws"))
+    # The null at the end of the words makes the row of the whole line.
+    every = F.concat("ws", F.array(F.lit(None).cast("string")))
+    dealt = split.select("id", "times", "code", "words", F.explode(_bands(F.col("words"))).alias("number"), every.alias("ws"))
+    hashed = dealt.select("id", "words", "number", "times", "code", F.explode("ws").alias("w")).withColumn("h", F.when(F.col("w").isNotNull(), F.xxhash64("w")))
     first_band = F.col("number") == F.element_at(_bands(F.col("words")), 1)
-    kept = made.filter(((F.col("class") == WHOLE) & first_band) | ((F.col("class") != WHOLE) & (F.col("n") >= least)))
+    nowhere = F.array().cast("array<int>")
+    place = F.when(F.col("h").isNotNull(), _classes(F.col("h"), F.col("number"))).otherwise(F.when(first_band, F.array(F.lit(WHOLE))).otherwise(nowhere))
+    placed = hashed.select("id", "words", "number", "times", "code", F.explode(place).alias("class"), "h")
+    summed = placed.groupBy("id", "times", "code", "words", "number", "class").agg(F.count("*").alias("n"), *_lanes(F.col("h"), BLOCK_LANES))
     whole = F.col("class") == WHOLE
-    return kept.select("id", "class", F.when(whole, F.col("bits")).otherwise(F.xxhash64("number", "class", "bits")).alias("code"), *[F.when(whole, F.col(c)).alias(c) for c in line[1:]])
+    least = F.when(F.col("number") != PAIR_CLASSES, LEAST).when(F.col("words") < TINY, LEAST_TINY).otherwise(LEAST_PAIR)
+    code = F.when(whole, F.col("code")).otherwise(F.xxhash64("number", "class", _majority(F.col("n"), BLOCK_LANES)))
+    return summed.filter(whole | (F.col("n") >= least)).select("id", "class", code.alias("code"), F.when(whole, F.col("words")).alias("words"), F.when(whole, F.col("times")).alias("times"))
 
 
 def _near(a: str, b: str, max_bits: int) -> Column:
@@ -122,100 +130,134 @@ def _near(a: str, b: str, max_bits: int) -> Column:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, bits and norm of the wanted lines (id, bits, raw): found again in the documents by their hash, one copy each."""
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).select("line", F.xxhash64("line").alias("raw"))
-    found = lines.join(small_side(wanted.select("raw"), 1_000_000), "raw", "left_semi").groupBy("raw").agg(F.first("line").alias("line"))
-    return wanted.join(found, "raw").select("id", "bits", normalised(F.col("line")).alias("norm"))
+    """id, norm and bits (SimHash of the distinct words) of the wanted lines (id): found again in the documents by their hash.
+
+    The SimHash of a line that is too long for the counters is null.
+    """
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).select("line", F.xxhash64("line").alias("id"))
+    found = lines.join(small_side(wanted, 1_000_000), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    norm = found.select("id", _once(normalised(F.col("line"))).alias("norm"))
+    hashed = norm.select("id", "norm", F.explode(F.array_distinct(F.split("norm", " "))).alias("w")).select("id", "norm", F.xxhash64("w").alias("h"))
+    return hashed.groupBy("id", "norm").agg(F.count("*").alias("n"), *_lanes(F.col("h"), LANE)).select("id", "norm", F.when(F.col("n") < LONG, _majority(F.col("n"))).alias("bits"))
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, max_bits: int) -> DataFrame:
-    """The pairs (u, v) whose SimHashes are near and whose texts are similar."""
+def _with_texts(pairs: DataFrame, texts: DataFrame, max_bits: int) -> DataFrame:
+    """The pairs (u, v) whose SimHashes are near, with their normal forms s and t."""
     s, t = (texts.select(F.col("id").alias(i), F.col("norm").alias(n), F.col("bits").alias(b)) for i, n, b in (("u", "s", "x"), ("v", "t", "y")))
-    return pairs.join(s, "u").join(t, "v").filter(_near("x", "y", max_bits)).filter(_similar(similarity)).select("u", "v")
+    return pairs.join(s, "u").join(t, "v").filter(_near("x", "y", max_bits)).select("u", "v", "s", "t")
+
+
+def _linked(edges: DataFrame, pairs: DataFrame, texts: DataFrame, similarity: float, max_bits: int, name: str) -> DataFrame:
+    """Edges (u, v), and of the pairs (u, v) those similar ones that the edges and cheap bounds don't connect already.
+
+    The edit distance is worked out only for pairs whose lines are in different groups so far.
+    """
+    judged = staged(bounded(_with_texts(pairs, texts, max_bits), similarity).select("u", "v", "ok"), "line-judged")
+    sure = staged(edges.union(judged.filter("ok").select("u", "v")), "line-edges")
+    parts = components(sure, name)
+    p, q = (parts.select(F.col("node").alias(c), F.col("component").alias(n)) for c, n in (("u", "p"), ("v", "q")))
+    open_ = judged.filter("not ok").select("u", "v").join(p, "u", "left").join(q, "v", "left")
+    open_ = open_.filter(F.coalesce("p", "u") != F.coalesce("q", "v")).select("u", "v")
+    found = bounded(_with_texts(open_, texts, max_bits), similarity).filter("levenshtein(s, t, most) >= 0").select("u", "v")
+    return staged(sure.union(found), "line-edges")
 
 
 def line_groups(docs: DataFrame, made: DataFrame, similarity: float = 0.8, max_bits: int = MAX_BITS) -> DataFrame:
     """node (id) and component of the lines that link to others, from the staged rows of `blocks`.
 
     Codes are counted first, by sums in each task; a code of two lines is a pair. Under a code of more,
-    all lines are compared with one of them, the hub. What that links is one group already; of
-    the other pairs those whose two lines are in different groups are compared too, group by group. So a
-    large group of copies costs a star instead of all its pairs, and each pair of lines under a
-    code is either compared or known to be connected.
+    all lines are compared with one of them, the hub; what that links is one group already. Lines
+    under a code that are in another group than its hub, the strays, are then compared with all lines under it that
+    are in another group than they are. So a large group of copies costs a few stars instead of all its
+    pairs, and each pair of lines under a code is either compared or known to be connected.
     """
-    keyed = made.filter(F.col("class") != WHOLE).select("code", "id")
-    shared = staged(keyed.groupBy("code").agg(F.min("id").alias("u"), F.max("id").alias("v"), F.count("*").alias("n")).filter("u < v"), "line-codes")
-    large = shared.filter("n > 2").select("code", F.col("u").alias("hub"))
-    members = staged(keyed.join(small_side(large, 1_000_000), "code"), "line-members")
-    tried = staged(shared.select("u", "v").union(members.filter("id > hub").select(F.col("hub").alias("u"), F.col("id").alias("v"))).distinct(), "line-pairs")
+    keyed = made.filter((F.col("class") != WHOLE) | (F.col("words") <= LEAST_TINY)).select("code", "id")
+    seed = F.element_at(F.array(*[F.lit(k) for k in HUBS]), (F.pmod("code", F.lit(len(HUBS))) + 1).cast("int"))
+    sums = keyed.groupBy("code").agg(F.min("id").alias("u"), F.max("id").alias("v"), F.count("*").alias("n"), F.min(F.col("id").bitwiseXOR(seed)).alias("hub"))
+    shared = staged(sums.filter("u < v").withColumn("hub", F.col("hub").bitwiseXOR(seed)), "line-codes")
+    members = staged(keyed.join(small_side(shared.filter("n > 2").select("code", "hub"), 1_000_000), "code"), "line-members")
+    stars = members.filter("id != hub").select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))
+    tried = staged(shared.filter("n = 2").select("u", "v").union(stars).distinct(), "line-pairs")
     close = tried.select(F.col("u").alias("id")).union(tried.select("v")).distinct()
-    lines = made.filter(F.col("class") == WHOLE).select("id", F.col("code").alias("bits"), "raw").join(close, "id", "left_semi")
-    texts = staged(_texts(docs, lines), "line-texts")
-    stars = staged(_confirmed(tried, texts, similarity, max_bits), "line-edges")
-    parts = components(stars, "line-groups").select(F.col("node").alias("id"), "component")
-    placed = members.join(parts, "id", "left").select("code", "id", F.coalesce("component", "id").alias("part"))
-    mixed = placed.groupBy("code").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a < b").select("code")
-    placed = staged(placed.join(mixed, "code").join(texts.select("id", "bits"), "id"), "line-places")
-    each = placed.select("code", "part").distinct()
-    meet = each.select("code", F.col("part").alias("p")).join(each.select("code", F.col("part").alias("q")), "code").filter("p < q")
-    a, b = (placed.select("code", F.col("part").alias(p), F.col("id").alias(i), F.col("bits").alias(x)) for p, i, x in (("p", "i", "x"), ("q", "j", "y")))
-    across = meet.join(a, ["code", "p"]).join(b, ["code", "q"]).filter(_near("x", "y", max_bits))
+    texts = staged(_texts(docs, close), "line-texts")
+    edges = _linked(tried.limit(0), tried, texts, similarity, max_bits, "line-groups")
+    parts = components(edges, "line-groups").select(F.col("node").alias("id"), "component")
+    placed = members.join(parts, "id", "left").select("code", "id", "hub", F.coalesce("component", "id").alias("part"))
+    main = placed.filter("id = hub").select("code", F.col("part").alias("main"))
+    placed = placed.join(main, "code")
+    mixed = placed.filter("part != main").select("code").distinct()
+    placed = staged(placed.join(mixed, "code", "left_semi").join(texts.select("id", "bits"), "id"), "line-places")
+    strays = placed.filter("part != main").select("code", F.col("id").alias("i"), F.col("part").alias("p"), F.col("bits").alias("x"))
+    other = placed.select("code", F.col("id").alias("j"), F.col("part").alias("q"), F.col("bits").alias("y"), (F.col("part") == F.col("main")).alias("first"))
+    apart = (strays["code"] == other["code"]) & (F.col("p") != F.col("q")) & (F.col("first") | (F.col("p") < F.col("q")))
+    across = strays.join(other, apart & _near("x", "y", max_bits))
     across = across.select(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-    bridges = staged(_confirmed(across, texts, similarity, max_bits), "line-edges")
-    return components(stars.union(bridges), "line-groups")
+    return components(_linked(edges, across, texts, similarity, max_bits, "line-groups"), "line-groups")
 
 
 def dropped_lines(docs: DataFrame, similarity: float = 0.8, max_bits: int = MAX_BITS) -> DataFrame:
     """row and line_no of each line that has an earlier occurrence in its connected group.
 
-    Lines link if their normal forms are equal, or if they share a block, the SimHashes of their distinct
-    words differ in at most `max_bits` bits and the edit distance of the normal forms is at most
+    Lines link if they are equal, or if they share a block (or, with up to two words, the normal form), the SimHashes of their
+    distinct words differ in at most `max_bits` bits and the edit distance of the normal forms is at most
     (1 - similarity) of the longer one. Of each connected group the first occurrence (least doc_id,
-    nulls first, then row, then line) stays. Rows with one key have one result here;
-    `dedup_lines` sees to all but the first of them.
+    nulls first, then row, then line) stays. Lines without a letter or digit are never dropped. Rows with one
+    key have one result here; `dedup_lines` sees to all but the first of them.
     """
     made = staged(blocks(docs), "line-blocks")
     groups = line_groups(docs, made, similarity, max_bits)
-    unique = made.filter(F.col("class") == WHOLE).select("id", F.struct("doc_id", "row", "line_no").alias("first"), "times")
+    unique = made.filter(F.col("class") == WHOLE).select("id", "times")
     classed = unique.join(groups.select(F.col("node").alias("id"), "component"), "id", "left").filter("times > 1 or component is not null")
-    classed = staged(classed.select("id", "first", F.coalesce("component", "id").alias("component")), "line-classes")
-    first = classed.groupBy("component").agg(F.min("first").alias("first"))
-    owner = classed.select("id", "component").join(first, "component").select("id", F.col("first.row").alias("r"), F.col("first.line_no").alias("l"))
-    return lines_of(docs).select("id", "row", "line_no").join(owner, "id").filter("r != row or l != line_no").select("row", "line_no")
+    classed = classed.select("id", F.coalesce("component", "id").alias("component"))
+    found = staged(lines_of(docs).select("id", "doc_id", "row", "line_no").join(classed, "id").select("component", "doc_id", "row", "line_no"), "line-repeats")
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("first"))
+    return found.join(first, "component").filter("first.row != row or first.line_no != line_no").select("row", "line_no")
 
 
-#: Characters of the pieces that two lines are cut into for an upper bound of their edit distance.
-PIECE = 128
+#: Characters from which on a line is cut into pieces, and of a piece.
+LONG_LINE, PIECE = 2048, 128
+#: Letters that stand for words when lines are compared word by word.
+_ALPHABET = "".join(map(chr, range(0x4E00, 0x9C00)))
 
 
-def _similar(similarity: float) -> Column:
-    """Whether s and t are within the edit distance; cheap upper bounds decide most pairs, the distance itself the rest.
+def bounded(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Adds most (the edits that the similarity allows) and ok (whether a cheap upper bound keeps to it); pairs too unlike in length go.
 
-    Words that differ at one place cost at most the longer of the two each, words beyond the end of the
-    other line their length and a space. Lines cut into equally many pieces are no farther apart than
-    their pieces together; that takes time in proportion to the length of a line, not to its square.
-    The distance takes time in proportion to the limit, so a quarter of the limit is tried first.
+    The distance itself takes a line's length squared. Words that differ at one place cost at most the longer
+    of the two each, words beyond the end of the other line their length and a space. Else words stand
+    for letters: each of the edits by words costs at most the longest word and a space, or, if all of
+    them put a word that the other line lacks for one that it lacks, the longest of those. Long lines are also cut
+    into equally many pieces, which together are at least as far apart.
     """
     longest = F.greatest(F.length("s"), F.length("t"))
     most = F.floor(longest * (1 - similarity) + 1e-9).cast("int")
     cost = lambda x, y: F.when(x.eqNullSafe(y), 0).otherwise(F.greatest(F.length(x), F.length(y)) + 1)
     placed = F.aggregate(F.zip_with(F.split("s", " "), F.split("t", " "), cost), F.lit(0), lambda acc, v: acc + v)
+    near = pairs.withColumn("most", most).filter(F.abs(F.length("s") - F.length("t")) <= F.col("most"))
+    told = near.select("*", _once(placed <= F.col("most")).alias("ok"))
+    open_ = ~F.col("ok")
+    hashes = lambda c: F.transform(F.split(c, " "), lambda w: F.xxhash64(w))
+    told = told.select("*", _once(F.when(open_, F.struct(hashes("s").alias("a"), hashes("t").alias("b")))).alias("h"))
+    told = told.select("*", _once(F.when(open_, F.array_distinct(F.concat("h.a", "h.b")))).alias("all"))
+    letters = F.split(F.lit(_ALPHABET), "")
+    spelled = lambda c: F.array_join(F.transform(c, lambda x: F.element_at(letters, F.array_position("all", x).cast("int"))), "")
+    told = told.select("*", _once(F.when(open_ & (F.size("all") <= len(_ALPHABET)), F.struct(spelled("h.a").alias("a"), spelled("h.b").alias("b")))).alias("w"))
+    told = told.withColumn("edits", F.expr("levenshtein(w.a, w.b, cast(most / 2 as int))"))
+    lone = lambda a, b: F.length(F.call_function("translate", a, b, F.lit("")))
+    swapped = (lone(F.col("w.a"), F.col("w.b")) == F.col("edits")) & (lone(F.col("w.b"), F.col("w.a")) == F.col("edits"))
+    size = lambda words: F.coalesce(F.array_max(F.transform(words, lambda w: F.length(w))), F.lit(0))
+    s, t = F.split("s", " "), F.split("t", " ")
+    word = F.when(swapped, F.greatest(size(F.array_except(s, t)), size(F.array_except(t, s)))).otherwise(F.greatest(size(s), size(t)) + 1)
+    by_words = (F.col("edits") >= 0) & (F.col("edits") * word <= F.col("most"))
     pieces = F.ceil(longest / PIECE)
 
     def cut(c: str, i: Column) -> Column:
         at = lambda k: F.floor(F.length(c) * k / pieces)
         return F.substring(c, (at(i) + 1).cast("int"), (at(i + 1) - at(i)).cast("int"))
 
-    parted = F.aggregate(F.sequence(F.lit(0).cast("long"), pieces - 1), F.lit(0), lambda acc, i: acc + F.levenshtein(cut("s", i), cut("t", i)))
-    limit = f"floor(greatest(length(s), length(t)) * (1 - {similarity!r}) + 1e-9)"
-    within = lambda share: F.expr(f"levenshtein(s, t, cast({limit} / {share} as int)) >= 0")
-    return (
-        F.when(F.abs(F.length("s") - F.length("t")) > most, False)
-        .when(placed <= most, True)
-        .when((longest > 2 * PIECE) & (parted <= most), True)
-        .when((longest > PIECE) & within(4), True)
-        .otherwise(within(1))
-    )
+    parted = F.aggregate(F.sequence(F.lit(0).cast("long"), pieces - 1), F.lit(0), lambda total, i: total + F.levenshtein(cut("s", i), cut("t", i)))
+    ok = F.when(F.col("ok") | F.coalesce(by_words, F.lit(False)), True).otherwise((longest > LONG_LINE) & (parted <= F.col("most")))
+    return told.select("u", "v", "s", "t", "most", ok.alias("ok"))
 
 
 def dedup_lines(docs: DataFrame, similarity: float = 0.8, max_bits: int = MAX_BITS) -> DataFrame:

@@ -11,6 +11,8 @@ from lamina.llm.common import SPACE, staged, table
 
 BLOCKS = 256
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Rows of a table of blocks or sources up to which it is broadcast: some 50 bytes each.
+SMALL = 200_000
 
 
 def n_words(text: Column) -> Column:
@@ -69,58 +71,63 @@ def _hash(seed: int, *columns: Column | str) -> Column:
 def mix(docs: DataFrame, shards: int = 8, seed: int = 7, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, max_sources: int = 100_000) -> DataFrame:
     """Rows of the mix: doc_id, source, size, source_size, target, epoch, taken (words of this draw), shard, place.
 
-    `docs` has doc_id, source and text. The mix passes over each source at most ceil(most) times; an
-    epoch of a source is cut into 256 blocks of documents by hash, put in random order, and drawn from
-    the front until the source's target is met to the word: the last block is cut into blocks by
-    another hash, then into documents in hash order, and of the last document only the missing words are taken.
-    The splitting tree gives each shard its number of blocks of each source; within a shard `place`
-    is a random order. Reruns draw the same. Null text has size 0; documents of size 0 are never
-    drawn; a null source is a source. Repeated rows of a doc_id are drawn together. Only one row per
-    source comes to the driver (an error above `max_sources`).
+    `docs` has doc_id, source and text. The mix passes over each source at most ceil(most) times. An
+    epoch of a source is cut into 256 blocks of documents by hash, in random order; its quota is the number
+    of blocks that reach its target. The splitting tree gives each shard its number of blocks of
+    each source, exactly as many as the quotas, and a shard draws its own, disjoint range of the
+    permuted blocks; within a shard `place` is a random order. The block in which a target ends is
+    cut into parts by another hash, then into documents in hash order, and of the last document only the missing
+    words are taken. Reruns draw the same. Null text has size 0; documents of size 0 are never
+    drawn; a null source is a source. Repeated rows count each. Only one row per source comes to the
+    driver (an error above `max_sources`); an empty table gives no rows.
     """
     sized, wanted = _sized(docs, share, most, weights, max_sources)
-    return _mixed(sized, wanted, shards, seed, int(np.ceil(most)))
+    drawn = _drawn(sized, wanted, shards, seed, int(np.ceil(most)))
+    return _named(drawn, wanted).select("doc_id", "source", "size", "source_size", "target", "epoch", "taken", "shard", "place")
 
 
 def _sized(docs: DataFrame, share: float, most: float, weights: tuple[float, ...], max_sources: int) -> tuple[DataFrame, list]:
-    sized = staged(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), n_words(docs["text"]).alias("size")), "sizes")
+    """rid (a number of the row, fixed by writing it), doc_id, source and size of all rows; targets of the sources."""
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), n_words(docs["text"]).alias("size"))
+    sized = staged(rows, "sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(max_sources + 1).collect()
     if len(per_source) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     return sized, targets([tuple(r) for r in per_source], share, most, weights)
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast only if the known bound of its rows is small."""
+    return F.broadcast(df) if rows <= SMALL else df
+
+
 def _named(rows: DataFrame, wanted: list) -> DataFrame:
     """Puts source, source_size and target for the source's number."""
     plan = rows.sparkSession.createDataFrame([(i, s, n, t) for i, (s, n, t) in enumerate(wanted)], "si int, source string, source_size long, target double")
-    return rows.join(F.broadcast(plan), "si")
-
+    return rows.join(_small(plan, len(wanted)), "si")
 
-def _mixed(sized: DataFrame, wanted: list, shards: int, seed: int, epochs: int) -> DataFrame:
-    drawn = staged(_draw(sized, wanted, seed, epochs), "drawn")
-    placed = _to_shards(drawn, len(wanted), shards, seed)
-    return _named(placed, wanted).select("doc_id", "source", "size", "source_size", "target", "epoch", "taken", "shard", "place")
 
-
-def _draw(sized: DataFrame, wanted: list, seed: int, epochs: int) -> DataFrame:
-    """Rows (doc_id, si, size, epoch, block, taken) with taken > 0; si is the number of the source."""
+def _drawn(sized: DataFrame, wanted: list, shards: int, seed: int, epochs: int) -> DataFrame:
+    """Rows (rid, doc_id, si, size, epoch, block, shard, taken, place) with taken > 0; si is the number of the source."""
     spark = sized.sparkSession
     quota = [(s, i, e, min(n, round(t) - e * n)) for i, (s, n, t) in enumerate(wanted) for e in range(epochs) if round(t) > e * n]
     quotas = spark.createDataFrame(quota, "s string, si int, epoch int, quota long")
-    rows = sized.filter("size > 0").join(F.broadcast(quotas), F.col("source").eqNullSafe(F.col("s"))).drop("source", "s")
+    rows = sized.filter("size > 0").join(_small(quotas, len(quota)), F.col("source").eqNullSafe(F.col("s"))).drop("source", "s")
     rows = rows.withColumn("block", F.pmod(_hash(seed, "epoch", F.lit("block"), "doc_id"), F.lit(BLOCKS)).cast("int"))
-    front = _reached(rows, ["si", "epoch"], "block", seed)
-    whole = rows.join(F.broadcast(front.filter("quota >= words").select("si", "epoch", "block")), ["si", "epoch", "block"], "left_semi").withColumn("taken", F.col("size"))
-    # The block in which a source's quota ends is cut once more, by another hash.
-    inner = rows.drop("quota").join(F.broadcast(front.filter("quota < words").drop("words")), ["si", "epoch", "block"])
-    inner = inner.withColumn("part", F.pmod(_hash(seed, "epoch", F.lit("part"), "doc_id"), F.lit(BLOCKS)).cast("int"))
-    fine = _reached(inner, ["si", "epoch", "block"], "part", seed)
-    inner = inner.drop("quota").join(F.broadcast(fine), ["si", "epoch", "block", "part"])
-    order = Window.partitionBy("si", "epoch", "block", "part").orderBy(_hash(seed, "epoch", F.lit("doc"), "doc_id"), "doc_id", "size")
+    front = staged(_reached(rows, ["si", "epoch"], "block", seed), "blocks")
+    dealt = _dealt(front, len(wanted), shards, seed)
+    drawn = rows.drop("quota").join(_small(dealt, len(quota) * BLOCKS), ["si", "epoch", "block"])
+    whole = drawn.filter("quota >= words").withColumn("taken", F.col("size"))
+    # The block in which a source's target ends is cut once more, by another hash.
+    inner = drawn.filter("quota < words").drop("words").withColumn("part", F.pmod(_hash(seed, "epoch", F.lit("part"), "doc_id"), F.lit(BLOCKS)).cast("int"))
+    fine = _reached(inner, ["si", "epoch", "block"], "part", seed).drop("words")
+    inner = inner.drop("quota").join(_small(fine, len(quota) * BLOCKS), ["si", "epoch", "block", "part"])
+    order = Window.partitionBy("si", "epoch", "block", "part").orderBy(_hash(seed, "epoch", F.lit("doc"), "doc_id"), "doc_id", "size", "rid")
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = inner.withColumn("taken", F.least("size", F.greatest(F.lit(0), F.col("quota") - before)))
-    columns = ["doc_id", "si", "size", "epoch", "block", "taken"]
-    return whole.select(columns).union(cut.select(columns)).filter("taken > 0")
+    columns = ["rid", "doc_id", "si", "size", "epoch", "block", "shard", "taken"]
+    both = whole.select(columns).union(cut.select(columns)).filter("taken > 0")
+    return both.withColumn("place", _hash(seed, "epoch", F.lit("place"), "doc_id"))
 
 
 def _reached(rows: DataFrame, keys: list[str], block: str, seed: int) -> DataFrame:
@@ -131,34 +138,28 @@ def _reached(rows: DataFrame, keys: list[str], block: str, seed: int) -> DataFra
     return sums.select(*keys, block, "words", (F.col("all") - before).alias("quota")).filter("quota > 0")
 
 
-def _to_shards(drawn: DataFrame, sources: int, shards: int, seed: int) -> DataFrame:
-    """Deals the drawn blocks of each source to the shards in the numbers of the splitting tree."""
-    blocks = drawn.select("si", "epoch", "block").distinct()
+def _dealt(front: DataFrame, sources: int, shards: int, seed: int) -> DataFrame:
+    """The blocks within the quotas with the shard that draws each: a shard has a range of a source's permuted blocks, as long as the tree says."""
     have = np.zeros(sources, np.int64)
-    for i, n in blocks.groupBy("si").count().collect():
+    for i, n in front.groupBy("si").count().collect():
         have[i] = n
     ends = splitting_tree(have, shards, seed).cumsum(0)
     deals = [(i, int(ends[k - 1, i]) if k else 0, int(ends[k, i]), k) for i in range(sources) for k in range(shards)]
-    deal = drawn.sparkSession.createDataFrame(deals, "si int, low long, high long, shard int").filter("high > low")
+    deal = front.sparkSession.createDataFrame(deals, "si int, low long, high long, shard int").filter("high > low")
     order = Window.partitionBy("si").orderBy(_hash(seed, "epoch", F.lit("deal"), "block"), "epoch", "block")
-    ranked = blocks.withColumn("nth", F.row_number().over(order) - 1)
-    dealt = ranked.join(F.broadcast(deal), "si").filter("nth >= low and nth < high").select("si", "epoch", "block", "shard")
-    return drawn.join(F.broadcast(dealt), ["si", "epoch", "block"]).withColumn("place", _hash(seed, "epoch", F.lit("place"), "doc_id"))
+    ranked = front.withColumn("nth", F.row_number().over(order) - 1)
+    return ranked.join(_small(deal, len(deals)), "si").filter("nth >= low and nth < high").select("si", "epoch", "block", "words", "quota", "shard")
 
 
 def taken_by_document(docs: DataFrame, shards: int = 8, seed: int = 7, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, max_sources: int = 100_000) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words over all draws) of every row, drawn or not.
-
-    Rows with the same doc_id, source and size share what was drawn of them evenly.
-    """
+    """doc_id, size, source_size, target and taken (sum of what the shards drew of it) of every row, drawn or not."""
     sized, wanted = _sized(docs, share, most, weights, max_sources)
-    mixed = _mixed(sized, wanted, shards, seed, int(np.ceil(most)))
-    drawn = mixed.groupBy(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z")).agg(F.sum("taken").alias("words"), F.countDistinct("epoch").alias("e"), F.count("*").alias("rows"))
+    drawn = _drawn(sized, wanted, shards, seed, int(np.ceil(most))).groupBy("rid").agg(F.sum("taken").alias("taken"))
     plan = docs.sparkSession.createDataFrame([(s, n, t) for s, n, t in wanted], "p string, source_size long, target double")
-    out = sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("p"))).join(drawn, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left")
-    repeats = F.greatest(F.lit(1), F.ceil(F.col("rows") / F.col("e")))
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce(F.floor(F.col("words") / repeats), F.lit(0)).cast("long").alias("taken"))
+    out = sized.join(_small(plan, len(wanted)), F.col("source").eqNullSafe(F.col("p"))).join(drawn, "rid", "left")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents by the given weights: what it takes of each row, null texts and ids included."""
     return taken_by_document(table(spark, sf_dir, "documents"))
