@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import map_texts, record_batch, table
+from lamina.llm.common import map_texts, record_batch, staged, table
 from lamina.llm.components import components
 
-SEGMENTS = 8
+#: Bits of the segments whose set bits are counted: 15 counts of at most 8, which with offsets fit 4 bits each.
+WIDTHS = (4,) * 14 + (8,)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -47,27 +49,32 @@ def with_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 def _offsets(radius: int) -> list[int]:
     """Zero and half of the other grid offsets within the Manhattan radius, packed in base 16 like the cells."""
-    zero = (0,) * SEGMENTS
+    zero = (0,) * len(WIDTHS)
     now = {zero}
     for _ in range(radius):
-        now |= {(*d[:i], d[i] + s, *d[i + 1 :]) for d in now for i in range(SEGMENTS) for s in (1, -1)}
+        now |= {(*d[:i], d[i] + s, *d[i + 1 :]) for d in now for i in range(len(WIDTHS)) for s in (1, -1)}
     return [sum(x << (4 * i) for i, x in enumerate(d)) for d in sorted(now) if d >= zero]
 
 
 def near_pairs(prints: DataFrame, radius: int = 2) -> DataFrame:
     """Pairs (a < b or b < a, once each) of distinct fingerprints that differ in at most `radius` bits.
 
-    `prints` has one column fp without repeats. Each fingerprint is the point of its popcounts in 8
-    segments of 8 bits. One changed bit moves one coordinate by one, so the Manhattan distance of
+    `prints` has one column fp without repeats. Each fingerprint is the point of its popcounts in 15
+    segments. One changed bit moves one coordinate by one, so the Manhattan distance of
     two points is a lower bound of the Hamming distance. The cells of the grid are the points
     themselves; each fingerprint probes half of the cells within the radius, so that every close
-    pair of cells meets once, and the join's condition verifies the Hamming distance.
+    pair of cells meets once, and the join's condition verifies the Hamming distance. Two random
+    fingerprints share a cell with probability 1e-9, so that candidates stay few as fingerprints grow.
     """
     if not 0 <= radius <= 3:
         raise ValueError("radius must be 0 to 3: counts of 0 to 8 and offsets share a 4-bit field")
-    cell = sum((F.bit_count(F.shiftrightunsigned(F.col("fp"), 8 * i).bitwiseAND(0xFF)).cast("long") + radius) * (1 << (4 * i)) for i in range(SEGMENTS))
-    points = prints.select("fp", cell.alias("cell"))
-    probes = points.select(F.col("fp").alias("a"), F.explode(F.array(*[F.lit(x).cast("long") for x in _offsets(radius)])).alias("d"), "cell").select("a", "d", (F.col("cell") + F.col("d")).alias("cell"))
+    counts, at = [], 0
+    for i, bits in enumerate(WIDTHS):
+        counts.append((F.bit_count(F.shiftrightunsigned(F.col("fp"), at).bitwiseAND((1 << bits) - 1)).cast("long") + radius) * (1 << (4 * i)))
+        at += bits
+    points = prints.select("fp", reduce(Column.__add__, counts).alias("cell"))
+    steps = F.array(*[F.lit(x).cast("long") for x in _offsets(radius)])
+    probes = points.select(F.col("fp").alias("a"), F.explode(steps).alias("d"), "cell").select("a", "d", (F.col("cell") + F.col("d")).alias("cell"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     return probes.join(points.select(F.col("fp").alias("b"), "cell"), "cell").filter(close & ((F.col("d") != 0) | (F.col("a") < F.col("b")))).select("a", "b")
 
@@ -79,8 +86,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     its own text's fingerprint; a null doc_id takes part and is never the least unless alone (then
     null). Null, empty and word-less texts have fingerprint zero and link like any other.
     """
-    prints = with_fingerprints(docs, shingle)
+    prints = staged(with_fingerprints(docs, shingle), "fingerprints")
     by_print = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    by_print = staged(by_print, "distinct-fingerprints")
     pairs = near_pairs(by_print.select("fp"), radius)
     linked = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), "simhash")
     named = by_print.join(linked.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
@@ -89,16 +97,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 2) -> DataFrame:
-    """The document with the least doc_id of each component, with its columns as they were.
-
-    Rows that repeat a doc_id stay or go together; rows without a doc_id cannot be named and stay.
-    """
-    found = near_duplicates(docs, shingle, radius)
-    kept = found.groupBy("component_id").agg(F.min("doc_id").alias("doc_id"))
-    return docs.join(kept.select("doc_id"), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
-
-
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document by 3-word shingles and up to two differing bits."""
     out = near_duplicates(table(spark, sf_dir, "documents"), 3, 2)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
