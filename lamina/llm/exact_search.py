@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lamina.llm.common import table
+from lamina.llm.common import staged, table
 
-#: Rows of a block of data, and queries of a block, about.
-DATA_BLOCK, QUERY_BLOCK = 4096, 1024
+#: Rows of a block of data, and queries of a block, about; blocks that differ in place.
+DATA_BLOCK, QUERY_BLOCK, MOST_PIVOTS = 4096, 4096, 512
+#: Rows from which the pivots of the blocks are drawn.
+SAMPLE = 20_000
 #: Radius of a child's cover as a share of its parent's; points of a node that is not split.
 SHRINK, LEAF = 0.75, 48
 NONE = np.iinfo(np.int64).min
@@ -23,41 +29,45 @@ def usable(vector: Column) -> Column:
 
 
 class CoverNode:
-    """A centre, the radius that covers all its points, and children of smaller covers, or points."""
+    """A centre, the radius that covers all its rows, and children of smaller covers; a node without children is a leaf."""
 
-    def __init__(self, x: np.ndarray, rows: np.ndarray) -> None:
-        away = np.sqrt(((x[rows] - x[rows[0]]) ** 2).sum(1))
-        self.rows, self.centre, self.radius = rows, x[rows[0]], float(away.max())
+    def __init__(self, x: np.ndarray, rows: np.ndarray, centre: np.ndarray | None = None) -> None:
+        self.rows, self.centre = rows, x[rows[0]] if centre is None else centre
+        self.radius = float(np.sqrt(((x[rows] - self.centre) ** 2).sum(1)).max())
         self.children: list[CoverNode] = []
-        self.points = rows
-        if len(rows) <= LEAF or self.radius == 0:
+        if len(rows) <= LEAF or self.radius == 0 or centre is not None:
             return
         lone, left, reach = [], rows, self.radius * SHRINK
         while len(left):
             near = np.sqrt(((x[left] - x[left[0]]) ** 2).sum(1)) <= reach
             if near.sum() > LEAF:
                 self.children.append(CoverNode(x, left[near]))
-            else:  # too few for a node of their own: points of this node
+            else:  # too few for a cover of their own: a leaf around this node's centre
                 lone.append(left[near])
             left = left[~near]
-        self.points = np.concatenate(lone) if lone else rows[:0]
+        if lone and self.children:
+            self.children.append(CoverNode(x, np.concatenate(lone), self.centre))
 
 
 class _Search:
-    """Best k rows of one block of data for each query of one block."""
+    """Best k rows of one block of data for each query of one block, by both trees together."""
 
-    def __init__(self, q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> None:
+    def __init__(self, q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, worst: np.ndarray | None = None) -> None:
         self.q, self.q_ids, self.x, self.ids = q, q_ids, x, ids
         self.score = np.full((len(q), k), NONE)
         self.best = np.full((len(q), k), np.iinfo(np.int64).max)
-        self.k = k
+        self.floor = np.full(len(q), NONE) if worst is None else worst
+        self.k, self.products_done = k, 0
         self.repeats = len(np.unique(ids)) < len(ids)
         most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, x.shape[1])
+        if most >= 2**63:
+            raise OverflowError("inner products of these vectors do not fit in 64 bits")
         self.exact = most < 2**53  # then every sum is an exact double
         self.slack = 1e-9 * most + 1e-6
         self.qf, self.xf = q.astype(float), x.astype(float)
 
     def products(self, qs: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        self.products_done += len(qs) * len(rows)
         return (self.qf[qs] @ self.xf[rows].T).astype(np.int64) if self.exact else self.q[qs] @ self.x[rows].T
 
     def offer(self, qs: np.ndarray, rows: np.ndarray) -> None:
@@ -72,40 +82,40 @@ class _Search:
         order = np.lexsort((ids, -np.maximum(score, NONE + 1)), axis=1)[:, : self.k]
         self.score[qs], self.best[qs] = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
 
-    def bounds(self, group: CoverNode, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
-        """No query of the group has a higher product with a point within the radius of a centre."""
-        norm, away = np.linalg.norm(group.centre), np.linalg.norm(centres, axis=1)
-        return centres @ group.centre + norm * radii + group.radius * (away + radii) + self.slack
+    def worst(self, group: CoverNode) -> int:
+        """The least kth score of the group's queries, here or known from elsewhere: no row below it is wanted."""
+        return int(np.maximum(self.score[group.rows, -1], self.floor[group.rows]).min())
+
+    def bound(self, group: CoverNode, node: CoverNode) -> float:
+        return float(upper_bound(group.centre, group.radius, node.centre, node.radius)) + self.slack
 
     def run(self, group: CoverNode, node: CoverNode) -> None:
-        """Searches a node for a group of queries; groups that are split are searched child by child."""
-        for child in group.children:
-            self.run(child, node)
-        if not len(group.points):
+        """Searches a node for a group of queries: a pair whose bound is below the group's worst kth score is pruned whole."""
+        if self.bound(group, node) < self.worst(group):
             return
-        qs = group.points
-        todo = [node]
-        while todo:
-            now = todo.pop()
-            points = now.points
-            if len(points):
-                worst = self.score[qs, -1].min()
-                points = points[self.bounds(group, self.xf[points], np.zeros(len(points))) >= worst]
-                if len(points):
-                    self.offer(qs, points)
-            if now.children:
-                bound = self.bounds(group, np.stack([c.centre for c in now.children]), np.array([c.radius for c in now.children]))
-                worst = self.score[qs, -1].min()
-                todo += [now.children[i] for i in np.argsort(bound, kind="stable") if bound[i] >= worst]
+        if not group.children and not node.children:
+            self.offer(group.rows, node.rows)
+        elif group.children and (not node.children or group.radius >= node.radius):
+            for child in group.children:
+                self.run(child, node)
+        else:
+            for child in sorted(node.children, key=lambda c: -self.bound(group, c)):
+                self.run(group, child)
+
+
+def upper_bound(centre, radius, other, reach):
+    """No inner product of a point within `radius` of a centre and one within `reach` of another is larger."""
+    norm, away = np.linalg.norm(centre, axis=-1), np.linalg.norm(other, axis=-1)
+    return (centre * other).sum(-1) + norm * reach + radius * (away + reach)
 
 
 def _block_search(k: int):
     def run(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
-        if not len(queries) or not len(data) or not len(queries["v"].iloc[0]):
+        if not len(queries) or not len(data):
             return out
-        q, x = np.stack(queries["v"].to_numpy()), np.stack(data["v"].to_numpy())
-        search = _Search(q, queries["vec_id"].to_numpy(), x, data["vec_id"].to_numpy(), k)
+        q, x = (np.stack(f["v"].to_numpy()).reshape(len(f), -1) for f in (queries, data))
+        search = _Search(q, queries["vec_id"].to_numpy(), x, data["vec_id"].to_numpy(), k, queries["worst"].to_numpy())
         search.run(CoverNode(search.qf, np.arange(len(q))), CoverNode(search.xf, np.arange(len(x))))
         found = search.score != NONE
         return pd.DataFrame({"query_id": np.repeat(search.q_ids, k)[found.ravel()], "vec_id": search.best[found], "score": search.score[found]})
@@ -113,31 +123,95 @@ def _block_search(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def _pivots(vectors: DataFrame, dim: int, many: int, seed: int) -> np.ndarray:
+    """Centres of the blocks: far apart from each other among a bounded sample of the vectors of one length."""
+    rows = vectors.filter(F.size("v") == dim).orderBy(F.xxhash64(F.lit(seed), "vec_id", "v")).limit(SAMPLE).select("v").toPandas()
+    x = np.stack(rows["v"].to_numpy()).reshape(len(rows), -1).astype(float)
+    chosen, away = [0], ((x - x[0]) ** 2).sum(1)
+    while len(chosen) < min(many, len(x)) and away.max() > 0:
+        chosen.append(int(away.argmax()))
+        away = np.minimum(away, ((x - x[chosen[-1]]) ** 2).sum(1))
+    return x[chosen]
+
+
+def _in_blocks(vectors: DataFrame, pivots: np.ndarray, dim: int) -> DataFrame:
+    """vec_id, v, block (nearest pivot) and away (distance to it) of the vectors of one length."""
+    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
+    fields = pa.schema([("vec_id", pa.int64()), ("v", pa.list_(pa.int64())), ("block", pa.int32()), ("away", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = shared.value
+        for b in batches:
+            if len(b):
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1).astype(float)
+                apart = np.maximum((x * x).sum(1)[:, None] - 2 * x @ p.T + (p * p).sum(1), 0)
+                at = apart.argmin(1)
+                away = np.sqrt(((x - p[at]) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.int32()), pa.array(away)], schema=fields)
+
+    rows = vectors.filter(F.size("v") == dim).select(F.col("vec_id").cast("long"), "v")
+    return rows.mapInArrow(run, "vec_id long, v array<long>, block int, away double")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 3) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of `vectors` with the largest integer inner product.
 
     Both have vec_id and v (array of longs, none null). A query's own vec_id is no candidate; ties go
-    to the smaller vec_id; vectors of another length are no candidates. Queries and data are cut into
-    blocks by hash and each pair of blocks is searched in a task of its own, so neither side is
-    broadcast or collected; a block's k best per query meet in a window of blocks x k rows. Repeated
-    rows of a vec_id count once for a query, by their best score: equal ones are merged before the
-    blocks, of others a block keeps the best before it keeps its k best.
+    to the smaller vec_id; vectors of another length are no candidates. Pivots from a bounded sample are the top of
+    both trees: they cut queries and data into blocks with a centre and a radius. Each
+    block of queries is searched first in the data of its own pivot; the kth scores found there prune pairs of blocks by
+    their bounds, and only rows of the pairs left are shipped, each pair of parts to a task of
+    its own, where two cover trees are searched together. A block's k best per query meet in a window of few rows.
+    Repeated rows of a vec_id count once for a query, by their best score. Empty tables give no rows.
     """
-    data_blocks = max(1, -(-vectors.count() // DATA_BLOCK))
-    query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    part = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("vec_id", "v").distinct().select("vec_id", "v", F.size("v").alias("dim"), part(query_blocks, "vec_id", "v").alias("qb"), every(data_blocks).alias("db"))
-    right = vectors.select("vec_id", "v").distinct().select("vec_id", "v", F.size("v").alias("dim"), part(data_blocks, "vec_id", "v").alias("db"), every(query_blocks).alias("qb"))
-    keys = ["dim", "qb", "db"]
-    tasks = data_blocks * query_blocks
-    found = left.repartition(tasks, *keys).groupBy(*keys).cogroup(right.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(lambda key, a, b: _block_search(k)(a, b), "query_id long, vec_id long, score long")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    data, asked = staged(vectors.select("vec_id", "v").distinct(), "vectors"), staged(queries.select("vec_id", "v").distinct(), "queries")
+    dims = [r[0] for r in asked.select(F.size("v").alias("d")).distinct().collect()]
+    found = [f for f in (_top_k_of_length(data, asked, d, k, seed) for d in dims) if f is not None]
+    best = reduce(DataFrame.union, found) if found else data.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
+    best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _top_k_of_length(data: DataFrame, asked: DataFrame, dim: int, k: int, seed: int) -> DataFrame | None:
+    rows = data.filter(F.size("v") == dim).count()
+    if not rows:
+        return None
+    spark = data.sparkSession
+    pivots = _pivots(data, dim, min(MOST_PIVOTS, -(-rows // DATA_BLOCK)), seed)
+    right, left = staged(_in_blocks(data, pivots, dim), "data-blocks"), staged(_in_blocks(asked, pivots, dim), "query-blocks")
+    d_size, q_size, d_reach, q_reach = (np.zeros(len(pivots)) for _ in range(4))
+    for frame, size, reach in ((right, d_size, d_reach), (left, q_size, q_reach)):
+        for block, n, r in frame.groupBy("block").agg(F.count("*"), F.max("away")).collect():
+            size[block], reach[block] = n, r
+
+    def searched(pairs: list[tuple[int, int]], worst: DataFrame) -> DataFrame:
+        """Results of the queries of each pair's first block among the data of its second, both cut into parts by hash."""
+        parts = [(q, d, int(-(-q_size[q] // QUERY_BLOCK)), int(-(-d_size[d] // DATA_BLOCK))) for q, d in pairs]
+        pair, same = (spark.createDataFrame(parts, "qb int, db int, qn int, dn int") for _ in range(2))
+        part = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        a = left.join(worst, "vec_id", "left").join(pair, F.col("block") == F.col("qb")).select("vec_id", "v", F.coalesce("worst", F.lit(int(NONE))).alias("worst"), "qb", "db", part("qn").alias("qp"), every("dn").alias("dp"))
+        b = right.join(same, F.col("block") == F.col("db")).select("vec_id", "v", "qb", "db", part("dn").alias("dp"), every("qn").alias("qp"))
+        keys = ["qb", "db", "qp", "dp"]
+        return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(lambda key, x, y: _block_search(k)(x, y), "query_id long, vec_id long, score long")
+
+    some = [b for b in range(len(pivots)) if q_size[b]]
+    none = spark.createDataFrame([], "vec_id long, worst long")
+    own = staged(searched([(b, b) for b in some if d_size[b]], none), "own-blocks")
+    kth = own.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))
+    worst = staged(kth.filter(F.size("s") >= k).select(F.col("query_id").alias("vec_id"), F.col("s")[k - 1].alias("worst")), "worst")
+    least = {b: w for b, n, w in left.join(worst, "vec_id", "left").groupBy("block").agg(F.count_if(F.col("worst").isNull()), F.min("worst")).collect() if not n}
+    rest = []
+    for q in some:
+        bound = upper_bound(pivots[q], q_reach[q], pivots, d_reach)
+        slack = 1e-9 * np.abs(bound) + 1e-3
+        rest += [(q, int(d)) for d in np.flatnonzero((d_size > 0) & (bound + slack >= least.get(q, -np.inf))) if d != q]
+    return own.union(searched(rest, worst)) if rest else own
+
+
 def op8_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest integer inner products of every fiftieth embedding; null vectors and such with null or non-finite components take no part."""
     rows = table(spark, sf_dir, "embeddings").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     vectors = rows.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("v"))
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
