@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,7 +43,7 @@ class Forest:
     def probes(self, q: np.ndarray, most: int) -> list[tuple[int, int]]:
         """(tree, leaf) of the `most` leaves nearest to a query, over all trees in one queue.
 
-        The queue holds open nodes by the largest distance to a plane crossed on the way to them.
+        The queue holds open nodes by the sum of squared distances to the planes crossed on the way to them.
         """
         gap = np.einsum("tnd,d->tn", self.normal, q) - self.cut
         queue = [(0.0, t, 0) for t in range(len(gap))]
@@ -52,7 +53,7 @@ class Forest:
             while node < inner:
                 g = gap[t, node]
                 side = int(g > 0)
-                heapq.heappush(queue, (max(far, abs(g)), t, 2 * node + 2 - side))
+                heapq.heappush(queue, (far + g * g, t, 2 * node + 2 - side))
                 node = 2 * node + 1 + side
             found.append((t, node - inner))
         return found
@@ -111,63 +112,89 @@ def _leaf_search(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 8, depth: int = 6, probes: int = 160, sample_rows: int = 20_000, seed: int = 5) -> DataFrame:
+def needed_probes(forest: Forest, sample: np.ndarray, k: int, recall: float, most: int, queries: int = 100) -> int:
+    """Least number of probes, at most `most`, with which the forest finds the share `recall` of the k nearest of a sample.
+
+    Rows of the sample stand for queries. In all of the data neighbours are nearer than in a sample of
+    it, so the recall there is not lower as a rule.
+    """
+    q = sample[: min(queries, len(sample))]
+    score = q @ sample.T
+    score[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    true = np.argsort(-score, axis=1)[:, : min(k, len(sample) - 1)]
+    leaf = forest.leaves(sample)
+    first = []
+    for i in range(len(q)):
+        at = {p: n for n, p in enumerate(forest.probes(q[i], most))}
+        first += [min(at.get((t, leaf[j, t]), most) for t in range(leaf.shape[1])) for j in true[i]]
+    return int(np.sort(first)[min(len(first) - 1, int(np.ceil(recall * len(first))))]) + 1 if first else most
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 16, leaf_rows: int = 128, recall: float = 0.95, sample_rows: int = 20_000, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: up to k rows with the largest inner product among the leaves searched.
 
-    Both frames have vec_id and v (array of doubles, none null, of one length). The forest is fitted on
-    at most `sample_rows` rows, those with the least hash of their id; every row is in a leaf of every
-    tree. A query's `probes` leaves come from one priority queue over all trees; its candidates there
-    are compared exactly. If there are k other rows or fewer, all are found: probes then covers a tree.
+    Both frames have vec_id and v (array of doubles, none null). The forest is fitted on
+    at most `sample_rows` rows, those with the least hash of their id; its depth follows the number of rows (leaves of about
+    `leaf_rows`, as far as the sample goes), and every row is in a leaf of every tree. A query's leaves come from one
+    priority queue over all trees, as many as find the share `recall` of the neighbours within the
+    sample; its candidates there are compared exactly. If there are k other rows or fewer, all are found.
     Leaves are cut by hash into chunks, so a leaf that holds a large part of the rows is no one
     task's. Ties go to the smaller vec_id; repeated rows of a vec_id count once, by the best of those
-    searched: equal ones are merged first, of others a chunk keeps the best before it keeps its k best.
+    searched. Vectors of another length are no candidates. Empty tables give no rows.
     """
-    vectors, queries = staged(vectors.select("vec_id", "v").distinct(), "vectors"), queries.select("vec_id", "v").distinct()
-    sample = vectors.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(sample_rows).select("v").toPandas()
-    if not len(sample):
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    depth = min(depth, max(0, int(np.log2(max(1, len(sample) / 32)))))
-    forest = fit_forest(np.stack(sample["v"].to_numpy()).astype(float), trees, depth, seed)
-    shared = vectors.sparkSession.sparkContext.broadcast(forest)
-    fields = pa.schema([("vec_id", pa.int64()), ("v", pa.list_(pa.float64())), ("tree", pa.int32()), ("leaf", pa.int32())])
+    data, asked = staged(vectors.select("vec_id", "v").distinct(), "vectors"), queries.select("vec_id", "v").distinct()
+    dims = [r[0] for r in asked.select(F.size("v").alias("d")).distinct().collect()]
+    found = [_found_of_length(data, asked, d, k, trees, leaf_rows, recall, sample_rows, seed) for d in dims]
+    found = [f for f in found if f is not None]
+    if not found:
+        return data.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    best = reduce(DataFrame.union, found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _found_of_length(data: DataFrame, asked: DataFrame, dim: int, k: int, trees: int, leaf_rows: int, recall: float, sample_rows: int, seed: int) -> DataFrame | None:
+    """Pairs (query_id, vec_id, score) of the queries of one length with the best of their leaves."""
+    data, asked = data.filter(F.size("v") == dim), asked.filter(F.size("v") == dim)
+    rows = data.count()
+    sample = data.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(sample_rows).select("v").toPandas()
+    if not rows or not dim:
+        return None
+    x = np.stack(sample["v"].to_numpy()).astype(float)
+    depth = max(0, min(int(np.log2(max(1, rows / leaf_rows))), int(np.log2(max(1, len(x) / 16)))))
+    forest = fit_forest(x, trees, depth, seed)
+    probes = needed_probes(forest, x, k, recall, trees << depth) if rows > k + 1 else trees
+    shared = data.sparkSession.sparkContext.broadcast(forest)
+    fields = pa.schema([("vec_id", pa.int64()), ("v", pa.list_(pa.float64())), ("leaves", pa.list_(pa.int64()))])
 
     def unpacked(b: pa.RecordBatch) -> np.ndarray:
         return b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
 
-    def packed(ids: np.ndarray, x: np.ndarray, tree: np.ndarray, leaf: np.ndarray) -> pa.RecordBatch:
-        lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] if len(x) else 0), x.ravel())
-        return record_batch(fields, [ids, lists, tree.astype(np.int32), leaf.astype(np.int32)])
-
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                x, ids = unpacked(b), b.column(0).to_numpy()
-                leaf = shared.value.leaves(x)
-                for t in range(leaf.shape[1]):
-                    yield packed(ids, x, np.full(len(x), t), leaf[:, t])
+                leaf = shared.value.leaves(unpacked(b)) + (np.arange(trees) << depth)
+                yield record_batch(fields, [b.column(0), b.column(1), pa.ListArray.from_arrays(np.arange(len(b) + 1, dtype=np.int32) * trees, leaf.ravel())])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                x, ids = unpacked(b), b.column(0).to_numpy()
-                for i in range(len(x)):
-                    found = np.array(shared.value.probes(x[i], probes))
-                    yield packed(np.repeat(ids[i], len(found)), np.repeat(x[i : i + 1], len(found), 0), found[:, 0], found[:, 1])
-
-    kind = "vec_id long, v array<double>, tree int, leaf int"
-    placed, probed = vectors.select("vec_id", "v").mapInArrow(place, kind), queries.select("vec_id", "v").mapInArrow(probe, kind)
-    sizes = vectors.select("vec_id", "v").mapInArrow(place, kind).groupBy("tree", "leaf").count()  # trees x leaves rows at most
-    cuts = F.broadcast(sizes.select("tree", "leaf", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")))
-    left = probed.join(cuts, ["tree", "leaf"]).select("vec_id", "v", "tree", "leaf", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    right = placed.join(cuts, ["tree", "leaf"]).select("vec_id", "v", "tree", "leaf", F.pmod(F.xxhash64("vec_id", "v"), F.col("chunks")).cast("int").alias("chunk"))
-    keys = ["tree", "leaf", "chunk"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda key, a, b: _leaf_search(k)(a, b), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                x = unpacked(b)
+                found = [[(t << depth) + leaf for t, leaf in shared.value.probes(x[i], probes)] for i in range(len(x))]
+                yield record_batch(fields, [b.column(0), b.column(1), found])
+
+    kind = "vec_id long, v array<double>, leaves array<long>"
+    placed = staged(data.select("vec_id", "v").mapInArrow(place, kind), "leaves").select("vec_id", "v", F.explode("leaves").alias("leaf"))
+    probed = asked.select("vec_id", "v").mapInArrow(probe, kind).select("vec_id", "v", F.explode("leaves").alias("leaf"))
+    cuts = placed.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))  # trees x leaves of the sample's rows at most
+    left = probed.join(F.broadcast(cuts), "leaf").select("vec_id", "v", "leaf", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    right = placed.join(F.broadcast(cuts), "leaf").select("vec_id", "v", "leaf", F.pmod(F.xxhash64("vec_id", "v"), F.col("chunks")).cast("int").alias("chunk"))
+    keys = ["leaf", "chunk"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda key, a, b: _leaf_search(k)(a, b), "query_id long, vec_id long, score double")
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest of every twentieth embedding; null and zero vectors and such with null or non-finite components take no part."""
     rows = table(spark, sf_dir, "embeddings").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")) & F.exists("embedding", lambda x: x != 0))
     vectors = rows.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     return nearest(vectors, vectors.filter("vec_id % 20 = 0"))
