@@ -31,7 +31,8 @@ def examples(turns: DataFrame, target_role: str = "assistant") -> DataFrame:
     reply (code points mask_start, from 0, for mask_length) is trainable. A conversation that does not
     end with a reply has one more example, of all its turns with nothing trainable, so that no turn
     is lost. Rows come in the order of turn, then role, then text, nulls first; null role and text
-    count as empty. A null conv_id is a conversation. Other columns are not carried.
+    count as empty. A null conv_id is a conversation; repeated rows are turns each; an empty table gives no
+    examples. Other columns are not carried.
     """
     clean = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     whole = clean.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
@@ -59,6 +60,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, formatted and read back; null texts are empty, an empty table leaves the one."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")

@@ -31,4 +31,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "pipeline": pipeline.run,
 }
-SQL: dict[str, str] = {}
+#: op8 by brute force; op5 from the rows themselves: what is read back must equal them.
+SQL: dict[str, str] = {
+    "op5_chat": """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+o AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY conv_id) AS n,
+  15 + 2 * length(role) + 2 * length(text) - length(replace(replace(replace(replace(role, '\\', ''), '#', ''), '<', ''), ':', ''))
+  - length(replace(replace(replace(text, '\\', ''), '#', ''), '<', '')) AS size FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+c AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY rn) AS upto FROM o)
+SELECT conv_id, max(n) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY rn)) AS turns_sha256,
+  cast(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS bigint) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY rn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  cast(sum(upto) FILTER (WHERE role = 'assistant' OR rn = n) AS bigint) AS formatted_chars
+FROM c GROUP BY conv_id""",
+    "op8_exact_search": """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: cast(floor(cast(x AS double) * 256) AS bigint)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, max(cast(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) AS bigint)) AS score
+  FROM v q JOIN v d ON d.vec_id <> q.vec_id AND len(d.v) = len(q.v) WHERE q.vec_id % 50 = 0 GROUP BY 1, 2)
+SELECT query_id, cast(rn AS int) AS "rank", vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s) t WHERE rn <= 5""",
+}
