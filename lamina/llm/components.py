@@ -23,7 +23,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return tied.union(least.select("u", F.col("m").alias("v")))
 
 
-def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "components", max_rounds: int = 40) -> DataFrame:
     """Node and least node of its component, for all nodes that have an edge.
 
     `edges` has two long columns u and v; loops and nulls are ignored, repeated edges are harmless, an
@@ -32,9 +32,13 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
     """
     now = edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = staged(now, name)
+    if now.isEmpty():
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     print_of = None
     for _ in range(max_rounds):
-        now = staged(_small_star(_large_star(now)).distinct(), name)
+        for _ in range(2):  # two rounds for each table written
+            now = _small_star(_large_star(now)).distinct()
+        now = staged(now, name)
         row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (seen := tuple(row)) == print_of:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -34,8 +34,6 @@ _ONES = sum(1 << (LANE * i) for i in range(64 // LANE))
 BLOCK_LANES = 8
 #: Stands for the whole line among its classes.
 WHOLE = -1
-#: Seeds that choose the hub of a code: a group of copies shares many codes, and so has several hubs.
-HUBS = (0, 0x5DEECE66D5A5A5A5, 0x2545F4914F6CDD1D)
 
 
 def normalised(line: Column) -> Column:
@@ -147,52 +145,63 @@ def _with_texts(pairs: DataFrame, texts: DataFrame, max_bits: int) -> DataFrame:
     return pairs.join(s, "u").join(t, "v").filter(_near("x", "y", max_bits)).select("u", "v", "s", "t")
 
 
-def _linked(edges: DataFrame, pairs: DataFrame, texts: DataFrame, similarity: float, max_bits: int, name: str) -> DataFrame:
-    """Edges (u, v), and of the pairs (u, v) those similar ones that the edges and cheap bounds don't connect already.
-
-    The edit distance is worked out only for pairs whose lines are in different groups so far.
-    """
-    judged = staged(bounded(_with_texts(pairs, texts, max_bits), similarity).select("u", "v", "ok"), "line-judged")
-    sure = staged(edges.union(judged.filter("ok").select("u", "v")), "line-edges")
-    parts = components(sure, name)
-    p, q = (parts.select(F.col("node").alias(c), F.col("component").alias(n)) for c, n in (("u", "p"), ("v", "q")))
-    open_ = judged.filter("not ok").select("u", "v").join(p, "u", "left").join(q, "v", "left")
-    open_ = open_.filter(F.coalesce("p", "u") != F.coalesce("q", "v")).select("u", "v")
-    found = bounded(_with_texts(open_, texts, max_bits), similarity).filter("levenshtein(s, t, most) >= 0").select("u", "v")
-    return staged(sure.union(found), "line-edges")
+def _parts(ids: DataFrame, column: str, parts: DataFrame, name: str) -> DataFrame:
+    """Adds the group of a line so far; a line without links is its own."""
+    of = parts.select(F.col("node").alias(column), F.col("component").alias(name))
+    return ids.join(of, column, "left").withColumn(name, F.coalesce(name, column))
 
 
 def line_groups(docs: DataFrame, made: DataFrame, similarity: float = 0.8, max_bits: int = MAX_BITS) -> DataFrame:
     """node (id) and component of the lines that link to others, from the staged rows of `blocks`.
 
     Codes are counted first, by sums in each task; a code of two lines is a pair. Under a code of more,
-    all lines are compared with one of them, the hub; what that links is one group already. Lines
-    under a code that are in another group than its hub, the strays, are then compared with all lines under it that
-    are in another group than they are. So a large group of copies costs a few stars instead of all its
-    pairs, and each pair of lines under a code is either compared or known to be connected.
+    all lines are compared with one of them, the hub. Pairs that cheap bounds find similar make groups. Then
+    come the pairs of lines in different groups: those tried that the bounds left open, and, of the codes
+    whose lines are in several groups, those of a line outside the hub's group (a stray) with each line of another
+    group. So a large group of copies costs a few stars instead of all its pairs, and each pair of
+    lines under a code is either compared or known to be connected.
     """
     keyed = made.filter((F.col("class") != WHOLE) | (F.col("words") <= LEAST_TINY)).select("code", "id")
-    seed = F.element_at(F.array(*[F.lit(k) for k in HUBS]), (F.pmod("code", F.lit(len(HUBS))) + 1).cast("int"))
-    sums = keyed.groupBy("code").agg(F.min("id").alias("u"), F.max("id").alias("v"), F.count("*").alias("n"), F.min(F.col("id").bitwiseXOR(seed)).alias("hub"))
-    shared = staged(sums.filter("u < v").withColumn("hub", F.col("hub").bitwiseXOR(seed)), "line-codes")
+    # Each code has a hub of its own, so that a group of copies, which shares many codes, has many.
+    mark = F.min(F.col("id").bitwiseXOR(F.col("code"))).alias("hub")
+    sums = keyed.groupBy("code").agg(F.min("id").alias("u"), F.max("id").alias("v"), F.count("*").alias("n"), mark)
+    shared = staged(sums.filter("u < v").withColumn("hub", F.col("hub").bitwiseXOR(F.col("code"))), "line-codes")
     members = staged(keyed.join(small_side(shared.filter("n > 2").select("code", "hub"), 1_000_000), "code"), "line-members")
     stars = members.filter("id != hub").select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))
     tried = staged(shared.filter("n = 2").select("u", "v").union(stars).distinct(), "line-pairs")
     close = tried.select(F.col("u").alias("id")).union(tried.select("v")).distinct()
     texts = staged(_texts(docs, close), "line-texts")
-    edges = _linked(tried.limit(0), tried, texts, similarity, max_bits, "line-groups")
-    parts = components(edges, "line-groups").select(F.col("node").alias("id"), "component")
-    placed = members.join(parts, "id", "left").select("code", "id", "hub", F.coalesce("component", "id").alias("part"))
+    judged = staged(bounded(_with_texts(tried, texts, max_bits), similarity).select("u", "v", "ok"), "line-judged")
+    parts = staged(components(judged.filter("ok").select("u", "v"), "line-groups"), "line-parts")
+
+    open_ = _parts(_parts(judged.filter("not ok").select("u", "v"), "u", parts, "p"), "v", parts, "q").filter("p != q")
+    parts = _bridged(_similar(open_, texts, similarity, max_bits), parts)
+
+    placed = _parts(members, "id", parts, "part")
     main = placed.filter("id = hub").select("code", F.col("part").alias("main"))
     placed = placed.join(main, "code")
     mixed = placed.filter("part != main").select("code").distinct()
     placed = staged(placed.join(mixed, "code", "left_semi").join(texts.select("id", "bits"), "id"), "line-places")
-    strays = placed.filter("part != main").select("code", F.col("id").alias("i"), F.col("part").alias("p"), F.col("bits").alias("x"))
-    other = placed.select("code", F.col("id").alias("j"), F.col("part").alias("q"), F.col("bits").alias("y"), (F.col("part") == F.col("main")).alias("first"))
+    strays = placed.filter("part != main").select("code", F.col("id").alias("u"), F.col("part").alias("p"), F.col("bits").alias("x"))
+    other = placed.select("code", F.col("id").alias("v"), F.col("part").alias("q"), F.col("bits").alias("y"), (F.col("part") == F.col("main")).alias("first"))
     apart = (strays["code"] == other["code"]) & (F.col("p") != F.col("q")) & (F.col("first") | (F.col("p") < F.col("q")))
-    across = strays.join(other, apart & _near("x", "y", max_bits))
-    across = across.select(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-    return components(_linked(edges, across, texts, similarity, max_bits, "line-groups"), "line-groups")
+    across = strays.join(other, apart & _near("x", "y", max_bits)).select("u", "v").distinct()
+    return _bridged(_similar(across, texts, similarity, max_bits), parts)
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, similarity: float, max_bits: int) -> DataFrame:
+    """The pairs (u, v) that are similar, by the bounds or else by the distance itself."""
+    found = bounded(_with_texts(pairs.select("u", "v"), texts, max_bits), similarity)
+    return staged(found.filter(F.col("ok") | F.expr("levenshtein(s, t, most) >= 0")).select("u", "v"), "line-bridges")
+
+
+def _bridged(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """The groups (node, component) after these edges too: only groups that the edges bridge are worked on."""
+    bridges = _parts(_parts(edges, "u", parts, "p"), "v", parts, "q").select("p", "q").filter("p != q").distinct()
+    joined = components(bridges.select(F.col("p").alias("u"), F.col("q").alias("v")), "line-groups")
+    lone = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().join(parts, "node", "left_anti")
+    nodes = parts.select("node", F.col("component").alias("part")).union(lone.select("node", F.col("node").alias("part")))
+    return staged(_parts(nodes, "part", joined, "component").select("node", "component"), "line-parts")
 
 
 def dropped_lines(docs: DataFrame, similarity: float = 0.8, max_bits: int = MAX_BITS) -> DataFrame:
