@@ -230,6 +230,7 @@ def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float = 0.7) ->
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score; null and empty texts are scored by their zero features, an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     out = scored(docs, quality_model(spark, sf_dir, docs))
     return out.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

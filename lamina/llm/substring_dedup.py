@@ -292,4 +292,5 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the windows of 20 words that start earlier elsewhere."""
     return dedup_passages(table(spark, sf_dir, "documents"))
