@@ -226,7 +226,7 @@ def dropped_lines(docs: DataFrame, similarity: float = 0.8, max_bits: int = MAX_
 #: Characters from which on a line is cut into pieces, and of a piece.
 LONG_LINE, PIECE = 2048, 128
 #: Letters that stand for words when lines are compared word by word.
-_ALPHABET = "".join(map(chr, range(0x4E00, 0x9C00)))
+_ALPHABET = "".join(map(chr, range(0x4E00, 0x5E00)))
 
 
 def bounded(pairs: DataFrame, similarity: float) -> DataFrame:
