@@ -18,8 +18,10 @@ from lamina.llm.common import staged, table
 DATA_BLOCK, QUERY_BLOCK, MOST_PIVOTS = 4096, 4096, 512
 #: Rows from which the pivots of the blocks are drawn.
 SAMPLE = 20_000
-#: Radius of a child's cover as a share of its parent's; points of a node that is not split.
-SHRINK, LEAF = 0.75, 48
+#: Radius of a child's cover as a share of its parent's; points of a node that is not split, of data and of queries.
+SHRINK, LEAF, QUERY_LEAF = 0.75, 48, 8
+#: Points that make a leaf of their own if they lie within this share of their node's radius.
+FEW, TIGHT = 4, 0.25
 NONE = np.iinfo(np.int64).min
 
 
@@ -31,18 +33,19 @@ def usable(vector: Column) -> Column:
 class CoverNode:
     """A centre, the radius that covers all its rows, and children of smaller covers; a node without children is a leaf."""
 
-    def __init__(self, x: np.ndarray, rows: np.ndarray, centre: np.ndarray | None = None) -> None:
+    def __init__(self, x: np.ndarray, rows: np.ndarray, centre: np.ndarray | None = None, leaf: int = LEAF) -> None:
         self.rows, self.centre = rows, x[rows[0]] if centre is None else centre
         self.radius = float(np.sqrt(((x[rows] - self.centre) ** 2).sum(1)).max())
         self.children: list[CoverNode] = []
-        if len(rows) <= LEAF or self.radius == 0 or centre is not None:
+        if len(rows) <= leaf or self.radius == 0 or centre is not None:
             return
         lone, left, reach = [], rows, self.radius * SHRINK
         while len(left):
-            near = np.sqrt(((x[left] - x[left[0]]) ** 2).sum(1)) <= reach
-            if near.sum() > LEAF:
-                self.children.append(CoverNode(x, left[near]))
-            else:  # too few for a cover of their own: a leaf around this node's centre
+            away = np.sqrt(((x[left] - x[left[0]]) ** 2).sum(1))
+            near = away <= reach
+            if near.sum() > leaf or (near.sum() >= FEW and away[near].max() <= self.radius * TIGHT):
+                self.children.append(CoverNode(x, left[near], leaf=leaf))
+            else:  # too few and too wide for a cover of their own: a leaf around this node's centre
                 lone.append(left[near])
             left = left[~near]
         if lone and self.children:
@@ -116,7 +119,7 @@ def _block_search(k: int):
             return out
         q, x = (np.stack(f["v"].to_numpy()).reshape(len(f), -1) for f in (queries, data))
         search = _Search(q, queries["vec_id"].to_numpy(), x, data["vec_id"].to_numpy(), k, queries["worst"].to_numpy())
-        search.run(CoverNode(search.qf, np.arange(len(q))), CoverNode(search.xf, np.arange(len(x))))
+        search.run(CoverNode(search.qf, np.arange(len(q)), leaf=QUERY_LEAF), CoverNode(search.xf, np.arange(len(x))))
         found = search.score != NONE
         return pd.DataFrame({"query_id": np.repeat(search.q_ids, k)[found.ravel()], "vec_id": search.best[found], "score": search.score[found]})
 
