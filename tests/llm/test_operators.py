@@ -11,10 +11,11 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from lamina.llm import chat, line_dedup, mixing, packing, quality, simhash_dedup, substring_dedup, toxicity
+from lamina.llm import pipeline as corpus_pipeline
 from lamina.llm.approximate_search import nearest
 from lamina.llm.components import components
+from lamina.llm import exact_search
 from lamina.llm.exact_search import top_k, usable
 
 RNG = np.random.default_rng(3)
@@ -110,8 +111,6 @@ def test_simhash_matches_brute_force(docs, none):
     got = {r.doc_id: (r.fp % 2**64, r.component_id) for r in simhash_dedup.near_duplicates(docs).collect()}
     assert got == {d: (prints[d], least[d]) for d in prints}
     assert simhash_dedup.near_duplicates(none).count() == 0
-    kept = simhash_dedup.keep_one(docs, 3)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(least.values())
 
 
 def test_near_pairs_finds_all_pairs(spark):
@@ -154,13 +153,34 @@ def test_line_dedup_keeps_one_of_a_group(spark, none):
 
 
 def test_line_simhash_matches_brute_force(spark):
-    texts = [_text(5), _text(80), "w " * 40000 + "v", "v " + "w " * 16381, " ".join(f"k{i}" for i in range(16383)), "only", "One--TWO\tthree"]
-    got = {r.doc_id: r.fp % 2**64 for r in line_dedup.simhashes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    texts = [_text(5), _text(80), "w " * 40000 + "v", " ".join(f"k{i}" for i in range(16383)), "only", "One--TWO\tthree"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = {r.id: r.doc_id for r in line_dedup.lines_of(docs).collect()}
+    wanted = line_dedup.lines_of(docs).select("id")
+    got = {ids[r.id]: r.bits % 2**64 for r in line_dedup._texts(docs, wanted).collect()}
     for key, text in enumerate(texts):
-        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.findall(r"[^\W_]+", text.lower())]
+        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in set(re.findall(r"[^\W_]+", text.lower()))]
         assert got[key] == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def test_lines_with_few_words_replaced_share_a_block(spark):
+    rng = random.Random(11)
+    rows = []
+    for i, (length, changed) in enumerate([(8, 1), (20, 1), (30, 2), (58, 2), (62, 5), (100, 5), (149, 5), (152, 9), (500, 15)]):
+        words = [f"v{i}x{j}" for j in range(length)]
+        other = list(words)
+        for j in rng.sample(range(length), changed):
+            other[j] = f"n{i}x{j}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    of = {r.id: r.doc_id for r in line_dedup.lines_of(docs).collect()}
+    codes = {}
+    for r in line_dedup.blocks(docs).filter(f"class <> {line_dedup.WHOLE}").collect():
+        codes.setdefault(of[r.id], set()).add(r.code)
+    assert sum(bool(codes[k] & codes[k + 1]) for k in range(0, len(rows), 2)) >= 7
+    assert not any(codes[a] & codes[b] for a in codes for b in codes if a // 2 != b // 2)
+
+
 def _distance(s: str, t: str) -> int:
     row = list(range(len(t) + 1))
     for i, x in enumerate(s):
@@ -186,25 +206,29 @@ def test_line_groups_match_brute_force(spark):
             lines.append(" ".join(words))
         lines += [" ".join(reversed(base)), " ".join(base[1:] + base[:1])]
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    fp = {r.doc_id: r.fp % 2**64 for r in line_dedup.simhashes(docs).collect()}
-    group = list(range(len(lines)))
+    group, links = list(range(len(lines))), []
     for i, s in enumerate(lines):
         for j, t in enumerate(lines[:i]):
-            if s == t or (fp[i] ^ fp[j]).bit_count() <= 3 and _distance(s, t) <= int(max(len(s), len(t)) * (1 - 0.8) + 1e-9):
+            if s == t or _distance(s, t) <= int(max(len(s), len(t)) * (1 - 0.8) + 1e-9):
+                links.append((i, j))
                 a, b = group[i], group[j]
                 group = [min(a, b) if g in (a, b) else g for g in group]
-    gone = {r.doc_id for r in line_dedup.dropped_lines(docs).collect()}
-    assert gone == {i for i in range(len(lines)) if group[i] != i} and 0 < len(gone) < len(lines)
+    gone = {r.doc_id for r in line_dedup.lines_of(docs).join(line_dedup.dropped_lines(docs), ["row", "line_no"], "left_semi").collect()}
+    want = {i for i in range(len(lines)) if group[i] != i}
+    assert gone <= want and len(gone) >= 0.95 * len(want) and 0 < len(want) < len(lines)
 
 
 def test_edit_bounds_agree_with_the_distance(spark):
     base = _text(30)
     words = base.split()
     others = [base, " ".join(words[1:]), " ".join(["new", *words]), " ".join(reversed(words)), " ".join(words[:15]), base.replace("a", "o"), _text(30), ""]
-    df = spark.createDataFrame([(base, t) for t in others], "s string, t string")
+    long = _text(500).split()
+    others = [(base, t) for t in others] + [(" ".join(long), " ".join([*long[:k], "zz", "q", *long[k + 2 :]])) for k in (1, 250)] + [(" ".join(long), _text(500))]
+    df = spark.createDataFrame([(i, 0, s, t) for i, (s, t) in enumerate(others)], "u long, v long, s string, t string")
     most = "cast(floor(greatest(length(s), length(t)) * 0.2 + 1e-9) as int)"
-    got = df.select(line_dedup._similar(0.8).alias("a"), F.expr(f"levenshtein(s, t) <= {most}").alias("b")).collect()
-    assert all(r.a == r.b for r in got)
+    near = {r.u for r in df.filter(f"levenshtein(s, t) <= {most}").collect()}
+    judged = {r.u: r.ok for r in line_dedup.bounded(df, 0.8).collect()}
+    assert near <= set(judged) and {u for u, ok in judged.items() if ok} <= near and sum(judged.values()) >= 5
 
 
 def test_chat_round_trip(spark):
@@ -262,6 +286,45 @@ def test_nearest_recall_and_scores(spark):
     assert [r.vec_id for r in bad.filter(usable(F.col("v"))).collect()] == [5]
 
 
+def test_search_prunes_clustered_data():
+    centres = RNG.integers(-4000, 4000, (12, 8))
+    x = (centres[RNG.integers(0, 12, 3000)] + RNG.integers(-9, 9, (3000, 8))).astype(np.int64)
+    q, ids = x[::50], np.arange(len(x))
+    search = exact_search._Search(q, ids[::50], x, ids, 5)
+    search.run(exact_search.CoverNode(search.qf, np.arange(len(q)), leaf=exact_search.QUERY_LEAF), exact_search.CoverNode(search.xf, ids))
+    assert search.products_done < 0.5 * len(q) * len(x)
+    for n, i in enumerate(ids[::50]):
+        s = x @ x[i]
+        best = sorted((j for j in ids if j != i), key=lambda j: (-s[j], j))[:5]
+        assert search.best[n].tolist() == best
+
+
+def test_searches_of_vectors_of_other_lengths_and_none(spark):
+    rows = [(i, [i % 7, 3, i]) for i in range(60)] + [(100 + i, [i, 1]) for i in range(20)] + [(200, [])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = top_k(df, df.filter("vec_id % 10 = 0"), 3).collect()
+    assert {r.vec_id < 100 for r in got if r.query_id == 10} == {True} and {r.vec_id >= 100 for r in got if r.query_id == 110} == {True}
+    real = df.filter("size(v) > 0").select("vec_id", F.col("v").cast("array<double>").alias("v"))
+    near = nearest(real, real.filter("vec_id % 10 = 0"), 3).collect()
+    assert len([r for r in near if r.query_id == 110]) == 3 and {r.vec_id >= 100 for r in near if r.query_id == 110} == {True}
+    assert nearest(real.limit(0), real.limit(0)).count() == 0
+
+
+def test_kneser_ney_probabilities_sum_to_one(spark):
+    texts = [("you are a silly goose", 1), ("you silly silly goose", 1), ("silly goose you are", 1), ("the goose is a bird", 0), ("a bird is the word the bird said", 0), (None, 0), ("", 1)]
+    df = spark.createDataFrame([(t, y) for t, y in texts] * 3, "text string, toxic int")
+    model, pairs = toxicity.learn(df, least_word=1, least_pair=2)
+    assert len(pairs["t"]) >= 3 and pairs["t"].min() >= 2
+    seen = np.append(model.word, np.uint64(12345))  # the last stands for any other word
+    for h in [*model.history, np.uint64(999)]:
+        p = model.probabilities(np.full(len(seen), h), seen)
+        assert np.allclose(p.sum(1), 1, atol=1e-6) and (p > 0).all()
+    words = {w: toxicity.pairs_of(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[2][0] for w in ("silly", "bird")}
+    ratio = toxicity.log_ratios(model, pairs["h"], pairs["w"])
+    at = {w: ratio.by_word[toxicity.Smoothed.at(ratio, ratio.word, np.array([k]))[0]] for w, k in words.items()}
+    assert at["silly"] > 0 > at["bird"]
+
+
 def test_classifiers_learn_on_held_out(spark):
     good, bad = [_text(60) for _ in range(150)], [" ".join(w + "%%%" for w in _text(60).split()) for _ in range(150)]
     toxic = [f"{t} idiot {_text(5)} scum" for t in good[:75]]
