@@ -32,11 +32,11 @@ def cell_features(cells: DataFrame, upper: DataFrame, lower: DataFrame, names: D
     return whole.select("id", "depth", "dist_to_gm", "dist_to_wm", "density", "neighbours", (F.col("depth") * F.col("depth")).alias("depth2"), (F.col("depth") * F.col("x")).alias("depth_x"), "layer")
 
 
-def density_at(places: DataFrame, cells: DataFrame, reach: float = 8.5) -> DataFrame:
+def density_at(places: DataFrame, cells: DataFrame, reach: float = 39.0) -> DataFrame:
     """id and log density (floor -20) at places (id, x, y) of cells (x, y), with Scott's bandwidth over all cells.
 
-    Only cells of touching grid cells of `reach` standard deviations of the kernel count; the rest is
-    beyond double precision. Without cells, or with all in line, the floor.
+    Only cells of touching grid cells of `reach` standard deviations of the kernel count; from 39 on the kernel is
+    zero in double precision, so that nothing is lost. Without cells, or with all in line, the floor.
     """
     n, a, b, c = cells.agg(F.count("*"), F.var_samp("x"), F.var_samp("y"), F.covar_samp("x", "y")).first()
     h = n ** (-1 / 3) if n else 0.0
