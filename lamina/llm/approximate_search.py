@@ -17,8 +17,8 @@ from pyspark.sql.window import Window
 from lamina.llm.common import record_batch, staged, table
 from lamina.llm.exact_search import usable
 
-#: Rows and queries of a leaf that one task compares at most, about; larger leaves are cut by hash.
-CHUNK = 8192
+#: Rows of a group of neighbouring leaves that one task compares, about; larger groups are cut by hash.
+CHUNK = 65_536
 
 
 @dataclass
@@ -82,32 +82,30 @@ def fit_forest(sample: np.ndarray, trees: int, depth: int, seed: int) -> Forest:
     return Forest(normal, cut, depth)
 
 
-def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, each summed in the order of the components, whatever the block."""
-    out = np.zeros((len(q), len(x)))
-    for d in range(q.shape[1]):
-        out += q[:, d, None] * x[None, :, d]
-    return out
-
-
 def _leaf_search(k: int):
+    """Best k rows of each query among the rows of its leaves, of one group of leaves."""
+
     def run(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(queries) or not len(data):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        ids, q_ids = data["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], np.stack(data["v"].to_numpy())[order].astype(float)
-        ids, first = np.unique(ids, return_index=True)
-        out = []
-        for at in range(0, len(q_ids), 256):
-            q = np.stack(queries["v"].to_numpy()[at : at + 256]).astype(float)
-            score = np.maximum.reduceat(_products(q, x), first, axis=1)  # an id's best row takes its one place
-            score[ids[None, :] == q_ids[at : at + 256, None]] = -np.inf
-            best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ids ascend, so ties keep the smaller
-            value = np.take_along_axis(score, best, 1)
-            ok = np.isfinite(value)
-            out.append(pd.DataFrame({"query_id": np.repeat(q_ids[at : at + 256], best.shape[1])[ok.ravel()], "vec_id": ids[best][ok], "score": value[ok]}))
-        return pd.concat(out)
+            return out
+        order = np.lexsort((data["vec_id"].to_numpy(), data["leaf"].to_numpy()))
+        ids, leaf, x = data["vec_id"].to_numpy()[order], data["leaf"].to_numpy()[order], np.stack(data["v"].to_numpy())[order]
+        most = k * int(np.unique(ids, return_counts=True)[1].max())  # rows of an id take one place
+        found = []
+        for q_id, q, leaves in zip(queries["vec_id"], queries["v"], queries["leaves"], strict=True):
+            low, high = np.searchsorted(leaf, leaves), np.searchsorted(leaf, leaves, side="right")
+            rows = np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)])
+            rows = rows[ids[rows] != q_id]
+            rough = x[rows] @ q
+            if len(rows) > most:  # what rounding might put among the best stays for the exact comparison
+                rows = rows[rough >= np.partition(rough, -most)[-most] - 1e-9 * (1 + np.abs(rough).max())]
+            score = np.cumsum(x[rows] * q, axis=1)[:, -1]  # summed in the order of the components, whatever the block
+            best = np.lexsort((ids[rows], -score))
+            _, first = np.unique(ids[rows][best], return_index=True)
+            best = best[np.sort(first)[:k]]
+            found.append((np.full(len(best), q_id), ids[rows][best], score[best]))
+        return pd.DataFrame(dict(zip(out.columns, map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     return run
 
@@ -184,12 +182,18 @@ def _found_of_length(data: DataFrame, asked: DataFrame, dim: int, k: int, trees:
                 yield record_batch(fields, [b.column(0), b.column(1), found])
 
     kind = "vec_id long, v array<double>, leaves array<long>"
-    placed = staged(data.select("vec_id", "v").mapInArrow(place, kind), "leaves").select("vec_id", "v", F.explode("leaves").alias("leaf"))
-    probed = asked.select("vec_id", "v").mapInArrow(probe, kind).select("vec_id", "v", F.explode("leaves").alias("leaf"))
-    cuts = placed.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))  # trees x leaves of the sample's rows at most
-    left = probed.join(F.broadcast(cuts), "leaf").select("vec_id", "v", "leaf", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    right = placed.join(F.broadcast(cuts), "leaf").select("vec_id", "v", "leaf", F.pmod(F.xxhash64("vec_id", "v"), F.col("chunks")).cast("int").alias("chunk"))
-    keys = ["leaf", "chunk"]
+    # Neighbouring leaves of a tree are searched together, so that a query has one list for each group it meets.
+    shift = max(0, depth - int(np.ceil(np.log2(max(1, rows / CHUNK)))))
+    group = F.call_function("shiftright", F.col("leaf"), F.lit(shift))
+    placed = staged(data.select("vec_id", "v").mapInArrow(place, kind), "leaves").select("vec_id", "v", F.explode("leaves").alias("leaf")).withColumn("part", group)
+    probed = asked.select("vec_id", "v").mapInArrow(probe, kind)
+    every = F.array_distinct(F.transform("leaves", lambda leaf: F.call_function("shiftright", leaf, F.lit(shift))))
+    of = F.filter("leaves", lambda leaf: F.call_function("shiftright", leaf, F.lit(shift)) == F.col("part"))
+    probed = probed.select("vec_id", "v", "leaves", F.explode(every).alias("part")).select("vec_id", "v", "part", of.alias("leaves"))
+    cuts = placed.groupBy("part").count().select("part", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))  # at most trees x leaves of the sample
+    left = probed.join(F.broadcast(cuts), "part").select("vec_id", "v", "leaves", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    right = placed.join(F.broadcast(cuts), "part").select("vec_id", "v", "leaf", "part", F.pmod(F.xxhash64("vec_id", "v"), F.col("chunks")).cast("int").alias("chunk"))
+    keys = ["part", "chunk"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda key, a, b: _leaf_search(k)(a, b), "query_id long, vec_id long, score double")
 
 
