@@ -264,9 +264,9 @@ add(
 )
 _ISLANDS = f"""(SELECT *, min(seq) OVER (PARTITION BY contour_id, gap) AS run, count(*) OVER (PARTITION BY contour_id, gap) AS size, row_number() OVER (PARTITION BY contour_id, gap ORDER BY seq) - 1 AS place
  FROM (SELECT *, seq - row_number() {_W} AS gap FROM v_vertices WHERE y >= 20 AND y <= 200) g) i"""
-_IN = (F.col("y") >= 20) & (F.col("y") <= 200)
-add("in_bounds_runs", "v_vertices", lambda v: P.runs_within(v, _IN, 2).groupBy("contour_id", "run").agg(F.count("*").alias("n")), f"SELECT contour_id, run, count(*) AS n FROM {_ISLANDS} WHERE size >= 2 GROUP BY 1, 2")
-add("valid_dashes", "v_vertices", lambda v: P.runs_within(v, _IN, 4).filter("place % 5 < 3").select("contour_id", "seq"), f"SELECT contour_id, seq FROM {_ISLANDS} WHERE size >= 4 AND place % 5 < 3")
+_IN = lambda: (F.col("y") >= 20) & (F.col("y") <= 200)
+add("in_bounds_runs", "v_vertices", lambda v: P.runs_within(v, _IN(), 2).groupBy("contour_id", "run").agg(F.count("*").alias("n")), f"SELECT contour_id, run, count(*) AS n FROM {_ISLANDS} WHERE size >= 2 GROUP BY 1, 2")
+add("valid_dashes", "v_vertices", lambda v: P.runs_within(v, _IN(), 4).filter("place % 5 < 3").select("contour_id", "seq"), f"SELECT contour_id, seq FROM {_ISLANDS} WHERE size >= 4 AND place % 5 < 3")
 
 
 def _cut(source: str) -> str:
