@@ -36,7 +36,8 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     print_of = None
     for _ in range(max_rounds):
-        now = staged(_small_star(_large_star(now)).distinct(), name)
+        # Half a round at a time: both halves read their input more than once.
+        now = staged(_small_star(staged(_large_star(now).distinct(), name)).distinct(), name)
         row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (seen := tuple(row)) == print_of:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
