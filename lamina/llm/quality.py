@@ -192,7 +192,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, seed: int
 
 
 def scored(docs: DataFrame, model: AdditiveModel) -> DataFrame:
-    """doc_id and score (0 to 1) of every row; null and empty texts are scored by their zero features."""
+    """doc_id and score (0 to 1) of every row; null and empty texts are scored by their zero features.
+
+    Repeated rows and ids are scored each, texts of any length whole; an empty table gives no rows. Other
+    columns are not carried, so none clashes.
+    """
     fields = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -216,7 +220,7 @@ def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> Additive
 
 
 def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float = 0.7) -> DataFrame:
-    """The documents whose score reaches the threshold, with their columns as they were."""
+    """The documents whose score reaches the threshold, with their columns as they were, whatever they are called."""
     fields = [f.name for f in docs.schema.fields]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -84,7 +84,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 
     Equal fingerprints are one point before any join. Rows with a repeated doc_id are kept, each with
     its own text's fingerprint; a null doc_id takes part and is never the least unless alone (then
-    null). Null, empty and word-less texts have fingerprint zero and link like any other.
+    null). Null, empty and word-less texts have fingerprint zero and link like any other. An empty table
+    gives no rows; other columns are not carried.
     """
     prints = staged(with_fingerprints(docs, shingle), "fingerprints")
     by_print = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
