@@ -17,6 +17,7 @@ from lamina.llm.quality import op2_quality
 from lamina.llm.simhash_dedup import op4_simhash
 from lamina.llm.substring_dedup import op3_substring_dedup
 from lamina.llm.toxicity import op7_toxicity
+from lamina.llm.turn_repair import op13_turn_repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_search": op8_exact_search,
     "op9_nearest": op9_nearest,
     "op10_line_dedup": op10_line_dedup,
+    "op13_turn_repair": op13_turn_repair,
     "pipeline": pipeline.run,
 }
 #: op8 by brute force; op5 from the rows themselves: what is read back must equal them.
@@ -51,4 +53,35 @@ WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: cast(floo
 s AS (SELECT q.vec_id AS query_id, d.vec_id, max(cast(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) AS bigint)) AS score
   FROM v q JOIN v d ON d.vec_id <> q.vec_id AND len(d.v) = len(q.v) WHERE q.vec_id % 50 = 0 GROUP BY 1, 2)
 SELECT query_id, cast(rn AS int) AS "rank", vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s) t WHERE rn <= 5""",
+    "op13_turn_repair": """
+WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i)) q),
+d AS (SELECT conv_id, turn, xor(4294967295, list_reduce([4294967295] || list_transform(string_split(coalesce(cast(conv_id AS varchar), ' ') || ':' || coalesce(cast(turn AS varchar), ' '), ''), lambda x: cast(ascii(x) AS bigint)),
+  lambda c, b: xor(c >> 8, tab[cast(xor(c, b) % 256 AS bigint) + 1]))) % 20 AS fate, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations, tab),
+h AS (SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+  CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, fate FROM d WHERE fate <> 0),
+t AS (SELECT conv_id, turn, role, text FROM h UNION ALL SELECT conv_id, turn, role, text FROM h WHERE fate = 3),
+o AS (SELECT *, left(role, 1) AS c, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn FROM t),
+f AS (SELECT *, CASE WHEN body = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 THEN 'd'
+  WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, lag(c) OVER (PARTITION BY conv_id ORDER BY rn) AS prev FROM o),
+v AS (SELECT DISTINCT conv_id, cast(0 AS bigint) AS i, {'c': 0, 'a': '', 'o': ''} AS v0, {'c': 1000000000, 'a': '', 'o': ''} AS v1,
+  {'c': 5, 'a': 'I', 'o': chr(10) || 'user:'} AS v2, {'c': 10, 'a': 'II', 'o': chr(10) || 'user:' || chr(10) || 'assistant:'} AS v3 FROM conversations
+ UNION ALL
+ SELECT conv_id, i, v0, v1, u2, least(u3, {'c': u2.c + 5, 'a': u2.a || 'I', 'o': u2.o || chr(10) || 'assistant:'}) FROM (
+ SELECT conv_id, i, v0, v1, least(w2, {'c': v0.c + 5, 'a': v0.a || 'I', 'o': v0.o || chr(10) || 'user:'}, {'c': v1.c + 5, 'a': v1.a || 'I', 'o': v1.o || chr(10) || 'user:'},
+   {'c': w3.c + 5, 'a': w3.a || 'I', 'o': w3.o || chr(10) || 'user:'}) AS u2, w3 AS u3 FROM (
+ SELECT v.conv_id, v.i + 1 AS i, {'c': v0.c + 2, 'a': v0.a || 'D', 'o': v0.o} AS v0,
+  least({'c': v1.c + 2, 'a': v1.a || 'D', 'o': v1.o}, {'c': v0.c + CASE WHEN ok AND r.c = 's' THEN x ELSE 1000000000 END, 'a': v0.a || 'K', 'o': v0.o || said}) AS v1,
+  least({'c': v2.c + 2, 'a': v2.a || 'D', 'o': v2.o}, {'c': v0.c + k, 'a': v0.a || e, 'o': v0.o || made}, {'c': v1.c + k, 'a': v1.a || e, 'o': v1.o || made}, {'c': v3.c + k, 'a': v3.a || e, 'o': v3.o || made}) AS w2,
+  least({'c': v3.c + 2, 'a': v3.a || 'D', 'o': v3.o}, {'c': v2.c + j, 'a': v2.a || g, 'o': v2.o || done}) AS w3
+ FROM v JOIN (SELECT *, CASE WHEN NOT ok THEN 1000000000 WHEN c = 'u' THEN x ELSE x + 1 END AS k, CASE c WHEN 'u' THEN 'K' ELSE 'R' END AS e, CASE c WHEN 'u' THEN said ELSE chr(10) || 'user:' || text END AS made,
+   CASE WHEN NOT ok THEN 1000000000 WHEN c = 'a' THEN x ELSE x + 1 END AS j, CASE c WHEN 'a' THEN 'K' ELSE 'R' END AS g, CASE c WHEN 'a' THEN said ELSE chr(10) || 'assistant:' || text END AS done
+   FROM (SELECT *, fault IN ('', 't') AS ok, CASE fault WHEN 't' THEN 5 ELSE 0 END AS x, chr(10) || role || ':' || text AS said FROM f) y) r
+ ON r.conv_id IS NOT DISTINCT FROM v.conv_id AND r.rn = v.i + 1) a) b),
+n AS (SELECT conv_id, max(i) AS i FROM v GROUP BY 1),
+z AS (SELECT v.conv_id, least(v0, v3) AS w FROM v JOIN n ON n.conv_id IS NOT DISTINCT FROM v.conv_id AND n.i = v.i),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+  count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE rn > 1 AND prev || c NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1)
+SELECT z.conv_id, cast(coalesce(gaps, 0) AS bigint) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+ cast(w.c AS bigint) AS cost, w.a AS audit, sha256(substr(w.o, 2)) AS repaired_sha256 FROM z LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM z.conv_id""",
 }
