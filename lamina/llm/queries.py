@@ -14,6 +14,7 @@ from lamina.llm.line_dedup import op10_line_dedup
 from lamina.llm.mixing import op6_mixing
 from lamina.llm.packing import op1_packing
 from lamina.llm.quality import op2_quality
+from lamina.llm.quality_rules import op12_quality_rules
 from lamina.llm.simhash_dedup import op4_simhash
 from lamina.llm.substring_dedup import op3_substring_dedup
 from lamina.llm.toxicity import op7_toxicity
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_search": op8_exact_search,
     "op9_nearest": op9_nearest,
     "op10_line_dedup": op10_line_dedup,
+    "op12_quality_rules": op12_quality_rules,
     "op13_turn_repair": op13_turn_repair,
     "pipeline": pipeline.run,
 }
