@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lamina.llm import pipeline
 from lamina.llm.approximate_search import op9_nearest
 from lamina.llm.chat import op5_chat
+from lamina.llm.collocations import op11_collocations
 from lamina.llm.exact_search import op8_exact_search
 from lamina.llm.line_dedup import op10_line_dedup
 from lamina.llm.mixing import op6_mixing
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_search": op8_exact_search,
     "op9_nearest": op9_nearest,
     "op10_line_dedup": op10_line_dedup,
+    "op11_collocations": op11_collocations,
     "op12_quality_rules": op12_quality_rules,
     "op13_turn_repair": op13_turn_repair,
     "pipeline": pipeline.run,
@@ -55,6 +57,24 @@ WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: cast(floo
 s AS (SELECT q.vec_id AS query_id, d.vec_id, max(cast(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) AS bigint)) AS score
   FROM v q JOIN v d ON d.vec_id <> q.vec_id AND len(d.v) = len(q.v) WHERE q.vec_id % 50 = 0 GROUP BY 1, 2)
 SELECT query_id, cast(rn AS int) AS "rank", vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s) t WHERE rn <= 5""",
+    "op11_collocations": """
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, doc, unnest(range(1, len(s) + 1)) AS piece, unnest(s) AS t FROM (SELECT lang, doc, string_split_regex(t, '[.,;:!?\x0A-\x0D]') AS s FROM d) q),
+w AS (SELECT lang, doc, piece, unnest(range(1, len(s) + 1)) AS place, unnest(s) AS word FROM (SELECT lang, doc, piece, list_filter(string_split_regex(t, '[\x20\x09]+'), lambda x: x <> '') AS s FROM p) q),
+g AS (SELECT lang, word AS a1, lead(word, 1) OVER o AS a2, lead(word, 2) OVER o AS a3, lead(word, 3) OVER o AS a4 FROM w WINDOW o AS (PARTITION BY doc, piece ORDER BY place)),
+f AS (SELECT lang, [a1] AS p, count(*) AS f FROM g GROUP BY lang, a1
+ UNION ALL SELECT lang, [a1, a2], count(*) FROM g WHERE a2 IS NOT NULL GROUP BY lang, a1, a2 HAVING count(*) >= 30
+ UNION ALL SELECT lang, [a1, a2, a3], count(*) FROM g WHERE a3 IS NOT NULL GROUP BY lang, a1, a2, a3 HAVING count(*) >= 30
+ UNION ALL SELECT lang, [a1, a2, a3, a4], count(*) FROM g WHERE a4 IS NOT NULL GROUP BY lang, a1, a2, a3, a4 HAVING count(*) >= 30),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE len(p) = 1 GROUP BY 1),
+c AS (SELECT lang, p, f AS a FROM f WHERE len(p) > 1),
+k AS (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM c),
+s AS (SELECT k.lang, k.p, a, k, x.f AS l, y.f AS r, cast(a AS hugeint) * 2000000 // (cast(x.f AS hugeint) + y.f) AS score
+ FROM k JOIN f x ON x.lang = k.lang AND x.p = k.p[1:k] JOIN f y ON y.lang = k.lang AND y.p = k.p[k + 1:]),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS cut FROM s) q WHERE cut = 1),
+i AS (SELECT lang, p[i:i + m - 1] AS p, max(a) AS most FROM (SELECT lang, p, a, m, unnest(range(1, len(p) - m + 2)) AS i FROM (SELECT lang, p, a, unnest(range(2, len(p))) AS m FROM c WHERE len(p) > 2) q) t GROUP BY 1, 2),
+z AS (SELECT b.lang, array_to_string(b.p, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN i ON i.lang = b.lang AND i.p = b.p WHERE most IS NULL OR 100 * most < 80 * a)
+SELECT lang, "rank", phrase, a, l, r, cast(n AS bigint) AS n, cast(score AS bigint) AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS "rank" FROM z) q JOIN n USING (lang) WHERE "rank" <= 2000""",
     "op13_turn_repair": """
 WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i)) q),
 d AS (SELECT conv_id, turn, xor(4294967295, list_reduce([4294967295] || list_transform(string_split(coalesce(cast(conv_id AS varchar), ' ') || ':' || coalesce(cast(turn AS varchar), ' '), ''), lambda x: cast(ascii(x) AS bigint)),
