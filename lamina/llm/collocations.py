@@ -25,7 +25,7 @@ from lamina.llm.quotient_filter import CountingFilter, Merger
 ENDS = byte_class(b".,;:!?\n\x0b\x0c\r")
 WORD = ~byte_class(b" \t.,;:!?\n\x0b\x0c\r")
 #: Bytes of text in a slice, and keys that a task counts before it hands its filters on.
-SLICE, HELD = 4 << 20, 1 << 22
+SLICE, HELD = 3 << 19, 1 << 21
 #: Words are told from each other, in a filter of what is frequent, by so many bits at most (16 MB).
 MOST_BITS = 1 << 27
 LONGEST = 4
@@ -68,7 +68,7 @@ def _encode(langs: pa.Array, texts: pa.Array) -> Iterator[tuple]:
     """(lang, tokens, words, counts) for each lang of some rows: local numbers from 1, 0 between pieces."""
     codes = langs.dictionary_encode()
     names, code = codes.dictionary.to_pylist(), codes.indices.to_numpy()
-    for at, data, offsets in text_slices(texts, 2 * SLICE):
+    for at, data, offsets in text_slices(texts, SLICE):
         data = _LOWER[data]
         start, end, row = find_words(data, offsets, WORD)
         if not len(start):
