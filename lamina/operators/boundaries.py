@@ -38,30 +38,39 @@ def column_medians(points: DataFrame, key: str, x: Column) -> DataFrame:
     return points.groupBy(key, x.alias("x")).agg(F.median("y").alias("y"))
 
 
-def interpolated(knots: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+def interpolated(knots: DataFrame, wanted: DataFrame, key: str, width: int = 4096) -> DataFrame:
     """key, x and y for each distinct (key, x) wanted: y on the line between the knots left and right, clamped at the ends.
 
-    Knots (key, x, y) that share an x count as their median. One sort per key, no join; keys without
-    knots give null.
+    Knots (key, x, y) that share an x count as their median; keys without knots give null. A key is
+    cut into stretches of `width` in x: each is one sorted pass forth and one back, and gets the last knot before
+    and the first after it from a table of one row for each stretch.
     """
     marked = column_medians(knots, key, F.col("x")).select(key, "x", "y", F.lit(False).alias("asked"))
     both = marked.unionByName(wanted.select(key, "x", F.lit(None).cast("double").alias("y"), F.lit(True).alias("asked")))
     one = both.groupBy(key, "x").agg(F.max("y").alias("y"), F.max("asked").alias("asked"))
-    w = Window.partitionBy(key).orderBy("x")
     at = F.when(F.col("y").isNotNull(), F.struct("x", "y"))
-    before = F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first(at, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    placed = one.select(key, "x", "asked", before.alias("a"), after.alias("b")).filter("asked")
+    one = one.select(key, "x", "asked", at.alias("at"), F.floor(F.col("x") / width).alias("stretch"))
+    ends = one.groupBy(key, "stretch").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    row = Window.partitionBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(key, "stretch", F.last("hi", True).over(row.orderBy("stretch")).alias("left"), F.last("lo", True).over(row.orderBy(F.desc("stretch"))).alias("right"))
+    own = Window.partitionBy(key, "stretch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before, after = (F.last("at", True).over(own.orderBy(c)) for c in (F.col("x"), F.desc("x")))
+    placed = one.withColumns({"a": before, "b": after}).filter("asked").join(carried, [key, "stretch"])
+    placed = placed.select(key, "x", F.coalesce("a", "left").alias("a"), F.coalesce("b", "right").alias("b"))
     share = (F.col("x") - F.col("a.x")) / (F.col("b.x") - F.col("a.x"))
     inside = F.when(F.col("b.x") == F.col("a.x"), F.col("a.y")).otherwise(F.col("a.y") + share * (F.col("b.y") - F.col("a.y")))
     return placed.select(key, "x", F.when(F.col("a").isNull(), F.col("b.y")).when(F.col("b").isNull(), F.col("a.y")).otherwise(inside).alias("y"))
 
 
-def mean_absolute_error(points: DataFrame, truth: DataFrame, key: str) -> DataFrame:
-    """Per key: mean distance of the column medians of `points` from the interpolated truth; null without truth."""
-    ours = column_medians(points, key, F.col("x").cast("int"))
-    line = interpolated(truth, ours, key).withColumnRenamed("y", "line")
-    return ours.join(line, [key, "x"]).groupBy(key).agg(F.avg(F.abs(F.col("y") - F.col("line"))).alias("mae"))
+def mean_absolute_error(points: DataFrame, truth: DataFrame, key: str, values: dict[str, str] | None = None) -> DataFrame:
+    """Per key: mean distance of the column medians of `points` from the interpolated truth; null without truth.
+
+    `values` names the columns to compare and their results (y as mae, if not given); the truth is interpolated once for all.
+    """
+    values = values or {"y": "mae"}
+    ours = points.groupBy(key, F.col("x").cast("int").alias("x")).agg(*[F.median(c).alias(c) for c in values])
+    line = interpolated(truth, ours, key).withColumnRenamed("y", "_line")
+    return ours.join(line, [key, "x"]).groupBy(key).agg(*[F.avg(F.abs(F.col(c) - F.col("_line"))).alias(n) for c, n in values.items()])
 
 
 def improvement_percent(before: Column, after: Column) -> Column:

@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Written to the checkpoint folder where the session has one, so that a round does not repeat those before."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+from lamina.operators.staging import kept
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) for all nodes of an edge table (u, v), by large-star and small-star rounds."""
-    now = _kept(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = kept(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     print_of = None
     while True:
         both = now.union(now.select("v", "u"))
@@ -21,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = _kept(small.union(low.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        now = kept(small.union(low.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         row = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if row == print_of:
             break
@@ -31,15 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 def mask_components(mask: DataFrame, width: int) -> DataFrame:
     """sample, x, y and component (least y * width + x) of a mask's pixels; pixels that touch at a side or corner belong together."""
-    keyed = mask.select("sample", "x", "y", (F.col("y").cast("long") * width + F.col("x")).alias("at"))
-    dense = keyed.select("sample").distinct().select("sample", F.monotonically_increasing_id().alias("s"))
-    keyed = _kept(keyed.join(F.broadcast(dense), "sample").withColumn("node", F.col("s") * (1 << 31) + F.col("at")))
-    ahead = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 1), (0, 1), (1, 1))])
-    step = keyed.select("sample", F.col("node").alias("u"), "x", "y", F.explode(ahead).alias("o"))
-    step = step.select("sample", "u", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
-    edges = step.join(keyed.select("sample", "x", "y", F.col("node").alias("v")), ["sample", "x", "y"]).select("u", "v")
-    found = keyed.join(components(edges), "node", "left")
-    return found.select("sample", "x", "y", F.coalesce(F.pmod("component", F.lit(1 << 31)), "at").alias("component"))
+    from lamina.operators import tiles  # it needs this module
+
+    return tiles.mask_components(mask, width)
 
 
 def largest(parts: DataFrame) -> DataFrame:

@@ -177,3 +177,26 @@ def resampled(points: DataFrame, step: float = 1.0, least: float = 1e-6) -> Data
     t = (F.col("k") * F.col("total") / F.col("parts") - F.col("arc")) / (F.col("arc1") - F.col("arc"))
     at = lambda c: F.when(F.col("last"), F.col(c)).otherwise(F.col(c) + (F.col(f"{c}1") - F.col(c)) * t)
     return made.select("contour_id", "k", at("x").alias("px"), at("y").alias("py"))
+
+
+def polygon_rows(points: DataFrame) -> DataFrame:
+    """contour_id, y, x_from and x_to: whole pixels of each row inside the closed polygons, both ends included.
+
+    A pixel is inside if a line to its left crosses the border an odd number of times, or if it lies on the
+    border's crossing itself; crossing borders are no obstacle. An edge makes a row for each scanline that it
+    crosses (its lower end included, its upper one not), and the crossings of a scanline are paired in order; level edges count as rows of
+    their own.
+    """
+    w = order()
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(whole))
+    edges = points.select("contour_id", F.col("x").alias("xa"), F.col("y").alias("ya"), after("x").alias("xb"), after("y").alias("yb"))
+    low, high = F.least("ya", "yb"), F.greatest("ya", "yb")
+    lines = edges.withColumns({"lo": F.ceil(low), "hi": F.ceil(high) - 1}).filter("lo <= hi").withColumn("row", F.explode(F.sequence("lo", "hi")))
+    x = F.col("xa") + (F.col("row") - F.col("ya")) * (F.col("xb") - F.col("xa")) / (F.col("yb") - F.col("ya"))
+    met = lines.select("contour_id", F.col("row").alias("y"), x.alias("x"))
+    line = Window.partitionBy("contour_id", "y").orderBy("x")
+    paired = met.withColumns({"to": F.lead("x").over(line), "rn": F.row_number().over(line)}).filter("rn % 2 = 1")
+    level = edges.filter("ya = yb and ya = floor(ya)").select("contour_id", F.col("ya").cast("long").alias("y"), F.least("xa", "xb").alias("x"), F.greatest("xa", "xb").alias("to"))
+    spans = paired.select("contour_id", "y", "x", "to").unionByName(level)
+    return spans.select("contour_id", "y", F.ceil("x").alias("x_from"), F.floor("to").alias("x_to")).filter("x_from <= x_to")

@@ -81,10 +81,9 @@ add(
 
 def _mae_improvement(b: DataFrame) -> DataFrame:
     """How much nearer to the annotated line the boundary is after half of its offset is taken away."""
-    before = B.mean_absolute_error(b.select("boundary", "x", "y"), _every_seventh(b), "boundary").withColumnRenamed("mae", "mae_coarse")
-    moved = b.select("boundary", "x", ((F.col("y") + F.col("y_gt")) / 2).alias("y"))
-    after = B.mean_absolute_error(moved, _every_seventh(b), "boundary").withColumnRenamed("mae", "mae_refined")
-    return before.join(after, "boundary").withColumn("improvement", B.improvement_percent(F.col("mae_coarse"), F.col("mae_refined")))
+    moved = b.select("boundary", "x", "y", ((F.col("y") + F.col("y_gt")) / 2).alias("moved"))
+    errors = B.mean_absolute_error(moved, _every_seventh(b), "boundary", {"y": "mae_coarse", "moved": "mae_refined"})
+    return errors.withColumn("improvement", B.improvement_percent(F.col("mae_coarse"), F.col("mae_refined")))
 
 
 add(

@@ -50,6 +50,12 @@ FROM (SELECT sample, x, y, CASE WHEN x * y % 17 = 0 THEN 5 WHEN algo_layer IN ('
   FROM ({SQL["v_pixels"]}) p) q"""
 SQL["v_labels"] = f"""
 SELECT sample, x, y, cast(floor(y / 10) * 10 + floor(x / 10) AS int) AS label FROM ({SQL["v_pixels"]}) p WHERE gt_layer = 'L4' OR gt_layer = 'L1'"""
+SQL["v_raster"] = """
+SELECT sample, x, y, cast(CASE WHEN away < cast(0.3 as double) THEN 20 WHEN away < 1 THEN 90 ELSE 200 END + noise AS int) AS v
+FROM (SELECT l_returnflag AS sample, cast(l_partkey % 60 AS int) AS x, cast(l_orderkey % 44 AS int) AS y,
+    cast((l_partkey % 60 - 29) * (l_partkey % 60 - 29) AS double) / 400 + cast((l_orderkey % 44 - 21) * (l_orderkey % 44 - 21) AS double) / 196 AS away,
+    sum(l_linenumber) % 23 AS noise
+  FROM {lineitem} GROUP BY l_returnflag, l_partkey % 60, l_orderkey % 44) t"""
 _TABLES = ("lineitem", "part", "events", "embeddings", "labels")
 
 
