@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from lamina.operators import restoration
+
 
 def order() -> WindowSpec:
     return Window.partitionBy("contour_id").orderBy("seq")
@@ -160,23 +162,8 @@ def distance_to_lines(points: DataFrame, lines: DataFrame, keys: list[str]) -> D
 
 
 def resampled(points: DataFrame, step: float = 1.0, least: float = 1e-6) -> DataFrame:
-    """Points at equal arc lengths, about one per step (0.25 at least) and no fewer than before; both ends kept.
-
-    Points that repeat the one before go first. Each segment makes the samples that fall on it, so
-    nothing is joined; a polyline of one place stays one point.
-    """
-    kept = points.withColumns({"step": step_length(), "rn": F.row_number().over(order())}).filter((F.col("rn") == 1) | (F.col("step") > least))
-    whole = Window.partitionBy("contour_id")
-    line = arc_length(kept.select("contour_id", "seq", "x", "y")).withColumns({"n": F.count("*").over(whole), "total": F.max("arc").over(whole)})
-    parts = F.greatest(F.ceil(F.col("total") / max(step, 0.25)), F.col("n") - 1)
-    line = line.withColumn("parts", parts).withColumns({"x1": F.lead("x").over(order()), "y1": F.lead("y").over(order()), "arc1": F.lead("arc").over(order()), "last": F.col("seq") == F.max("seq").over(whole)})
-    first = lambda arc: F.ceil(F.col(arc) * F.col("parts") / F.col("total"))
-    lo = F.when(F.col("last"), F.col("parts")).otherwise(first("arc"))
-    hi = F.when(F.col("last"), F.col("parts")).when(F.col("arc1") == F.col("total"), F.col("parts") - 1).otherwise(first("arc1") - 1)
-    made = line.withColumns({"lo": lo, "hi": hi}).filter("lo <= hi").select("*", F.explode(F.sequence("lo", "hi")).alias("k"))
-    t = (F.col("k") * F.col("total") / F.col("parts") - F.col("arc")) / (F.col("arc1") - F.col("arc"))
-    at = lambda c: F.when(F.col("last"), F.col(c)).otherwise(F.col(c) + (F.col(f"{c}1") - F.col(c)) * t)
-    return made.select("contour_id", "k", at("x").alias("px"), at("y").alias("py"))
+    """restoration.resampled() for polylines whose seq may have gaps: they are numbered first, in one sorted pass."""
+    return restoration.resampled(points.withColumn("seq", F.row_number().over(order()) - 1), step, least=least)
 
 
 def polygon_rows(points: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from lamina.operators import density as D
 from lamina.operators import evaluation as E
 from lamina.operators import polylines as P
 from lamina.operators import raster as R
+from lamina.operators import restoration as S
 from lamina.registry import QUERIES, SQL
 from lamina.registry import add as _add
 
@@ -109,7 +110,7 @@ _add("median_filter", "v_vertices", lambda v: P.median_filtered(v).select("conto
 _add("gauss_smooth", "v_vertices", lambda v: P.gauss_smoothed(v).select("contour_id", "seq", "x", "y"), _NUMBERED + """, s AS (SELECT a.contour_id, a.seq, any_value(a.n) AS n, any_value(a.x) AS x, any_value(a.y) AS y, sum(w * b.x) / sum(w) AS sx, sum(w * b.y) / sum(w) AS sy
  FROM (SELECT *, exp(-cast(o * o AS double) / 8) AS w, greatest(0, least(n - 1, seq + o)) AS src FROM v, generate_series(-6, 6) AS g(o)) a JOIN v b ON b.contour_id = a.contour_id AND b.seq = a.src GROUP BY 1, 2)
  SELECT contour_id, seq, round(CASE WHEN n < 3 OR seq = 0 OR seq = n - 1 THEN x ELSE sx END, 6) AS x, round(CASE WHEN n < 3 OR seq = 0 OR seq = n - 1 THEN y ELSE sy END, 6) AS y FROM s""", "x y")
-_add("resample", "v_vertices", lambda v: P.resampled(v, 2.0).select("contour_id", F.col("k").cast("long").alias("k"), F.round("px", 4).alias("px"), F.round("py", 4).alias("py")), f"""WITH a AS (SELECT contour_id, seq, x, y, sum(step) {_W} AS arc FROM (SELECT contour_id, seq, x, y, {_STEP} AS step FROM v_vertices) q),
+_add("resample", "v_vertices", lambda v: S.resampled(v, 2.0).select("contour_id", F.col("k").cast("long").alias("k"), F.round("px", 4).alias("px"), F.round("py", 4).alias("py")), f"""WITH a AS (SELECT contour_id, seq, x, y, sum(step) {_W} AS arc FROM (SELECT contour_id, seq, x, y, {_STEP} AS step FROM v_vertices) q),
  t AS (SELECT contour_id, max(arc) AS total, greatest(cast(ceil(max(arc) / 2) AS bigint), count(*) - 1) AS parts FROM a GROUP BY 1), e AS (SELECT *, lead(x) {_W} AS x1, lead(y) {_W} AS y1, lead(arc) {_W} AS arc1 FROM a),
  s AS (SELECT contour_id, total, k.k AS k, total * k.k / nullif(parts, 0) AS d FROM t, generate_series(0, parts) AS k(k)), b AS (SELECT s.contour_id, k, d, e.*, row_number() OVER (PARTITION BY s.contour_id, k ORDER BY e.seq DESC) AS rn FROM s JOIN e ON e.contour_id = s.contour_id AND (e.arc <= d + 1e-9 OR d IS NULL))
  SELECT contour_id, k, round(CASE WHEN x1 IS NULL THEN x ELSE x + (x1 - x) * (d - arc) / (arc1 - arc) END, 4) AS px, round(CASE WHEN y1 IS NULL THEN y ELSE y + (y1 - y) * (d - arc) / (arc1 - arc) END, 4) AS py FROM b WHERE rn = 1""")

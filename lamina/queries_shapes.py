@@ -10,6 +10,7 @@ from lamina.operators import geometry as G
 from lamina.operators import graph as H
 from lamina.operators import polylines as P
 from lamina.operators import raster as R
+from lamina.operators import restoration as S
 from lamina.queries import _STEP, _W
 from lamina.registry import add
 
@@ -317,13 +318,7 @@ add(
 
 def _restored(vertices: DataFrame) -> DataFrame:
     """Boundary restoration: scale up, resample, cut corners, smooth, resample, round, clip, drop repeats, keep two points or more."""
-    scaled = vertices.select("contour_id", "seq", (F.col("x") / 0.4).alias("x"), (F.col("y") / 0.4).alias("y"))
-    named = lambda r: r.select("contour_id", F.col("k").cast("long").alias("seq"), F.col("px").alias("x"), F.col("py").alias("y"))
-    smooth = P.gauss_smoothed(P.chaikin_rounds(named(P.resampled(scaled, 4.0)), 3), 15.0, 601)
-    put = lambda c, size: F.rint(F.greatest(F.lit(0.0), F.least(F.lit(size - 1.0), F.col(c)))).cast("int").alias(c)
-    placed = named(P.resampled(smooth, 4.0)).select("contour_id", "seq", put("x", 4000), put("y", 4000))
-    kept = P.without_repeats(placed, ["x", "y"])
-    return P.runs_within(kept, F.lit(True), 2).select("contour_id", "seq", "x", "y")
+    return S.restored(vertices, 0.4, 4000, 4000, 4.0)
 
 
 add("boundary_restoration", "v_vertices", _restored, None)
