@@ -185,7 +185,7 @@ def filled_holes(mask: DataFrame, width: int, height: int, tile: int = TILE) ->
         px, py = x + x0, y + y0
         return {"x": px, "y": py, "local": (at // tile + y0) * width + at % tile + x0, "open": (px == 0) | (py == 0) | (px == width - 1) | (py == height - 1)}
 
-    pixels = mask.select("sample", "x", "y", F.lit(True).alias("on"))
+    pixels = kept(mask.select("sample", "x", "y"), "mask").withColumn("on", F.lit(True))
     rim = kept(tile_map(pixels, {"on": False}, rims, {"x": "int", "y": "int", "local": "long", "open": "boolean"}, width, height, 0, tile), "rims")
     merged = rim.groupBy("sample", "local").agg(F.max("open").alias("open")).join(_merged(rim, tile, False), ["sample", "local"], "left").withColumn("component", F.coalesce("component", "local"))
     shut = merged.groupBy("sample", "component").agg(F.max("open").alias("out")).filter("not out")

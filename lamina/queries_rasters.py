@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamina.operators import boundaries as B
 from lamina.operators import contours as C
 from lamina.operators import density as D
 from lamina.operators import distances as T
@@ -14,6 +15,8 @@ from lamina.operators import masks as M
 from lamina.operators import polylines as P
 from lamina.operators import tiles as L
 from lamina.operators.geometry import ellipse
+from lamina.queries_boundaries import PEAK_BOUNDS_SQL
+from lamina.queries_boundaries import _bounds as bounds_of_cells
 from lamina.registry import add
 
 #: Canvas of v_pixels and of v_raster; tiles small enough that each query has edges between tiles.
@@ -111,6 +114,27 @@ add(
 )
 
 
+def _boundary_contours(cells: DataFrame, pixels: DataFrame) -> DataFrame:
+    """Stage: depth of every pixel from its distances to pia and white matter; for each inner bound of the layers, the longest contour of what lies deeper."""
+    inner = B.inner_boundaries(D.bounds_to_layers(bounds_of_cells(cells)))
+    deep = T.depth_raster(*_seeds(pixels), SIZE, SIZE).join(inner.withColumnRenamed("depth", "bound"), "sample").filter("depth >= bound")
+    lines = C.longest(C.outer_contours(deep.select(F.concat_ws("/", "sample", "boundary").alias("sample"), "x", "y"), SIZE, SIZE, TILE))
+    tag = F.split("sample", "/")
+    return lines.select(tag[0].alias("sample"), tag[1].alias("boundary"), "seq", "x", "y", "length")
+
+
+add(
+    "boundary_contours",
+    "v_cells v_pixels",
+    _boundary_contours,
+    PEAK_BOUNDS_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", ends(sample, boundary, bound) AS (SELECT sample, 'L1_2', b1 FROM bounds UNION ALL SELECT sample, 'L3_4', b3 FROM bounds UNION ALL SELECT sample, 'L4_5', b4 FROM bounds), {_DEPTH},
+ deep AS (SELECT depth.sample || '/' || boundary AS sample, x, y FROM depth JOIN ends ON ends.sample = depth.sample AND bound > 0 AND bound < 1 AND depth >= bound),
+ {holes_sql("whole", "deep", SIZE, SIZE)}, {trace_sql("traced", "whole", SIZE)}, {longest_sql("best", "traced")}
+ SELECT split_part(sample, '/', 1) AS sample, split_part(sample, '/', 2) AS boundary, seq, x, y, length FROM traced JOIN best USING (sample, loop)""",
+)
+
+
 def _harmonic_depth(boundary: DataFrame, cells: DataFrame) -> DataFrame:
     """Depth of each cell in the Laplace field between pia and white matter; where that has no value, from the distances to both."""
     ribbon = lambda name: boundary.filter(F.col("boundary") == name).select(F.lit("all").alias("sample"), F.col("x").cast("double").alias("x"), "y")
