@@ -53,7 +53,7 @@ def crossings(points: DataFrame, value: str) -> DataFrame:
     return points.withColumn("after", after).filter(now * F.col("after") < 0).select("sample", "bin", ((F.col("bin") + 0.5) * 0.02 + t * 0.02).alias("depth"))
 
 
-def peaks(points: DataFrame, value: str) -> DataFrame:
+def peaks(points: DataFrame, value: str, bins: int = BINS) -> DataFrame:
     """Local maxima of a curve per sample: bin (the middle one of a plateau, rounded down), height, prominence.
 
     A plateau at either end is no peak. The prominence is the height over the higher of the two lowest
@@ -66,8 +66,8 @@ def peaks(points: DataFrame, value: str) -> DataFrame:
     tops = flat.withColumns({"before": F.lag("height").over(by_run), "after": F.lead("height").over(by_run)}).filter("height > before and height > after")
     tops = tops.select("sample", F.floor((F.col("from") + F.col("to")) / 2).cast("int").alias("bin"), "height")
     other = points.select("sample", F.col("bin").alias("b"), F.col(value).alias("v"))
-    met = tops.join(other, "sample")  # a curve has BINS bins, so at most BINS rows a peak
-    wall = met.groupBy("sample", "bin", "height").agg(F.coalesce(F.max(F.when((F.col("b") < F.col("bin")) & (F.col("v") > F.col("height")), F.col("b"))), F.lit(-1)).alias("l"), F.coalesce(F.min(F.when((F.col("b") > F.col("bin")) & (F.col("v") > F.col("height")), F.col("b"))), F.lit(BINS)).alias("r"))
+    met = tops.join(other, "sample")  # a curve has few bins, so a peak has few rows
+    wall = met.groupBy("sample", "bin", "height").agg(F.coalesce(F.max(F.when((F.col("b") < F.col("bin")) & (F.col("v") > F.col("height")), F.col("b"))), F.lit(-1)).alias("l"), F.coalesce(F.min(F.when((F.col("b") > F.col("bin")) & (F.col("v") > F.col("height")), F.col("b"))), F.lit(bins)).alias("r"))
     low = wall.join(other, "sample").groupBy("sample", "bin", "height").agg(F.min(F.when((F.col("b") > F.col("l")) & (F.col("b") <= F.col("bin")), F.col("v"))).alias("left"), F.min(F.when((F.col("b") < F.col("r")) & (F.col("b") >= F.col("bin")), F.col("v"))).alias("right"))
     return low.select("sample", "bin", "height", (F.col("height") - F.greatest("left", "right")).alias("prominence"))
 
@@ -104,7 +104,11 @@ def peak_bounds(points: DataFrame, value: str, turns: DataFrame) -> DataFrame:
     before. Samples without two peaks have no row.
     """
     at = lambda c: (F.col(c) + 0.5) * 0.02
-    two = top_two_peaks(points, value).select("sample", at("upper").alias("p"), at("lower").alias("q"))
+    return bounds_between(top_two_peaks(points, value).select("sample", at("upper").alias("p"), at("lower").alias("q")), turns)
+
+
+def bounds_between(two: DataFrame, turns: DataFrame) -> DataFrame:
+    """peak_bounds() for samples whose two peaks lie at the depths p and q."""
     z = two.join(turns.groupBy("sample").agg(F.collect_list("depth").alias("z")), "sample", "left").withColumn("z", F.coalesce("z", F.array().cast("array<double>")))
     p, q, mid = F.col("p"), F.col("q"), (F.col("p") + F.col("q")) / 2
     nearest = lambda values, goal: F.array_min(F.transform(values, lambda x: F.struct(F.abs(x - goal).alias("off"), x.alias("x"))))["x"]

@@ -129,6 +129,6 @@ _add("tile_ownership", "v_cells", lambda c: R.tile_counts(c, 256, 32), "SELECT s
 _add("paste_overlay", "v_pixels", lambda p: R.pasted(p.select("sample", "x", "y", F.col("algo_layer").alias("layer")), p.filter("gt_layer is not null").select("sample", "x", "y", F.col("gt_layer").alias("layer")), 10, 5, "layer"), "SELECT a.sample, a.x, a.y, coalesce(b.gt_layer, a.algo_layer) AS layer FROM v_pixels a LEFT JOIN v_pixels b ON b.sample = a.sample AND b.x + 10 = a.x AND b.y + 5 = a.y AND b.gt_layer IS NOT NULL")
 
 
-from lamina import queries_boundaries, queries_rasters, queries_shapes, queries_tables  # noqa: E402, F401  they register theirs
+from lamina import queries_boundaries, queries_models, queries_rasters, queries_shapes, queries_tables  # noqa: E402, F401  they register theirs
 
 __all__ = ["QUERIES", "SQL"]
