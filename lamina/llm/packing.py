@@ -192,12 +192,12 @@ def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
 def plan(have: np.ndarray, capacity: int = CAPACITY, max_patterns: int = 20_000) -> list[tuple[list[int], int]]:
     """(lengths of a sequence, repeats) that use each length exactly as often as the histogram has it.
 
-    The fitted repeats, rounded down, can leave a residual that packs badly; so shares of them are tried too, and the
-    plan with the fewest sequences is taken.
+    The fitted repeats, rounded down, can leave a residual that packs badly; so shares of them are tried too, down to
+    none at all, and the plan with the fewest sequences is taken, of equal ones that with the largest share.
     """
     patterns = enumerate_patterns(have, capacity, max_patterns)
     fitted = fit_repeats(patterns, have)
-    plans = [_rounded(have, capacity, patterns, fitted * share) for share in (1.0, 0.75, 0.5, 0.25)]
+    plans = [_rounded(have, capacity, patterns, fitted * share) for share in (1.0, 0.75, 0.5, 0.25, 0.1, 0.0)]
     return min(plans, key=lambda made: sum(times for _, times in made))
 
 
