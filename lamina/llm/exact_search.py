@@ -23,6 +23,8 @@ SHRINK, LEAF, QUERY_LEAF = 0.75, 48, 8
 #: Points that make a leaf of their own if they lie within this share of their node's radius.
 FEW, TIGHT = 4, 0.25
 NONE = np.iinfo(np.int64).min
+#: Stand for scores beyond 64 bits, which is an error only if they are wanted.
+TOO_LOW, TOO_HIGH = NONE + 2, np.iinfo(np.int64).max
 
 
 def usable(vector: Column) -> Column:
@@ -63,14 +65,15 @@ class _Search:
         self.k, self.products_done = k, 0
         self.repeats = len(np.unique(ids)) < len(ids)
         most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, x.shape[1])
-        if most >= 2**63:
-            raise OverflowError("inner products of these vectors do not fit in 64 bits")
+        self.huge = most >= 2**63  # then products are made as whole numbers of any size
         self.exact = most < 2**53  # then every sum is an exact double
         self.slack = 1e-9 * most + 1e-6
         self.qf, self.xf = q.astype(float), x.astype(float)
 
     def products(self, qs: np.ndarray, rows: np.ndarray) -> np.ndarray:
         self.products_done += len(qs) * len(rows)
+        if self.huge:
+            return np.clip(self.q[qs].astype(object) @ self.x[rows].astype(object).T, TOO_LOW, TOO_HIGH).astype(np.int64)
         return (self.qf[qs] @ self.xf[rows].T).astype(np.int64) if self.exact else self.q[qs] @ self.x[rows].T
 
     def offer(self, qs: np.ndarray, rows: np.ndarray) -> None:
@@ -165,7 +168,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 3) ->
     block of queries is searched first in the data of its own pivot; the kth scores found there prune pairs of blocks by
     their bounds, and only rows of the pairs left are shipped, each pair of parts to a task of
     its own, where two cover trees are searched together. A block's k best per query meet in a window of few rows.
-    Repeated rows of a vec_id count once for a query, by their best score. Empty tables give no rows.
+    Repeated rows of a vec_id count once for a query, by their best score. Empty tables give no rows. Products may
+    pass 64 bits; only if one of the k largest does is it an error.
     """
     data, asked = staged(vectors.select("vec_id", "v").distinct(), "vectors"), staged(queries.select("vec_id", "v").distinct(), "queries")
     dims = [r[0] for r in asked.select(F.size("v").alias("d")).distinct().collect()]
@@ -173,7 +177,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 3) ->
     best = reduce(DataFrame.union, found) if found else data.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
     best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    lost = F.raise_error(F.lit("one of the largest inner products does not fit in 64 bits")).cast("long")
+    score = F.when(F.col("score").isin(int(TOO_LOW), int(TOO_HIGH)), lost).otherwise(F.col("score"))
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def _top_k_of_length(data: DataFrame, asked: DataFrame, dim: int, k: int, seed: int) -> DataFrame | None:
