@@ -177,11 +177,24 @@ def confirmed_windows(split: DataFrame, window: int) -> DataFrame:
     return found.groupBy("id", "h").agg(F.collect_set(F.struct("start", "owner")).alias("w")).select("id", "h", F.col("w.start").alias("starts"), F.col("w.owner").alias("window_owners"))
 
 
+#: Distinct words that one character tells apart, and words of a phrase of an automaton, whose depth it is.
+ALPHABET, DEPTH = 1_000_000, 20_000
+
+
 class _Shard:
-    """Documents that share an automaton: their words as symbols, and their confirmed passages."""
+    """Documents that share an automaton: their words as symbols, and their confirmed passages.
+
+    Only words of passages have a symbol of their own, as no other word can take part in one. A symbol is
+    a character, or two from separate ranges for a document with more words than characters.
+    """
 
-    def __init__(self) -> None:
-        self.symbols, self.automaton, self.docs, self.words = {}, ahocorasick.Automaton(), [], 0
+    def __init__(self, wide: bool = False) -> None:
+        self.symbols, self.automaton, self.docs, self.words, self.wide = {}, ahocorasick.Automaton(), [], 0, wide
+
+    def _symbol(self, number: int) -> str:
+        if self.wide:
+            return chr(0x100 + (number >> 15)) + chr(0x10000 + (number & 0x7FFF))
+        return chr(number + (2 if number < 0xD000 else 0x2000))
 
     def add(self, key: int, words: list[bytes], passages: list[tuple[int, int, bool]]) -> None:
         """`passages`: start, end, and whether the document itself owns the passage, and so keeps its first occurrence.
@@ -189,15 +202,24 @@ class _Shard:
         Of a passage that others own every occurrence goes. What another document brings is not this
         one's to remove: each document comes with all of its own passages.
         """
-        symbol = self.symbols
-        line = "".join([symbol.get(w) or symbol.setdefault(w, chr(len(symbol) + (1 if len(symbol) < 0xD000 else 0x2000))) for w in words])
-        for start, end, own in passages:
-            self.automaton.add_word(line[start:end], end - start)
-        self.docs.append((key, words, line, {line[s:e] for s, e, own in passages if own}, {line[s:e] for s, e, own in passages if not own}))
+        symbol, each = self.symbols, 2 if self.wide else 1
+        for start, end, _ in passages:
+            for w in words[start:end]:
+                if w not in symbol:
+                    symbol[w] = self._symbol(len(symbol))
+        none = "\x01" * each
+        line = "".join([symbol.get(w, none) for w in words])
+        # A longer passage is confirmed part by part, each as long as a window at least; the last one overlaps.
+        cuts = [(min(at, max(start, end - DEPTH)), min(at + DEPTH, end), own) for start, end, own in passages for at in range(start, end, DEPTH)]
+        spans = [(line[each * start : each * end], own) for start, end, own in cuts]
+        for phrase, _ in spans:
+            self.automaton.add_word(phrase, len(phrase))
+        self.docs.append((key, words, line, {t for t, own in spans if own}, {t for t, own in spans if not own}))
         self.words += len(words)
 
     def located(self) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
         """Key, words and which of them go, of each document."""
+        each = 2 if self.wide else 1
         if len(self.automaton):
             self.automaton.make_automaton()
         for key, words, line, own, others in self.docs:
@@ -210,8 +232,8 @@ class _Shard:
                     kept.add(phrase)
                     continue
                 if phrase in own or phrase in others:
-                    change[start] += 1
-                    change[end + 1] -= 1
+                    change[start // each] += 1
+                    change[(end + 1) // each] -= 1
             yield key, words, np.cumsum(change[:-1]) > 0
 
 
@@ -265,8 +287,16 @@ def located_documents(split: DataFrame, windows: DataFrame, window: int, with_te
                 for r in range(rows):
                     part = slice(edges[r], edges[r + 1])
                     found = passages(b, at + r, firsts[r + 1] - firsts[r], word[firsts[r] : firsts[r + 1]], start[part] - firsts[r], n[part], anchor[part])
-                    shard.add(ids[at + r], (b.column(1)[at + r].as_py() or b"").split(), found)
-                    if shard.words >= SHARD_WORDS:
+                    words = (b.column(1)[at + r].as_py() or b"").split()
+                    most = sum(end - start for start, end, _ in found)
+                    if most > ALPHABET - len(shard.symbols):
+                        most = len({w for start, end, _ in found for w in words[start:end]})
+                    if most > ALPHABET - len(shard.symbols) and shard.docs:
+                        yield flush(shard)
+                        shard = _Shard()
+                    shard.wide = most > ALPHABET and not shard.docs
+                    shard.add(ids[at + r], words, found)
+                    if shard.words >= SHARD_WORDS or shard.wide:
                         yield flush(shard)
                         shard = _Shard()
         if shard.docs:

@@ -348,3 +348,58 @@ def test_pipeline_stages_keep_document_columns(spark):
     assert kept.columns == docs.columns and kept.count() < docs.count() and len(bad & {r.doc_id for r in kept.collect()}) <= 0.2 * len(bad)
     last = corpus_pipeline.run(spark, sf)
     assert last.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
+
+
+def test_products_beyond_64_bits_that_nobody_wants(spark):
+    rows = [(1, [10**14, 0]), (2, [10**14, 3]), (3, [5, 10**5]), (4, [-(10**14), 2]), (5, [7, 1])]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    asked = vectors.filter("vec_id = 3")
+    want = sorted(((-sum(a * b for a, b in zip(rows[2][1], v, strict=True)), i) for i, v in rows if i != 3))
+    assert [(-r.score, r.vec_id) for r in top_k(vectors, asked, 4).orderBy("rank").collect()] == want
+    found = top_k(vectors, vectors.filter("vec_id = 5"), 1).collect()
+    assert [(r.vec_id, r.score) for r in found] == [(2, 7 * 10**14 + 3)]
+    with pytest.raises(Exception, match="does not fit in 64 bits"):
+        top_k(vectors, vectors.filter("vec_id = 1"), 2).collect()
+
+
+@pytest.mark.parametrize("kind", ["lognormal", "uniform", "short"])
+def test_packing_never_takes_more_than_best_fit(kind):
+    rng = np.random.default_rng(8)
+    drawn = {"lognormal": rng.lognormal(5.5, 1, 200_000), "uniform": rng.uniform(1, 2048, 20_000), "short": rng.integers(1, 40, 50_000)}[kind]
+    lengths = np.clip(drawn.astype(int), 1, 2048)
+    have = np.bincount(lengths, minlength=2049)
+    made = packing.plan(have)
+    used = np.zeros(2049, int)
+    for parts, times in made:
+        assert sum(parts) <= 2048
+        np.add.at(used, parts, times)
+    assert (used == have).all()
+    assert sum(t for _, t in made) <= sum(t for _, t in packing._best_fit(have.astype(np.int64), 2048))
+
+
+def test_very_long_passages_are_confirmed_in_parts(spark, monkeypatch):
+    rng = random.Random(5)
+    long = " ".join(f"v{rng.randrange(3000)}" for _ in range(45_000))
+    docs = spark.createDataFrame([(0, long), (1, f"head {long} tail"), (2, f"{long} {long}")], "doc_id long, text string")
+    assert [tuple(r)[:3] for r in substring_dedup.dedup_passages(docs).orderBy("doc_id").collect()] == [(0, 45_000, 0), (1, 45_002, 45_000), (2, 90_000, 90_000)]
+
+
+def test_more_words_than_characters(spark, monkeypatch):
+    """With an alphabet of a few words, shards are cut and a document of more words takes two characters a word; nothing changes."""
+    passage = [f"w{i}" for i in range(60)]
+    texts = [" ".join(f"a{k}x{i}" for i in range(30)) + " " + " ".join(passage) + f" tail{k}" for k in range(6)] + [" ".join(passage * 2), "none"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    want = sorted(map(tuple, substring_dedup.dedup_passages(docs).collect()))
+    for most in (25, 61, 70):
+        monkeypatch.setattr(substring_dedup, "ALPHABET", most)
+        for wide in (False, True):
+            shard = substring_dedup._Shard(wide)
+            shard.add(1, [w.encode() for w in texts[6].split()], [(0, 60, True), (60, 120, False)])
+            (_, _, gone), = shard.located()
+            assert gone.tolist() == [False] * 60 + [True] * 60
+    assert [r[2] for r in want] == [0, 60, 60, 60, 60, 60, 120, 0]
+    shard = substring_dedup._Shard(True)
+    words = [b"%d" % (i) for i in range(1_200_040)]
+    shard.add(1, words, [(0, 1_200_000, True)])
+    (_, _, gone), = shard.located()
+    assert not gone.any()
