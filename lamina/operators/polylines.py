@@ -161,6 +161,35 @@ def distance_to_lines(points: DataFrame, lines: DataFrame, keys: list[str]) -> D
     return points.join(segments, keys).groupBy(*points.columns).agg(F.min(away).alias("distance"))
 
 
+def signed_distances(points: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds to each point (keys, x, y) its distance to the closed contour with the same keys, above 0 inside and below 0 outside.
+
+    Inside is what a line to the right leaves by an odd number of crossings. A contour's segments are cut into parts of
+    256, so that one long contour is many groups; a point's parts meet as their least distance and crossings.
+    """
+    w = order()
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(whole))
+    ends = lines.withColumns({"x1": after("x"), "y1": after("y"), "_part": F.floor(F.col("seq") / 256)})
+    segments = ends.groupBy(*keys, "_part").agg(F.collect_list(F.struct("x", "y", "x1", "y1")).alias("_s"))
+    px, py = F.col("x"), F.col("y")
+
+    def away(s: Column) -> Column:
+        dx, dy = s["x1"] - s["x"], s["y1"] - s["y"]
+        along = ((px - s["x"]) * dx + (py - s["y"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(along, F.lit(0.0))))
+        return F.hypot(px - s["x"] - t * dx, py - s["y"] - t * dy)
+
+    def crossed(s: Column) -> Column:
+        over = (s["y"] > py) != (s["y1"] > py)
+        return over & (px < s["x"] + (py - s["y"]) * (s["x1"] - s["x"]) / F.nullif(s["y1"] - s["y"], F.lit(0.0)))
+
+    met = points.withColumn("_row", F.monotonically_increasing_id()).join(segments, keys)
+    met = met.select("_row", *points.columns, F.array_min(F.transform("_s", away)).alias("_d"), F.size(F.filter("_s", crossed)).alias("_n"))
+    found = met.groupBy("_row", *points.columns).agg(F.min("_d").alias("_d"), F.sum("_n").alias("_n"))
+    return found.select(*points.columns, F.when(F.col("_n") % 2 == 1, F.col("_d")).otherwise(-F.col("_d")).alias("distance"))
+
+
 def resampled(points: DataFrame, step: float = 1.0, least: float = 1e-6) -> DataFrame:
     """restoration.resampled() for polylines whose seq may have gaps: they are numbered first, in one sorted pass."""
     return restoration.resampled(points.withColumn("seq", F.row_number().over(order()) - 1), step, least=least)

@@ -163,6 +163,12 @@ s AS (SELECT c.sample, c.x, c.y, cast(floor(sum(w * o.v) + 5e-1) AS int) AS v FR
 
 
 add("gaussian_blur", "v_raster", lambda g: K.blurred(g, 11, WIDTH, HEIGHT, TILE), f"WITH {_CANVAS}, {blur_sql(11)} SELECT * FROM s")
+add(
+    "difference_image",
+    "v_raster",
+    lambda g: K.blurred(g, 5, WIDTH, HEIGHT, TILE).withColumnRenamed("v", "smooth").join(g.select("sample", "x", "y", "v"), ["sample", "x", "y"]).select("sample", "x", "y", F.abs(F.col("v") - F.col("smooth")).alias("difference"), F.when(F.col("v") > F.col("smooth"), 1).when(F.col("v") < F.col("smooth"), 2).otherwise(3).alias("code")),
+    f"WITH {_CANVAS}, {blur_sql(5)} SELECT r.sample, r.x, r.y, cast(abs(r.v - s.v) AS int) AS difference, CASE WHEN r.v > s.v THEN 1 WHEN r.v < s.v THEN 2 ELSE 3 END AS code FROM v_raster r JOIN s USING (sample, x, y)",
+)
 _DISC = "(VALUES " + ", ".join(f"({dx}, {dy})" for dx, dy in ellipse(9)) + ") AS k(dx, dy)"
 add(
     "top_hat",

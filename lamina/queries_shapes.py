@@ -208,7 +208,7 @@ add(
     "tile_pruning",
     "v_cells v_pixels",
     lambda c, p: _tile_pruning(c, p),
-    """WITH t AS (SELECT DISTINCT sample, cast(floor(x / 8) AS bigint) AS c, cast(floor(y / 8) AS bigint) AS r FROM v_pixels WHERE gt_layer = 'L1')
+    """WITH t AS (SELECT DISTINCT sample, cast(floor(x / 8) AS bigint) AS c, cast(floor(y / 8) AS bigint) AS r FROM v_pixels WHERE gt_layer = 'L4')
  SELECT q.sample, tile_r, tile_c, count(*) AS n FROM (SELECT sample, cast(floor(cy / 8) AS bigint) AS tile_r, cast(floor(cx / 8) AS bigint) AS tile_c FROM v_cells) q
  JOIN t ON t.sample = q.sample AND t.r = tile_r AND t.c = tile_c GROUP BY 1, 2, 3""",
 )
@@ -216,7 +216,7 @@ add(
 
 def _tile_pruning(cells: DataFrame, pixels: DataFrame) -> DataFrame:
     """Cells by tile, of the tiles that hold a pixel of the mask only."""
-    used = pixels.filter("gt_layer = 'L1'").select("sample", F.floor(F.col("y") / 8).alias("tile_r"), F.floor(F.col("x") / 8).alias("tile_c")).distinct()
+    used = pixels.filter("gt_layer = 'L4'").select("sample", F.floor(F.col("y") / 8).alias("tile_r"), F.floor(F.col("x") / 8).alias("tile_c")).distinct()
     counts = cells.groupBy("sample", F.floor(F.col("cy") / 8).alias("tile_r"), F.floor(F.col("cx") / 8).alias("tile_c")).agg(F.count("*").alias("n"))
     return counts.join(used, ["sample", "tile_r", "tile_c"], "left_semi")
 
@@ -300,6 +300,22 @@ _AWAY = f"""(WITH s AS (SELECT contour_id, x, y, x1 - x AS dx, y1 - y AS dy FROM
 add("line_distance", "v_vertices", lambda v: _to_next(v).select(F.col("pair").alias("contour_id"), "seq", "distance"), f"SELECT contour_id, seq, round(distance, 6) AS distance FROM {_AWAY}", "distance")
 
 
+_CLOSED = f"""(WITH s AS (SELECT contour_id, x, y, x1, y1 FROM (SELECT contour_id, x, y, coalesce(lead(x) {_W}, first_value(x) {_W}) AS x1, coalesce(lead(y) {_W}, first_value(y) {_W}) AS y1 FROM v_vertices) l),
+ d AS (SELECT v.contour_id, v.seq, v.x AS px, v.y AS py, s.*, x1 - s.x AS dx, y1 - s.y AS dy FROM v_vertices v JOIN s ON s.contour_id = v.contour_id + 1),
+ t AS (SELECT *, greatest(0, least(1, coalesce(((px - x) * dx + (py - y) * dy) / nullif(dx * dx + dy * dy, 0), 0))) AS t FROM d)
+ SELECT contour_id, seq, min(sqrt(power(px - x - t * dx, 2) + power(py - y - t * dy, 2))) * CASE WHEN count(*) FILTER (WHERE (y > py) <> (y1 > py) AND px < x + (py - y) * dx / nullif(dy, 0)) % 2 = 1 THEN 1 ELSE -1 END AS distance FROM t GROUP BY 1, 2) a"""
+
+
+def _signed_to_next(vertices: DataFrame) -> DataFrame:
+    """Signed distance of each vertex to the closed contour after its own."""
+    lines = vertices.select((F.col("contour_id") - 1).alias("pair"), "contour_id", "seq", "x", "y")
+    points = vertices.select(F.col("contour_id").alias("pair"), "seq", "x", "y")
+    return P.signed_distances(points, lines, ["pair"]).select(F.col("pair").alias("contour_id"), "seq", (F.round("distance", 6) + 0.0).alias("distance"))
+
+
+add("signed_distance", "v_vertices", _signed_to_next, f"SELECT contour_id, seq, round(distance, 6) + 0e0 AS distance FROM {_CLOSED}")
+
+
 def _split_by_distance(vertices: DataFrame) -> DataFrame:
     """Runs of vertices far from (GM, three at least) and near to (WM, two at least) the next contour's line."""
     far = F.when(F.col("distance") > 10, "GM").otherwise("WM")

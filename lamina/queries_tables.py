@@ -13,6 +13,7 @@ from lamina.operators import boundaries as B
 from lamina.operators import density as D
 from lamina.operators import evaluation as E
 from lamina.operators import features as X
+from lamina.queries import _CURVE
 from lamina.registry import QUERIES, SQL, add
 from lamina.sources import files
 from lamina.views import view, with_views
@@ -121,7 +122,7 @@ add(
 def _missing(metrics: DataFrame) -> DataFrame:
     """Samples and the layers that they need but lack; samples with all of them have no row."""
     need = metrics.select("sample").distinct().select("sample", F.explode(F.array(*map(F.lit, E.LAYERS))).alias("layer"))
-    return need.join(metrics.filter("type = 'coarse' and iou > 0.3"), ["sample", "layer"], "left_anti")
+    return need.join(metrics.filter("type = 'coarse' and iou > 0.5"), ["sample", "layer"], "left_anti")
 
 
 add(
@@ -129,14 +130,14 @@ add(
     "v_metrics",
     _missing,
     """SELECT s.sample, l.layer FROM (SELECT DISTINCT sample FROM v_metrics) s CROSS JOIN (VALUES ('L1'), ('L2/3'), ('L4'), ('L5/6')) AS l(layer)
- WHERE NOT EXISTS (SELECT 1 FROM v_metrics m WHERE m.sample = s.sample AND m.layer = l.layer AND m."type" = 'coarse' AND m.iou > 3e-1)""",
+ WHERE NOT EXISTS (SELECT 1 FROM v_metrics m WHERE m.sample = s.sample AND m.layer = l.layer AND m."type" = 'coarse' AND m.iou > 5e-1)""",
 )
 add(
     "complete_samples",
     "v_metrics",
     lambda m: m.select("sample").distinct().join(_missing(m), "sample", "left_anti").join(m.filter("type = 'refined'"), "sample", "left_semi"),
     """SELECT DISTINCT sample FROM v_metrics s WHERE EXISTS (SELECT 1 FROM v_metrics m WHERE m.sample = s.sample AND m."type" = 'refined')
- AND (SELECT count(DISTINCT layer) FROM v_metrics m WHERE m.sample = s.sample AND m."type" = 'coarse' AND m.iou > 3e-1) = 4""",
+ AND (SELECT count(DISTINCT layer) FROM v_metrics m WHERE m.sample = s.sample AND m."type" = 'coarse' AND m.iou > 5e-1) = 4""",
 )
 _EXTENSIONS = ("tif", "tiff", "png", "jpg")
 
@@ -450,3 +451,65 @@ def _merged_files(spark: SparkSession, path: str, boundary: DataFrame) -> DataFr
 
 
 _add_files("annotation_files", "v_boundary", _merged_files, "SELECT boundary, count(*) AS n, sum(y_gt) AS y FROM v_boundary GROUP BY 1")
+
+
+def _scan_corners(spark: SparkSession, path: str, vertices: DataFrame) -> DataFrame:
+    """Scan descriptions as JSON, one a contour, some without a scale or without positions; the corners at which they start read back."""
+    places = vertices.groupBy("contour_id").agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))
+    scale = F.when(F.col("contour_id") % 3 > 0, F.lit(0.5))
+    kept = F.when(F.col("contour_id") % 5 > 0, F.transform("p", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))))
+    places.select(F.to_json(F.struct(F.struct(scale.alias("pixel_scale")).alias("scan_info"), kept.alias("positions"))).alias("value")).write.text(path)
+    return files.scan_start(files.read_scans(spark, path, lines=True)).select(F.round("start_x", 4).alias("start_x"), F.round("start_y", 4).alias("start_y"))
+
+
+_add_files(
+    "scan_corners",
+    "v_vertices",
+    _scan_corners,
+    f"""SELECT CASE WHEN contour_id % 5 > 0 THEN round(arg_min(x, seq) - {files.CAMERA[0]} * s / 2, 4) END AS start_x, CASE WHEN contour_id % 5 > 0 THEN round(arg_min(y, seq) - {files.CAMERA[1]} * s / 2, 4) END AS start_y
+ FROM (SELECT *, CASE WHEN contour_id % 3 > 0 THEN 5e-1 ELSE {files.PIXEL_SCALE!r}e0 END AS s FROM v_vertices) q GROUP BY contour_id, s""",
+)
+
+
+def _lens_offsets(spark: SparkSession, path: str, metrics: DataFrame) -> DataFrame:
+    """A file with the lens offset for each sample, some without a part of it or without any; read back, counted by value."""
+    rows = metrics.select("sample").distinct()
+    part = lambda n: F.when(F.col("sample") % n > 0, F.col("sample").cast("double") / 4)
+    body = F.when(F.col("sample") % 7 > 0, F.struct(part(2).alias("x_um"), part(3).alias("y_um")))
+    rows.select(F.to_json(F.struct(F.lit(1).alias("version"), body.alias("Obj4X"))).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return files.read_offset(spark, path).groupBy("x_um", "y_um").agg(F.count("*").alias("samples"))
+
+
+_add_files(
+    "lens_offsets",
+    "v_metrics",
+    _lens_offsets,
+    """SELECT CASE WHEN sample % 7 > 0 AND sample % 2 > 0 THEN sample / 4e0 ELSE 0e0 END AS x_um, CASE WHEN sample % 7 > 0 AND sample % 3 > 0 THEN sample / 4e0 ELSE 0e0 END AS y_um, count(*) AS samples
+ FROM (SELECT DISTINCT sample FROM v_metrics) q GROUP BY 1, 2""",
+)
+
+
+def _unnamed_points(spark: SparkSession, path: str, boundary: DataFrame) -> DataFrame:
+    """Points in files whose column names say nothing: the first two columns are x and y."""
+    boundary.select(F.col("x").alias("col_a"), F.col("y").alias("col_b"), "boundary").write.option("header", True).csv(path)
+    return files.first_two(spark.read.option("header", True).csv(path)).groupBy("x").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
+
+
+_add_files("unnamed_points", "v_boundary", _unnamed_points, "SELECT cast(x AS double) AS x, count(*) AS n, sum(y) AS y FROM v_boundary GROUP BY 1")
+
+
+def _segmented_depth(spark: SparkSession, path: str, cells: DataFrame) -> DataFrame:
+    """Layers with their depth ranges and densities as CSV and back."""
+    files.write_table(D.layers_of(D.curve(cells)), path)
+    return files.read_table(spark, path, "sample string, layer string, start double, end double, mean_density double").withColumn("mean_density", F.round("mean_density", 6))
+
+
+_add_files(
+    "segmented_depth",
+    "v_cells",
+    _segmented_depth,
+    _CURVE
+    + """ SELECT s.sample, l.layer, l.s AS start, l.e AS "end", round(coalesce(avg(c.density), 0), 6) AS mean_density FROM (SELECT DISTINCT sample FROM v_cells) s
+ CROSS JOIN (VALUES ('L1', 0e0, 7e-2), ('L2/3', 7e-2, 35e-2), ('L4', 35e-2, 5e-1), ('L5/6', 5e-1, 1e0)) AS l(layer, s, e)
+ LEFT JOIN curve c ON c.sample = s.sample AND c.center >= l.s AND c.center <= l.e GROUP BY 1, 2, 3, 4""",
+)
