@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -45,6 +46,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(df: DataFrame) -> DataFrame:
+    """`df`, a staged table, after a collection of garbage, by which Spark drops the shuffle files that led to it."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only where a count shows at most `max_rows` rows; else Spark's own choice of join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

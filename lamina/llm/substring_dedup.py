@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import find_words, map_texts, mix, record_batch, signed, span_hash, staged, table, text_slices
+from lamina.llm.common import find_words, map_texts, mix, record_batch, released, signed, span_hash, staged, table, text_slices
 
 WINDOW = 20
 ANCHOR = 4
@@ -315,8 +315,9 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     in their own text: each keeps its first occurrence of a passage that it owns. Only anchors, phrase hashes and owners are shuffled,
     and the texts once; documents in which nothing recurs are done after that, the rest go on.
     """
-    split = staged(split_documents(marked_documents(docs, recurring_anchors(docs, window), window)), "passages")
-    located = located_documents(split, confirmed_windows(split, window), window, False)
+    split = released(staged(split_documents(marked_documents(docs, recurring_anchors(docs, window), window)), "passages"))
+    windows = released(staged(confirmed_windows(split, window), "windows"))
+    located = located_documents(split, windows, window, False)
     clear = split.filter("anchors is null").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("kept").alias("kept_sha256"))
     return clear.union(located).select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
