@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -47,9 +48,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def released(df: DataFrame) -> DataFrame:
-    """`df`, a staged table, after a collection of garbage, by which Spark drops the shuffle files that led to it."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """`df`, a staged table, after two collections of garbage, by which Spark drops the shuffle files that led to it.
+
+    The first one frees what Python held; the second one, a second later, finds the shuffles unused.
+    """
+    for wait in (1, 0):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(wait)
     return df
 
 
