@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lamina.operators.kernel_sums import gauss_sums
+
 BINS = 50
 #: Layer bounds used where no peaks are found.
 DEFAULT_LAYERS = (("L1", 0.0, 0.07), ("L2/3", 0.07, 0.35), ("L4", 0.35, 0.5), ("L5/6", 0.5, 1.0))
@@ -189,33 +191,27 @@ def nearest_distance(points: DataFrame, targets: DataFrame, cell: float | None =
         cell *= growth
 
 
-def kernel_density(points: DataFrame, bandwidth: str | float = "scott", reach: float = 8.5) -> DataFrame:
+def kernel_density(points: DataFrame, bandwidth: str | float = "scott") -> DataFrame:
     """Gaussian density of each point over all of its sample, times the root of the count; 1 if alone.
 
     The bandwidth is scott or silverman (the same in two dimensions) or a factor of the standard deviation.
-    Points are scaled so that the kernel is round, and only those of touching grid cells of `reach`
-    standard deviations meet: what is left out is below exp(-reach^2 / 2), beyond double precision by
-    default. A sample's cells are keys of their own, so that no task holds all its pairs.
+    Points are scaled so that the kernel is round and summed by moments of cells (kernel_sums.py), not
+    by pairs. A sample's blocks are keys of their own, so that no task holds all its points. Points
+    without a sample or a finite place have no row, nor have samples whose points lie on one line.
     """
     if isinstance(bandwidth, str) and bandwidth not in ("scott", "silverman"):
         raise ValueError("bandwidth must be scott, silverman or a number")
-    n = F.count("*")
-    shape = points.groupBy("sample").agg(n.alias("n"), F.var_samp("x").alias("sxx"), F.var_samp("y").alias("syy"), F.covar_samp("x", "y").alias("sxy"))
+    placed = points.filter(F.col("sample").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull() & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
+    shape = placed.groupBy("sample").agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_samp("x").alias("sxx"), F.var_samp("y").alias("syy"), F.covar_samp("x", "y").alias("sxy"))
     h = F.pow(F.col("n").cast("double"), F.lit(-1.0 / 3)) if isinstance(bandwidth, str) else F.lit(float(bandwidth) ** 2)
-    scaled = shape.select("sample", "n", (F.col("sxx") * h).alias("a"), (F.col("syy") * h).alias("b"), (F.col("sxy") * h).alias("c"))
+    scaled = shape.select("sample", "n", "mx", "my", (F.col("sxx") * h).alias("a"), (F.col("syy") * h).alias("b"), (F.col("sxy") * h).alias("c"))
     scaled = scaled.withColumn("det", F.col("a") * F.col("b") - F.col("c") * F.col("c"))
-    round_ = points.join(scaled, "sample").withColumns({
-        "u": F.col("x") / F.sqrt("a"),
-        "v": (F.col("y") - F.col("c") / F.col("a") * F.col("x")) / F.sqrt(F.col("det") / F.col("a")),
-    })
-    many = round_.filter("n > 1").select("sample", "id", "n", "det", "u", "v", *[F.floor(F.col(z) / reach).cast("long").alias(f"g{z}") for z in "uv"])
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    near = many.select("sample", F.col("u").alias("u2"), F.col("v").alias("v2"), around.alias("o"), "gu", "gv")
-    near = near.select("sample", "u2", "v2", (F.col("gu") + F.col("o.i")).alias("gu"), (F.col("gv") + F.col("o.j")).alias("gv"))
-    du, dv = F.col("u") - F.col("u2"), F.col("v") - F.col("v2")
-    summed = many.join(near, ["sample", "gu", "gv"]).groupBy("id", "n", "det").agg(F.sum(F.exp(-0.5 * (du * du + dv * dv))).alias("s"))
-    density = summed.select("id", (F.col("s") / (F.col("n") * 2 * F.pi() * F.sqrt("det")) * F.sqrt("n")).alias("density"))
-    return density.union(round_.filter("n < 2").select("id", F.lit(1.0)))
+    x, y = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
+    flat = placed.join(scaled, "sample")
+    many = flat.filter("n > 1 and a > 0 and det > 0").select(F.col("sample").alias("c"), "id", (x / F.sqrt("a")).alias("u"), ((y - F.col("c") / F.col("a") * x) / F.sqrt(F.col("det") / F.col("a"))).alias("v"))
+    summed = gauss_sums(many, many.select("c", "u", "v")).withColumnRenamed("c", "sample").join(scaled, "sample")
+    density = summed.select("id", (F.col("total") / (F.col("n") * 2 * F.pi() * F.sqrt("det")) * F.sqrt("n")).alias("density"))
+    return density.union(flat.filter("n < 2").select("id", F.lit(1.0)))
 
 
 def log_density(density: Column) -> Column:

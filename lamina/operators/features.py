@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lamina.operators import density as D
+from lamina.operators.kernel_sums import gauss_sums
+from lamina.operators.staging import kept
 
 
 def legacy_depth(cells: DataFrame, upper: DataFrame, lower: DataFrame) -> DataFrame:
@@ -32,28 +34,56 @@ def cell_features(cells: DataFrame, upper: DataFrame, lower: DataFrame, names: D
     return whole.select("id", "depth", "dist_to_gm", "dist_to_wm", "density", "neighbours", (F.col("depth") * F.col("depth")).alias("depth2"), (F.col("depth") * F.col("x")).alias("depth_x"), "layer")
 
 
-def density_at(places: DataFrame, cells: DataFrame, reach: float = 39.0) -> DataFrame:
+THIN = 1e-13  # sums below it are told by nearest distances or pairs
+
+
+def density_at(places: DataFrame, cells: DataFrame) -> DataFrame:
     """id and log density (floor -20) at places (id, x, y) of cells (x, y), with Scott's bandwidth over all cells.
 
-    Only cells of touching grid cells of `reach` standard deviations of the kernel count; from 39 on the kernel is
-    zero in double precision, so that nothing is lost. Without cells, or with all in line, the floor.
+    Sums come from moments of grid cells (kernel_sums.py). Where hardly anything is near, the density is
+    below the logarithm's own floor and only the nearest cell's distance tells whether the sum is zero in
+    double precision; if the bandwidth is so small that it may be above, such places meet the cells
+    within 39 deviations one by one. Without cells, or with all in line, the floor; so have null places.
     """
-    n, a, b, c = cells.agg(F.count("*"), F.var_samp("x"), F.var_samp("y"), F.covar_samp("x", "y")).first()
+    finite = lambda c: F.col(c).isNotNull() & (F.abs(c) < float("inf"))
+    held = cells.filter(finite("x") & finite("y"))
+    n, mx, my, a, b, c = held.agg(F.count("*"), F.avg("x"), F.avg("y"), F.var_samp("x"), F.var_samp("y"), F.covar_samp("x", "y")).first()
     h = n ** (-1 / 3) if n else 0.0
     a, b, c = (v * h if v is not None else 0.0 for v in (a, b, c))
     det = a * b - c * c
     if not (n > 1 and a > 0 and det > 0):
         return places.select("id", F.lit(-20.0).alias("log_density"))
-    round_ = [(F.col("x") / math.sqrt(a)).alias("u"), ((F.col("y") - c / a * F.col("x")) / math.sqrt(det / a)).alias("v")]
-    grid = [F.floor(F.col(z) / reach).cast("long").alias(f"g{z}") for z in "uv"]
+    x, y = F.col("x") - mx, F.col("y") - my
+    round_ = [(x / math.sqrt(a)).alias("u"), ((y - c / a * x) / math.sqrt(det / a)).alias("v")]
+    norm = n * 2 * math.pi * math.sqrt(det)
+    good = finite("x") & finite("y")
+    at, source = places.filter(good).select(F.lit(0).alias("c"), "id", *round_), held.select(F.lit(0).alias("c"), *round_)
+    sums = kept(gauss_sums(at, source).select("id", "total"), "sums")
+    thin = sums.filter(F.col("total") < THIN).select("id")
+    found = sums.filter(F.col("total") >= THIN)
+    if not thin.isEmpty():
+        left = at.join(thin, "id").select("id", F.col("u").alias("x"), F.col("v").alias("y"))
+        goals = source.select(F.col("u").alias("x"), F.col("v").alias("y"))
+        if norm * 1e-12 > THIN:
+            last = math.sqrt(2 * (745.13 - max(0.0, math.log(norm))))  # beyond it, kernel and density are zero
+            far = D.nearest_distance(left, goals)
+            rest = far.select("id", F.when(F.col("distance") <= last, THIN / 2).otherwise(0.0).alias("total"))
+        else:
+            rest = _sums_by_pairs(left, goals)
+        found = found.union(rest)
+    dense = found.select("id", D.log_density(F.col("total") / norm).alias("log_density"))
+    return dense.union(places.filter(~good).select("id", F.lit(-20.0)))
+
+
+def _sums_by_pairs(places: DataFrame, cells: DataFrame, reach: float = 39.0) -> DataFrame:
+    """id and total, the sum of kernels, of places (id, x, y) over the cells (x, y) of touching grid cells; beyond `reach` a kernel is zero."""
+    grid = [F.floor(F.col(z) / reach).cast("long").alias(f"g{z}") for z in "xy"]
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    left = places.select("id", *round_).select("*", *grid)
-    right = cells.select(*round_).select(F.col("u").alias("u2"), F.col("v").alias("v2"), *grid).select("*", around.alias("o"))
-    right = right.select("u2", "v2", (F.col("gu") + F.col("o.i")).alias("gu"), (F.col("gv") + F.col("o.j")).alias("gv"))
-    du, dv = F.col("u") - F.col("u2"), F.col("v") - F.col("v2")
-    kernel = F.coalesce(F.exp(-0.5 * (du * du + dv * dv)), F.lit(0.0))
-    summed = left.join(right, ["gu", "gv"], "left").groupBy("id").agg((F.sum(kernel) / (n * 2 * math.pi * math.sqrt(det))).alias("d"))
-    return summed.select("id", D.log_density(F.col("d")).alias("log_density"))
+    right = cells.select(F.col("x").alias("x2"), F.col("y").alias("y2"), *grid).select("*", around.alias("o"))
+    right = right.select("x2", "y2", (F.col("gx") + F.col("o.i")).alias("gx"), (F.col("gy") + F.col("o.j")).alias("gy"))
+    dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
+    kernel = F.coalesce(F.exp(-0.5 * (dx * dx + dy * dy)), F.lit(0.0))
+    return places.select("*", *grid).join(right, ["gx", "gy"], "left").groupBy("id").agg(F.sum(kernel).alias("total"))
 
 
 #: Depth from which each inner boundary starts, in order of its index.
@@ -75,9 +105,12 @@ def boundary_features(boundary: DataFrame, cells: DataFrame, width: float, heigh
         "right": F.coalesce(F.lead("y", 2).over(w), F.last("y").over(whole)),
         "size": F.count("*").over(Window.partitionBy("boundary")),
     }).filter(F.col("size") >= least)
-    for k, dy in enumerate((0.0, -offset, offset)):
-        found = density_at(rows.select("id", "x", (F.col("y") + dy).alias("y")), cells)
-        rows = rows.join(found.withColumnRenamed("log_density", f"log_density{k}"), "id")
+    shifts = F.explode(F.array(*[F.struct(F.lit(str(k)).alias("k"), F.lit(dy).alias("dy")) for k, dy in enumerate((0.0, -offset, offset))]))
+    text = F.col("id").cast("string")
+    moved = rows.select(text.alias("id"), "x", "y", shifts.alias("s")).select(F.concat("s.k", "id").alias("id"), "x", (F.col("y") + F.col("s.dy")).alias("y"))
+    found = density_at(moved, cells)
+    wide = [F.max(F.when(F.substring("id", 1, 1) == str(k), F.col("log_density"))).alias(f"log_density{k}") for k in range(3)]
+    rows = rows.join(found.groupBy(F.expr("substring(id, 2)").alias("_text")).agg(*wide), text == F.col("_text")).drop("_text")
     near = counts_within(rows.select("id", "x", "y"), cells, radius)
     total = cells.count()
     features = [
