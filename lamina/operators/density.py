@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lamina.operators.kernel_sums import gauss_sums
+from lamina.operators.nearest import nearest_distance  # noqa: F401  part of this module's interface
 
 BINS = 50
 #: Layer bounds used where no peaks are found.
@@ -158,39 +159,6 @@ def within_radius(points: DataFrame, radius: float) -> DataFrame:
     return left.join(right, ["gx", "gy"]).filter(near).groupBy("id").agg(F.count("*").alias("n"))
 
 
-def nearest_distance(points: DataFrame, targets: DataFrame, cell: float | None = None, name: str = "distance", growth: int = 4) -> DataFrame:
-    """Exact distance of each point (id, x, y) to the nearest target (x, y); no rows if there are no targets.
-
-    Points meet the targets of their own and the touching grid cells; a distance of at most one cell
-    is final. What is left goes on with larger cells, so no pair is formed beyond what a ring holds.
-    Without a given cell, one holds a few targets if they lie evenly. What a round leaves is written
-    to the checkpoint folder, where the session has one. Null and non-finite places take no part.
-    """
-    finite = lambda c: F.col(c).isNotNull() & (F.abs(c) < float("inf"))
-    goals = targets.filter(finite("x") & finite("y")).select(F.col("x").alias("x2"), F.col("y").alias("y2"))
-    left = points.filter(finite("x") & finite("y")).select("id", "x", "y")
-    n, w, h = goals.agg(F.count("*"), F.max("x2") - F.min("x2"), F.max("y2") - F.min("y2")).first()
-    done = left.limit(0).select("id", F.lit(0.0).alias(name))
-    if not n:
-        return done
-    cell = cell or 2 * max(w, h) / n**0.5 or 1.0
-    reach = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    away = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))
-    while True:
-        keyed = left.select("id", "x", "y", *_grid("", cell)).select("id", "x", "y", reach.alias("o"), "gx", "gy")
-        keyed = keyed.select("id", "x", "y", (F.col("gx") + F.col("o.i")).alias("gx"), (F.col("gy") + F.col("o.j")).alias("gy"))
-        goal = goals.select("x2", "y2", F.floor(F.col("x2") / cell).cast("long").alias("gx"), F.floor(F.col("y2") / cell).cast("long").alias("gy"))
-        met = keyed.join(goal, ["gx", "gy"], "left").groupBy("id", "x", "y").agg(F.min(away).alias(name))
-        if points.sparkSession.sparkContext.getCheckpointDir():
-            met = met.checkpoint()
-        final = F.coalesce(F.col(name) <= cell, F.lit(False))
-        done = done.union(met.filter(final).select("id", name))
-        left = met.filter(~final).select("id", "x", "y")
-        if left.isEmpty():
-            return done
-        cell *= growth
-
-
 def kernel_density(points: DataFrame, bandwidth: str | float = "scott") -> DataFrame:
     """Gaussian density of each point over all of its sample, times the root of the count; 1 if alone.
 
