@@ -110,3 +110,34 @@ def test_samples_are_complete_from_three_tenths_on(spark, tmp_path):
     con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
     assert con.execute(SQL["complete_samples"]).fetchall() == [(1,)]
     assert [r.sample for r in QUERIES["complete_samples"](spark, str(tmp_path)).collect()] == [1]
+
+
+@pytest.fixture(scope="module")
+def split_metrics(tmp_path_factory):
+    """Rows of line items in many row groups; half of the means lie next to 0.05 or 0.03 and fall on a side by the order of their sum."""
+    folder = tmp_path_factory.mktemp("split")
+    value = "CASE WHEN i % 3 = 0 THEN 0.05 WHEN i // 3 % 2 = 0 THEN {0} + j * 0.01 ELSE {0} - j * 0.01 END"
+    rows = f"""SELECT i, 1 + i % 60 AS l_suppkey, 1 + hash(i) % 4 AS l_linenumber, CASE WHEN hash(i, 1) % 4 < 3 THEN 'F' ELSE 'O' END AS l_linestatus,
+ ({value.format("0.05")}) * CASE WHEN i % 60 < 30 THEN 1 ELSE 0.6 END AS l_discount, 1e0 AS l_quantity, 1e-2 AS l_tax FROM (SELECT i, hash(i, 2) % 5 AS j FROM range(60000) r(i))"""
+    con = duckdb.connect()
+    con.execute("set threads=1")
+    con.execute(f"COPY (SELECT * EXCLUDE (i, l_discount, l_suppkey, l_linenumber), l_discount::double AS l_discount, l_suppkey::bigint AS l_suppkey, l_linenumber::int AS l_linenumber FROM ({rows}) ORDER BY i) TO '{folder}/lineitem.parquet' (FORMAT parquet, ROW_GROUP_SIZE 2048)")
+    con.execute(f"create view lineitem as select * from '{folder}/lineitem.parquet'")
+    return folder, con
+
+
+def _equal_in_order(spark, split_metrics, name):
+    folder, con = split_metrics
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        out = QUERIES[name](spark, str(folder))
+        found = con.execute(SQL[name])
+        names = [d[0] for d in found.description]
+        assert sorted(map(str, out.select(names).collect())) == sorted(map(str, spark.createDataFrame(found.fetchall(), out.select(names).schema).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_means_on_a_bound_complete_samples(spark, split_metrics):
+    _equal_in_order(spark, split_metrics, "complete_samples")
