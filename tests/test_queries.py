@@ -141,3 +141,7 @@ def _equal_in_order(spark, split_metrics, name):
 
 def test_means_on_a_bound_complete_samples(spark, split_metrics):
     _equal_in_order(spark, split_metrics, "complete_samples")
+
+
+def test_means_on_a_bound_missing_layers(spark, split_metrics):
+    _equal_in_order(spark, split_metrics, "missing_layers")
