@@ -145,3 +145,7 @@ def test_means_on_a_bound_complete_samples(spark, split_metrics):
 
 def test_means_on_a_bound_missing_layers(spark, split_metrics):
     _equal_in_order(spark, split_metrics, "missing_layers")
+
+
+def test_means_on_a_bound_parameter_files(spark, split_metrics):
+    _equal_in_order(spark, split_metrics, "parameter_files")
