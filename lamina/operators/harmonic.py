@@ -112,14 +112,17 @@ def harmonic_field(pia: DataFrame, white: DataFrame, points: DataFrame, max_dim:
 def sampled(points: DataFrame, box: DataFrame, field: DataFrame) -> DataFrame:
     """Adds depth to each point (sample, x, y): the field between the four grid lines around it, null where one of them is outside.
 
-    A point asks for its four cells by their keys and comes together again by its place, so equal points share one answer.
+    The field's cells are brought together by four first, which are as few as the grid; each point then meets its own four at once.
     """
+    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
+    spread = field.select("sample", "x", "y", "value", corner.alias("c"))
+    one = lambda i, j: F.max(F.when((F.col("c.i") == i) & (F.col("c.j") == j), F.col("value"))).alias(f"v{i}{j}")
+    four = spread.groupBy("sample", (F.col("x") - F.col("c.i")).alias("ix"), (F.col("y") - F.col("c.j")).alias("iy")).agg(F.count("*").alias("n"), *[one(i, j) for i in (0, 1) for j in (0, 1)])
+    four = kept(four.filter("n = 4").drop("n"), "corners")
     low = lambda c: F.least(F.floor((F.col(c) - F.col(f"{c}0")) / F.col("size")), F.ceil((F.col(f"{c}1") - F.col(f"{c}0")) / F.col("size")) - 1)
-    asked = points.select("sample", "x", "y").distinct().join(box, "sample").withColumns({"ix": F.greatest(low("x"), F.lit(0)).cast("int"), "iy": F.greatest(low("y"), F.lit(0)).cast("int")})
+    asked = points.join(box, "sample", "left").withColumns({"ix": F.greatest(low("x"), F.lit(0)).cast("int"), "iy": F.greatest(low("y"), F.lit(0)).cast("int")})
     part = lambda c: (F.col(c) - _place(F.col(f"i{c}"), f"{c}0", f"{c}1")) / (_place(F.col(f"i{c}") + 1, f"{c}0", f"{c}1") - _place(F.col(f"i{c}"), f"{c}0", f"{c}1"))
-    asked = asked.withColumns({"fx": part("x"), "fy": part("y")})
-    ends = F.array(*[F.struct((F.col("ix") + i).alias("cx"), (F.col("iy") + j).alias("cy"), ((F.col("fx") if i else 1 - F.col("fx")) * (F.col("fy") if j else 1 - F.col("fy"))).alias("share")) for i in (0, 1) for j in (0, 1)])
-    wide = asked.select("sample", "x", "y", F.explode(ends).alias("e")).select("sample", "x", "y", "e.*")
-    met = wide.join(field.select("sample", F.col("x").alias("cx"), F.col("y").alias("cy"), "value"), ["sample", "cx", "cy"])
-    found = met.groupBy("sample", "x", "y").agg(F.count("*").alias("n"), F.sum(F.col("value") * F.col("share")).alias("depth")).filter("n = 4")
-    return points.join(found.select("sample", "x", "y", "depth"), ["sample", "x", "y"], "left")
+    asked = asked.withColumns({"fx": part("x"), "fy": part("y")}).select(*points.columns, "ix", "iy", "fx", "fy")
+    share = lambda i, j: (F.col("fx") if i else 1 - F.col("fx")) * (F.col("fy") if j else 1 - F.col("fy"))
+    depth = sum((F.col(f"v{i}{j}") * share(i, j) for i in (0, 1) for j in (0, 1)), F.lit(0.0))
+    return asked.join(four, ["sample", "ix", "iy"], "left").select(*points.columns, depth.alias("depth"))
