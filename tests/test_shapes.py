@@ -126,3 +126,12 @@ def test_signed_distances_in_batches(spark):
     made = polylines.signed_distances(points, lines, ["k"])
     assert {r.seq: r.distance and abs(r.distance) * (1 if r.distance > 0 else -1) for r in made.collect()} == {0: 1.0, 1: -2.0, 2: 0.0, 3: None, 4: -5.0}
     assert "lambdafunction" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_places_far_from_all_cells_have_the_floor_and_no_row_of_sums(spark):
+    cells = spark.createDataFrame([(float(i % 7), float(i % 5)) for i in range(35)], "x double, y double")
+    places = spark.createDataFrame([("in", 3.0, 2.0), ("far", 1e6, 2.0), ("none", None, 2.0)], "id string, x double, y double")
+    assert [r.id for r in features.density_near(places, cells).collect()] == ["in"]
+    found = {r.id: r.log_density for r in features.density_at(places, cells).collect()}
+    assert found["far"] == found["none"] == -20.0 and -20.0 < found["in"] < 0
+    assert {r.id: r.near for r in features.counts_within(places, cells, 1.0).collect()} == {"in": 5}
