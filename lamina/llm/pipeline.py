@@ -40,6 +40,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays whose members are linked by a Jaccard similarity of 0.8 of their 5-word shingles.
 
+    Pairs come from op4's SimHash grid first, then from MinHash bands, as two bits are far closer than 0.8.
+
     Texts without a word, null ones included, are copies of each other. Null and repeated ids need no
     care, of rows equal in id and text one stays, and an empty table gives an empty one.
     """

@@ -1,4 +1,4 @@
-"""Near duplicates by Jaccard similarity of word shingles: MinHash bands propose pairs, the shingles themselves decide."""
+"""Near duplicates by Jaccard similarity of word shingles: SimHash (popcount grid) and then MinHash bands propose pairs, the shingles themselves decide."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm.common import find_words, map_texts, mix, record_batch, signed, span_hash, staged, text_slices
 from lamina.llm.components import components
+from lamina.llm.simhash_dedup import near_pairs, with_fingerprints
 
 #: Bands and hashes of a band. A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^5)^24 = 0.99993, one of 0.1 with 0.0002.
 BANDS, BAND = 24, 5
@@ -97,20 +98,38 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: flo
     return map_texts(pairs.join(s, "u").join(t, "v").select("u", "v", "s", "t"), run, "u long, v long")
 
 
-def linked_texts(docs: DataFrame, unique: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def simhash_pairs(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
+    """Pairs (u, v) of texts by op4's method: SimHash fingerprints of their shingles, within `radius` bits by the grid of popcounts.
+
+    Of texts with one fingerprint the least node stands for all: it is paired with each of them, and with those of near fingerprints.
+    """
+    prints = staged(with_fingerprints(docs.select(_node().alias("doc_id"), "text"), shingle).distinct(), "near-prints")
+    hubs = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("hub")), "near-hubs")
+    equal = prints.join(hubs, "fp").filter("doc_id != hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v"))
+    first, other = (hubs.select(F.col("fp").alias(k), F.col("hub").alias(n)) for k, n in (("a", "u"), ("b", "v")))
+    return equal.union(near_pairs(hubs.select("fp"), radius).join(first, "a").join(other, "b").select("u", "v"))
+
+
+def linked_texts(docs: DataFrame, unique: DataFrame, shingle: int, similarity: float, radius: int = 2) -> DataFrame:
     """node and component of the texts (node, keys; one row each) that link to others.
 
-    As in line_dedup, all texts under a key are first compared with one of them, the hub, and then only
+    SimHash comes first: what it proposes and the shingles confirm makes groups. Its `radius` bits reach
+    only the closest copies, so MinHash bands then propose pairs of texts in different groups. As in line_dedup, all texts under a key are first compared with one of them, the hub, and then only
     those of different groups with each other, so that a large group of copies costs a star.
     """
     keyed = unique.select(F.explode("keys").alias("key"), "node")
     hubs = keyed.groupBy("key").agg(F.min("node").alias("u"), F.count("*").alias("n")).filter("n > 1").select("key", "u")
     close = staged(keyed.join(hubs, "key"), "near-close")
-    wanted = close.select("node").distinct()
+    alike = staged(simhash_pairs(docs, shingle, radius), "near-alike")
+    wanted = close.select("node").union(alike.select("u")).union(alike.select("v")).distinct()
     texts = docs.select(_node(), F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     texts = staged(texts, "near-texts")
-    tried = staged(close.filter("u != node").select("u", F.col("node").alias("v")).distinct(), "near-pairs")
-    stars = staged(_confirmed(tried, texts, shingle, similarity), "near-edges")
+    same = staged(_confirmed(alike, texts, shingle, similarity), "near-edges")
+    found = staged(components(same, "near-groups"), "near-groups")
+    p, q = (found.select(F.col("node").alias(n), F.col("component").alias(g)) for n, g in (("u", "p"), ("v", "q")))
+    tried = close.filter("u != node").select("u", F.col("node").alias("v")).distinct().join(p, "u", "left").join(q, "v", "left")
+    tried = staged(tried.filter(F.coalesce("p", "u") != F.coalesce("q", "v")).select("u", "v"), "near-pairs")
+    stars = staged(same.union(_confirmed(tried, texts, shingle, similarity)), "near-edges")
     parts = components(stars, "near-groups").select("node", "component")
     placed = staged(close.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")), "near-close")
     a, b = (placed.select("key", F.col("node").alias(n), F.col("part").alias(p)) for n, p in (("u", "p"), ("v", "q")))

@@ -146,3 +146,20 @@ def test_mixture_stage_takes_whole_rows_of_null_and_repeated_ids(spark):
         assert abs(sum(words(r.text) for r in out if r.source == source) - target) <= longest / 2 + 1
     times = collections.Counter((r.doc_id, r.text, r.source) for r in out)
     assert all(n <= 2 * rows.count(r) for r, n in times.items())
+
+
+def test_near_duplicate_stage_proposes_all_pairs_of_near_fingerprints(spark):
+    from lamina.llm import shingle_dedup, simhash_dedup
+
+    rng = random.Random(8)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(4000)]
+    texts = [" ".join([*long[:k], "zz", *long[k + 1 :]]) for k in (5, 900, 3000)] + [" ".join(long), " ".join(long).upper(), "one two three", None, ""]
+    df = _docs(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    node = {r.n: r.text for r in df.selectExpr("xxhash64(coalesce(text, '')) AS n", "text").collect()}
+    prints = {n: simhash_dedup.fingerprint((t or "").encode(), 5) for n, t in node.items()}
+    close = {frozenset((a, b)) for a in node for b in node if a != b and (prints[a] ^ prints[b]).bit_count() <= 2}
+    pairs = shingle_dedup.simhash_pairs(df, 5, 2)
+    linked = {frozenset((r.u, r.v)) for r in pairs.collect()}
+    assert linked and linked <= close
+    group = {r.node: r.component for r in shingle_dedup.components(pairs, "test").collect()}
+    assert all(group[a] == group[b] for a, b in map(tuple, close))
