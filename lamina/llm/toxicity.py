@@ -78,54 +78,25 @@ def _events(docs: DataFrame, schema: str, fields: pa.Schema, made) -> DataFrame:
     return map_texts(docs.select(docs["toxic"].cast("int"), docs["text"].cast("binary")), run, schema)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """w, o and t (occurrences by class), co, ct and c (different words before it by class and in both together), and the ones and twos of its pairs.
+def word_counts(docs: DataFrame, least: int = LEAST_PAIR) -> DataFrame:
+    """w, o and t (occurrences by class), co, ct and c (different words before it by class and in both together), the ones and twos of its pairs, and pairs.
 
-    A word before is told by 16 bits of its hash here, so that what is shuffled is one long a pair and task.
+    `pairs` has h, o and t of the pairs that occur `least` times or more in toxic texts. The two words of a pair are 48 bits
+    each: what is shuffled is a long and an int a pair and task, from which both are read again.
     """
-    fields = pa.schema([("key", pa.int64()), ("o", pa.int64()), ("t", pa.int64())])
+    fields = pa.schema([("key", pa.int64()), ("low", pa.int32()), ("o", pa.int64()), ("t", pa.int64())])
 
     def made(h: np.ndarray, w: np.ndarray, toxic: np.ndarray) -> list:
-        key, _, o, t = _counted((w << np.uint64(16)) | (mix(h) >> np.uint64(48)), toxic)
-        return [signed(key), o, t]
+        _, first, o, t = _counted(pair_key(h, w), toxic)
+        h, w = h[first], w[first]
+        return [signed((w << np.uint64(16)) | (h >> np.uint64(32))), h.astype(np.uint32).view(np.int32), o, t]
 
-    types = _events(docs, "key long, o long, t long", fields, made).groupBy("key").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
+    types = _events(docs, "key long, low int, o long, t long", fields, made).groupBy("key", "low").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
     times = [F.count_if(F.col(c) == n).alias(f"{c}{n}") for c in "ot" for n in (1, 2)]
     seen = [F.count_if(F.col("o") > 0).alias("co"), F.count_if(F.col("t") > 0).alias("ct"), F.count("*").alias("c")]
-    return types.groupBy(F.shiftrightunsigned("key", 16).alias("w")).agg(F.sum("o").alias("o"), F.sum("t").alias("t"), *seen, *times)
-
-
-def toxic_pairs(docs: DataFrame, least: int = LEAST_PAIR) -> DataFrame:
-    """h, w and t of the pairs that occur `least` times or more in toxic texts."""
-    fields = pa.schema([("h", pa.int64()), ("w", pa.int64()), ("t", pa.int64())])
-
-    def made(h: np.ndarray, w: np.ndarray, toxic: np.ndarray) -> list:
-        _, first, _, t = _counted(pair_key(h, w), toxic)
-        return [signed(h[first]), signed(w[first]), t]
-
-    rows = _events(docs.filter("toxic = 1"), "h long, w long, t long", fields, made)
-    return rows.groupBy("h", "w").agg(F.sum("t").alias("t")).filter(F.col("t") >= least)
-
-
-def ordinary_counts(docs: DataFrame, keys: np.ndarray) -> DataFrame:
-    """key and o: how often the pairs with these (sorted) keys occur in ordinary texts; a task sends each key once."""
-    fields = pa.schema([("key", pa.int64()), ("o", pa.int64())])
-    shared = docs.sparkSession.sparkContext.broadcast(keys)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        total = np.zeros(len(known), np.int64)
-        for b in batches:
-            for _, data, offsets in text_slices(b.column(0)):
-                _, h, w = pairs_of(data, offsets)
-                key = pair_key(h, w)
-                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                total += np.bincount(at[known[at] == key], minlength=len(known))
-        seen = np.flatnonzero(total)
-        yield record_batch(fields, [signed(known[seen]), total[seen]])
-
-    rows = map_texts(docs.filter("toxic = 0").select(docs["text"].cast("binary")), run, "key long, o long")
-    return rows.groupBy("key").agg(F.sum("o").alias("o"))
+    h = F.shiftleft(F.col("key").bitwiseAND(0xFFFF), 32).bitwiseOR(F.col("low").cast("long").bitwiseAND(0xFFFFFFFF))
+    pairs = F.collect_list(F.when(F.col("t") >= least, F.struct(h.alias("h"), "o", "t"))).alias("pairs")
+    return types.groupBy(F.shiftrightunsigned("key", 16).alias("w")).agg(F.sum("o").alias("o"), F.sum("t").alias("t"), *seen, *times, pairs)
 
 
 def discount(ones: float, twos: float) -> float:
@@ -287,7 +258,7 @@ def learn(counted: DataFrame, least_word: int = LEAST_WORD, least_pair: int = LE
     Discounts and totals are of all words and pairs. Kept are words with `least_word` different words before them and the edge,
     and pairs of kept words with `least_pair` occurrences in toxic texts; the others are pruned to the shared backoff. Both grow with the corpus.
     """
-    words = staged(word_counts(counted), "words")
+    words = staged(word_counts(counted, least_pair), "words")
     sums = [F.sum(c).alias(c) for c in ("co", "ct", "c", "o1", "o2", "t1", "t2")] + [F.count("*").alias("types"), F.count_if(F.col("co") > 0).alias("types_o"), F.count_if(F.col("ct") > 0).alias("types_t")]
     once = [F.count_if(F.col(c) == n).alias(f"{c}{n}") for c in ("co", "ct", "c") for n in (1, 2)]
     totals = {k: v or 0 for k, v in words.agg(*sums, *once).first().asDict().items()}
@@ -296,16 +267,10 @@ def learn(counted: DataFrame, least_word: int = LEAST_WORD, least_pair: int = LE
     kept = {c: kept[c].to_numpy() for c in kept}
     kept["w"] = kept["w"].astype(np.int64).view(np.uint64)
     kept = {c: v[np.argsort(kept["w"])] for c, v in kept.items()}
-    found = toxic_pairs(counted, least_pair).toPandas()
+    found = words.select("w", F.explode("pairs").alias("p")).select("p.h", "w", "p.o", "p.t").toPandas()
     pairs = {c: found[c].to_numpy().astype(np.int64).view(np.uint64 if c in "hw" else np.int64) for c in found}
     whole = np.isin(pairs["w"], kept["w"])
     pairs = {c: v[whole] for c, v in pairs.items()}
-    key = pair_key(pairs["h"], pairs["w"])
-    pairs["o"] = np.zeros(len(key), np.int64)
-    if len(key):
-        other = ordinary_counts(counted, np.sort(key)).toPandas()
-        order = np.argsort(key)
-        pairs["o"][order[np.searchsorted(key[order], other["key"].to_numpy().astype(np.int64).view(np.uint64))]] = other["o"].to_numpy()
     return estimate(kept, totals, pairs), pairs
 
 

@@ -403,3 +403,19 @@ def test_more_words_than_characters(spark, monkeypatch):
     shard.add(1, words, [(0, 1_200_000, True)])
     (_, _, gone), = shard.located()
     assert not gone.any()
+
+
+def test_toxic_pairs_are_counted_in_both_classes_by_one_pass(spark):
+    texts = [("a b a b c", 1), ("a b c c", 0), ("b a b", 1), ("", 0), ("c a", 1)]
+    df = spark.createDataFrame([(t, y) for t, y in texts], "text string, toxic int")
+    want, seen = {}, {}
+    for text, y in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        _, h, w = toxicity.pairs_of(data, np.array([0, len(data)]))
+        for k in zip(h.tolist(), w.tolist(), strict=True):
+            want.setdefault(k, [0, 0])[y] += 1
+    for (h, w), _ in want.items():
+        seen.setdefault(w, set()).add(h)
+    rows = toxicity.word_counts(df, 2).collect()
+    assert {(p.h, r.w): [p.o, p.t] for r in rows for p in r.pairs} == {k: v for k, v in want.items() if v[1] >= 2}
+    assert {r.w: r.c for r in rows} == {w: len(hs) for w, hs in seen.items()}
