@@ -25,7 +25,7 @@ from lamina.llm.quotient_filter import CountingFilter, Merger
 ENDS = byte_class(b".,;:!?\n\x0b\x0c\r")
 WORD = ~byte_class(b" \t.,;:!?\n\x0b\x0c\r")
 #: Bytes of text in a slice, and keys that a task counts before it hands its filters on.
-SLICE, HELD = 3 << 19, 1 << 21
+SLICE, HELD = 3 << 19, 1 << 20
 #: Words are told from each other, in a filter of what is frequent, by so many bits at most (16 MB).
 MOST_BITS = 1 << 27
 LONGEST = 4
@@ -217,7 +217,7 @@ def counted(blobs: DataFrame, n: int, bits: int, shard_bits: int, least: int, sh
                 made = _windows(np.frombuffer(blob.as_buffer(), np.uint32), n, shared.value)
                 held.append(made)
                 size += len(made[0])
-                if size >= HELD // 4:
+                if size >= HELD // 8:
                     settle()
             if len(whole) >= HELD:
                 yield from out()
@@ -256,7 +256,7 @@ def phrase_counts(docs: DataFrame, least: int = 30) -> tuple[DataFrame, DataFram
     known = staged(dictionary(words, least), "collocations-dictionary")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     top, tokens = known.agg(F.max("id"), F.sum("f")).first()
-    bits, shard_bits = int(top or 1).bit_length(), max(3, min(16, int((tokens or 1) >> 21).bit_length()))
+    bits, shard_bits = int(top or 1).bit_length(), max(3, min(16, int((tokens or 1) >> 20).bit_length()))
     with _few_rows(spark):
         blobs = _kept(recoded(slices, known), "collocations-tokens")
         shorter, levels = None, []

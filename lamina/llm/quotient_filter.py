@@ -61,13 +61,17 @@ def _summed(a: np.ndarray, b: np.ndarray, counts: np.ndarray, b_bits: int, a_bit
         key = key[order]
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
+        del key
     else:
         order = np.lexsort((b, a))
-        x, y = a[order], b[order]
-        new = np.ones(len(x), bool)
-        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        new = np.ones(len(order), bool)
+        new[1:] = False
+        for column in (a, b):
+            x = column[order]
+            new[1:] |= x[1:] != x[:-1]
     at = np.flatnonzero(new)
-    return a[order][at], b[order][at], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
+    one = order[at]  # whole columns are put in order one at a time, so that few of them are held
+    return a[one], b[one], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
 
 
 @dataclass

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -120,3 +121,13 @@ def test_scores_beyond_64_bits(spark):
 
 def test_empty_table(spark):
     assert C.collocations(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_counting_task_merges_its_filters_in_a_hundred_megabytes():
+    rng = np.random.default_rng(4)
+    one, other = (CountingFilter.of([rng.integers(0, 1 << 17, 50_000).astype(np.uint64) for _ in range(4)], 17) for _ in range(2))
+    tracemalloc.start()
+    merged = one.merged(other)
+    peak = tracemalloc.get_traced_memory()[1] / len(merged)
+    tracemalloc.stop()
+    assert peak * C.HELD < 100 << 20
