@@ -10,6 +10,7 @@ the edit distance decide.
 from __future__ import annotations
 
 from itertools import combinations
+from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +35,12 @@ _ONES = sum(1 << (LANE * i) for i in range(64 // LANE))
 BLOCK_LANES = 8
 #: Stands for the whole line among its classes.
 WHOLE = -1
+_BETWEEN = "[^\\p{L}\\p{N}]+"
 
 
 def normalised(line: Column) -> Column:
     """Lower case, runs of anything but letters and digits as one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(line), "[^\\p{L}\\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(line), _BETWEEN, " "))
 
 
 def _lanes(h: Column, lanes: int) -> list[Column]:
@@ -89,12 +91,16 @@ def _bands(words: Column) -> Column:
     return F.array_compact(F.array(*inside))
 
 
-def _classes(h: Column, number: Column) -> Column:
-    """Classes of a word's hash among `number` classes: one, or the pairs that hold it. The bits used are in no block."""
-    own = F.pmod(F.shiftrightunsigned(h, 56) * 256 + F.shiftrightunsigned(h, 40).bitwiseAND(255), number).cast("int")
+def _class(h: Column, number: Column) -> Column:
+    """Class of a word's hash among `number` classes. The bits used are in no block."""
+    return F.pmod(F.shiftrightunsigned(h, 56) * 256 + F.shiftrightunsigned(h, 40).bitwiseAND(255), number).cast("int")
+
+
+def _covering(own: Column, number: Column) -> Column:
+    """The classes whose blocks cover a class: itself, or the pairs that hold it."""
     pairs = list(combinations(range(PAIR_CLASSES), 2))
     table_of = F.array(*[F.array(*[F.lit(i) for i, p in enumerate(pairs) if c in p]) for c in range(PAIR_CLASSES)])
-    return F.when(number == PAIR_CLASSES, F.element_at(table_of, own + 1)).otherwise(F.array(own))
+    return F.when((number == PAIR_CLASSES) & (own != WHOLE), F.element_at(table_of, F.greatest(own, F.lit(0)) + 1)).otherwise(F.array(own))
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -106,29 +112,39 @@ def blocks(docs: DataFrame) -> DataFrame:
     """
     twice = lines_of(docs).withColumn("check", F.xxhash64(F.lit(1), "line"))
     met = twice.groupBy("id").agg(F.first("line").alias("line"), F.count("*").alias("times"), F.min("check").alias("low"), F.max("check").alias("high"))
-    norm = met.filter("low = high").select("id", "times", _once(normalised(F.col("line"))).alias("norm")).filter("norm != ''")
-    split = norm.select("id", "times", F.xxhash64("norm").alias("code"), _once(F.array_distinct(F.split("norm", " "))).alias("ws")).withColumn("words", F.size("ws"))
+    # The line is split where its normal form has spaces; what stands before or after its first or last word is empty.
+    split = met.filter("low = high").select("id", "times", _once(F.split(F.lower("line"), _BETWEEN)).alias("all"))
+    split = split.select("id", "times", F.xxhash64(F.trim(F.array_join("all", " "))).alias("code"), _once(F.array_remove(F.array_distinct("all"), "")).alias("ws"))
+    split = split.withColumn("words", F.size("ws")).filter("words > 0")
     # The null at the end of the words makes the row of the whole line.
     every = F.concat("ws", F.array(F.lit(None).cast("string")))
     dealt = split.select("id", "times", "code", "words", F.explode(_bands(F.col("words"))).alias("number"), every.alias("ws"))
     hashed = dealt.select("id", "words", "number", "times", "code", F.explode("ws").alias("w")).withColumn("h", F.when(F.col("w").isNotNull(), F.xxhash64("w")))
-    first_band = F.col("number") == F.element_at(_bands(F.col("words")), 1)
-    nowhere = F.array().cast("array<int>")
-    place = F.when(F.col("h").isNotNull(), _classes(F.col("h"), F.col("number"))).otherwise(F.when(first_band, F.array(F.lit(WHOLE))).otherwise(nowhere))
-    placed = hashed.select("id", "words", "number", "times", "code", F.explode(place).alias("class"), "h")
-    summed = placed.groupBy("id", "times", "code", "words", "number", "class").agg(F.count("*").alias("n"), *_lanes(F.col("h"), BLOCK_LANES))
+    own = F.when(F.col("h").isNull(), WHOLE).otherwise(_class(F.col("h"), F.col("number")))
+    key = ["id", "times", "code", "words", "number", "class"]
+    # Words are summed by their one class first; the few sums, not the words, go to the pairs.
+    summed = hashed.withColumn("class", own).groupBy(*key).agg(F.count("*").alias("n"), *_lanes(F.col("h"), BLOCK_LANES))
+    summed = summed.filter((F.col("class") != WHOLE) | (F.col("number") == F.element_at(_bands(F.col("words")), 1)))
+    lanes = [f"c{j}" for j in range(BLOCK_LANES)]
+    paired = summed.withColumn("class", F.explode(_covering(F.col("class"), F.col("number"))))
+    summed = paired.groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("n", *lanes)])
     whole = F.col("class") == WHOLE
     least = F.when(F.col("number") != PAIR_CLASSES, LEAST).when(F.col("words") < TINY, LEAST_TINY).otherwise(LEAST_PAIR)
     code = F.when(whole, F.col("code")).otherwise(F.xxhash64("number", "class", _majority(F.col("n"), BLOCK_LANES)))
     return summed.filter(whole | (F.col("n") >= least)).select("id", "class", code.alias("code"), F.when(whole, F.col("words")).alias("words"), F.when(whole, F.col("times")).alias("times"))
 
 
+def _edits(longest: Column, similarity: float) -> Column:
+    """The edits that the similarity allows the longer of two lines."""
+    return F.floor(longest * (1 - similarity) + 1e-9).cast("int")
+
+
 def _near(a: str, b: str, max_bits: int) -> Column:
     return F.coalesce(F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits, F.lit(True))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, norm and bits (SimHash of the distinct words) of the wanted lines (id): found again in the documents by their hash.
+    """id, norm, size (its length) and bits (SimHash of the distinct words) of the wanted lines (id): found again in the documents by their hash.
 
     The SimHash of a line that is too long for the counters is null.
     """
@@ -136,7 +152,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     found = lines.join(small_side(wanted, 1_000_000), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
     norm = found.select("id", _once(normalised(F.col("line"))).alias("norm"))
     hashed = norm.select("id", "norm", F.explode(F.array_distinct(F.split("norm", " "))).alias("w")).select("id", "norm", F.xxhash64("w").alias("h"))
-    return hashed.groupBy("id", "norm").agg(F.count("*").alias("n"), *_lanes(F.col("h"), LANE)).select("id", "norm", F.when(F.col("n") < LONG, _majority(F.col("n"))).alias("bits"))
+    return hashed.groupBy("id", "norm").agg(F.count("*").alias("n"), *_lanes(F.col("h"), LANE)).select("id", "norm", F.length("norm").alias("size"), F.when(F.col("n") < LONG, _majority(F.col("n"))).alias("bits"))
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame, max_bits: int) -> DataFrame:
@@ -181,14 +197,26 @@ def line_groups(docs: DataFrame, made: DataFrame, similarity: float = 0.8, max_b
     main = placed.filter("id = hub").select("code", F.col("part").alias("main"))
     placed = placed.join(main, "code")
     mixed = placed.filter("part != main").select("code").distinct()
-    placed = staged(placed.join(mixed, "code", "left_semi").join(texts.select("id", "bits"), "id"), "line-places")
-    strays = placed.filter("part != main").select("code", F.col("id").alias("u"), F.col("part").alias("p"), F.col("bits").alias("x"))
-    other = placed.select("code", F.col("id").alias("v"), F.col("part").alias("q"), F.col("bits").alias("y"), (F.col("part") == F.col("main")).alias("first"))
-    apart = (strays["code"] == other["code"]) & (F.col("p") != F.col("q")) & (F.col("first") | (F.col("p") < F.col("q")))
-    across = strays.join(other, apart & _near("x", "y", max_bits)).select("u", "v").distinct()
+    placed = staged(placed.join(mixed, "code", "left_semi").join(texts.select("id", "size", "bits"), "id"), "line-places")
+    across = _across(placed, similarity, max_bits)
     return _bridged(_similar(across, texts, similarity, max_bits), parts)
 
 
+def _across(placed: DataFrame, similarity: float, max_bits: int) -> DataFrame:
+    """The pairs (u, v) of a stray and a line of another group under one code that are near in bits and in length.
+
+    Similar lines are of the same or the next step of length, as a step is a little more than the similarity
+    allows. So a code with many lines meets step by step, in several tasks, and not all its lines with all.
+    """
+    placed = placed.withColumn("step", F.floor(F.log("size") / log(1.01 / similarity)).cast("int"))
+    strays = placed.filter("part != main").select("code", "step", F.col("id").alias("u"), F.col("part").alias("p"), F.col("bits").alias("x"), F.col("size").alias("m"))
+    other = placed.select("code", F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)).alias("step"), F.col("id").alias("v"), F.col("part").alias("q"), F.col("bits").alias("y"), F.col("size").alias("n"), (F.col("part") == F.col("main")).alias("first"))
+    apart = (F.col("p") != F.col("q")) & (F.col("first") | (F.col("p") < F.col("q")))
+    as_long = F.abs(F.col("m") - F.col("n")) <= _edits(F.greatest("m", "n"), similarity)
+    keys = (strays["code"] == other["code"]) & (strays["step"] == other["step"])
+    return strays.join(other, keys & apart & as_long & _near("x", "y", max_bits)).select("u", "v").distinct()
+
+
 def _similar(pairs: DataFrame, texts: DataFrame, similarity: float, max_bits: int) -> DataFrame:
     """The pairs (u, v) that are similar, by the bounds or else by the distance itself."""
     found = bounded(_with_texts(pairs.select("u", "v"), texts, max_bits), similarity)
@@ -225,25 +253,70 @@ def dropped_lines(docs: DataFrame, similarity: float = 0.8, max_bits: int = MAX_
 
 #: Characters from which on a line is cut into pieces, and of a piece.
 LONG_LINE, PIECE = 2048, 128
+#: Places of the distance's table up to which it is worked out at once.
+FEW = 20_000
+#: Words between two places where lines are cut to be compared piece by piece, at least.
+ANCHOR = 4
 #: Letters that stand for words when lines are compared word by word.
 _ALPHABET = "".join(map(chr, range(0x4E00, 0x5E00)))
 
 
+def _stripped(pairs: DataFrame) -> DataFrame:
+    """The pairs without the words that s and t have in common at their start, then at their end: their distance stays, if both have words left."""
+    same = lambda a, b: F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
+    others = [c for c in pairs.columns if c not in ("s", "t")]
+    out = pairs.select(*others, F.split("s", " ").alias("s"), F.split("t", " ").alias("t"))
+    for _ in range(2):  # what is left after the start is turned round, and so is what is left after the end
+        out = out.select(*others, "s", "t", _once(same("s", "t")).alias("at"))
+        left = lambda c: F.when(F.col("at") == 0, F.slice(c, 1, 0)).otherwise(F.slice(c, F.greatest(F.col("at"), F.lit(1)).cast("int"), F.size(c)))
+        out = out.select(*others, _once(F.reverse(left("s"))).alias("s"), _once(F.reverse(left("t"))).alias("t"))
+    return out.select(*others, _once(F.array_join("s", " ")).alias("s"), _once(F.array_join("t", " ")).alias("t"))
+
+
+def _anchored(a: str, b: str) -> Column:
+    """Upper bound of the distance of two lines, given as arrays of words: the sum over the pieces between words where both go on alike.
+
+    A word of `a` is such a place if it comes first there, the one after it is the same in both, and
+    it stands about as far after the last such place in both.
+    """
+    word = lambda c, i: F.try_element_at(c, i.cast("int"))
+
+    def piece(state: Column, i: Column, j: Column) -> Column:
+        s = F.array_join(F.slice(a, state["i"], i - state["i"]), " ")
+        t = F.array_join(F.slice(b, state["j"], j - state["j"]), " ")
+        return state["cost"] + F.levenshtein(s, t) + F.when((s == "") != (t == ""), 1).otherwise(0)
+
+    def met(state: Column, i: Column) -> Column:
+        j = F.array_position(b, word(a, i)).cast("int")
+        step, shift = i - state["i"], F.abs((j - state["j"]) - (i - state["i"]))
+        fits = (step >= ANCHOR) & (j > state["j"]) & (shift <= ANCHOR + F.floor(step / 2)) & word(a, i + 1).eqNullSafe(word(b, j + 1)) & (F.array_position(a, word(a, i)) == i)
+        return F.when(fits, F.struct(i.alias("i"), j.alias("j"), piece(state, i, j).cast("int").alias("cost"))).otherwise(state)
+
+    start = F.struct(F.lit(1).alias("i"), F.lit(1).alias("j"), F.lit(0).alias("cost"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(a)), start, met, lambda state: piece(state, F.size(a) + 1, F.size(b) + 1))
+
+
 def bounded(pairs: DataFrame, similarity: float) -> DataFrame:
-    """Adds most (the edits that the similarity allows) and ok (whether a cheap upper bound keeps to it); pairs too unlike in length go.
+    """Adds most (the edits that the similarity allows) and ok (whether it is kept to); pairs too unlike go, those that are dear to tell stay with ok false.
 
-    The distance itself takes a line's length squared. Words that differ at one place cost at most the longer
+    The words that s and t have in common at their start or end go first. The distance of what is left is
+    taken at once if it is short; else it takes that length squared, and cheap upper bounds may tell. Words that differ at one place cost at most the longer
     of the two each, words beyond the end of the other line their length and a space. Else words stand
     for letters: each of the edits by words costs at most the longest word and a space, or, if all of
     them put a word that the other line lacks for one that it lacks, the longest of those. Long lines are also cut
     into equally many pieces, which together are at least as far apart.
     """
     longest = F.greatest(F.length("s"), F.length("t"))
-    most = F.floor(longest * (1 - similarity) + 1e-9).cast("int")
     cost = lambda x, y: F.when(x.eqNullSafe(y), 0).otherwise(F.greatest(F.length(x), F.length(y)) + 1)
     placed = F.aggregate(F.zip_with(F.split("s", " "), F.split("t", " "), cost), F.lit(0), lambda acc, v: acc + v)
-    near = pairs.withColumn("most", most).filter(F.abs(F.length("s") - F.length("t")) <= F.col("most"))
-    told = near.select("*", _once(placed <= F.col("most")).alias("ok"))
+    near = pairs.withColumn("most", _edits(longest, similarity)).filter(F.abs(F.length("s") - F.length("t")) <= F.col("most"))
+    # With nothing left of one line the other has words more and no others.
+    gone = (F.col("s") == "") | (F.col("t") == "")
+    few = F.length("s").cast("long") * F.least(F.length("t"), 2 * F.col("most") + 1) <= FEW
+    said = F.when(gone, True).when(few, F.expr("levenshtein(s, t, most) >= 0")).when(placed <= F.col("most"), True)
+    told = _stripped(near).select("*", _once(F.struct(said.alias("ok"))).alias("told")).select("*", "told.ok").drop("told").filter("ok is null or ok")
+    told = told.select("*", _once(F.when(F.col("ok").isNull(), F.struct(F.split("s", " ").alias("a"), F.split("t", " ").alias("b")))).alias("ws"))
+    told = told.select(*pairs.columns, "most", _once(F.when(F.col("ok"), True).otherwise(_anchored("ws.a", "ws.b") <= F.col("most"))).alias("ok"))
     open_ = ~F.col("ok")
     hashes = lambda c: F.transform(F.split(c, " "), lambda w: F.xxhash64(w))
     told = told.select("*", _once(F.when(open_, F.struct(hashes("s").alias("a"), hashes("t").alias("b")))).alias("h"))
