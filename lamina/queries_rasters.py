@@ -141,10 +141,9 @@ def _harmonic_depth(boundary: DataFrame, cells: DataFrame) -> DataFrame:
     pia, white = ribbon("pia"), ribbon("white")
     points = cells.select(F.lit("all").alias("sample"), F.col("cx").alias("x"), F.col("cy").alias("y"))
     found = M.kept(H.sampled(points.distinct(), *H.harmonic_field(pia, white, points, 128, tile=64, halo=32, tolerance=1e-8)).drop("sample"), "depths")
-    left = found.filter("depth is null").select(F.struct("x", "y").alias("id"), "x", "y")
-    near, far = (D.nearest_distance(left, lines.select("x", "y"), name=name) for lines, name in ((pia, "d_pia"), (white, "d_white")))
-    old = near.join(far, "id").select("id.x", "id.y", (F.col("d_pia") / (F.col("d_pia") + F.col("d_white"))).alias("old"))
-    rest = left.select("x", "y").join(old, ["x", "y"], "left").select("x", "y", F.round("old", 6).alias("depth"), F.lit(True).alias("by_distance"))
+    left = found.filter("depth is null").select("x", "y")
+    share = F.col("d_pia") / (F.col("d_pia") + F.col("d_white"))
+    rest = D.nearest_distances(left, {"d_pia": pia, "d_white": white}).select("x", "y", F.round(share, 6).alias("depth"), F.lit(True).alias("by_distance"))
     return found.filter("depth is not null").select("x", "y", F.round("depth", 6).alias("depth"), F.lit(False).alias("by_distance")).unionByName(rest)
 
 
