@@ -140,7 +140,7 @@ def _harmonic_depth(boundary: DataFrame, cells: DataFrame) -> DataFrame:
     ribbon = lambda name: boundary.filter(F.col("boundary") == name).select(F.lit("all").alias("sample"), F.col("x").cast("double").alias("x"), "y")
     pia, white = ribbon("pia"), ribbon("white")
     points = cells.select(F.lit("all").alias("sample"), F.col("cx").alias("x"), F.col("cy").alias("y"))
-    found = M.kept(H.sampled(points.distinct(), *H.harmonic_field(pia, white, points, 128, tile=64, halo=32, tolerance=1e-8)).drop("sample"), "depths")
+    found = M.kept(H.sampled(points.distinct(), *H.harmonic_field(pia, white, points, tile=128, halo=24, tolerance=1e-8)).drop("sample"), "depths")
     left = found.filter("depth is null").select("x", "y")
     share = F.col("d_pia") / (F.col("d_pia") + F.col("d_white"))
     rest = D.nearest_distances(left, {"d_pia": pia, "d_white": white}).select("x", "y", F.round(share, 6).alias("depth"), F.lit(True).alias("by_distance"))
